@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewell import fixed_values as V
 from tracewell.functions import normalise_identifier, process_of, run_of
-from tracewell.operators.links import flatten_links
+from tracewell.operators.links import edges_per_process, flatten_links
 from tracewell.sources.log import LineageLog
 
 
@@ -28,9 +28,16 @@ def _batch_texts() -> Column:
 
 def processes_of_batch(processes: DataFrame, batch_id: str) -> DataFrame:
     """All processes whose origin name or job id contains `batch_id`."""
-    hits = [F.coalesce(text.contains(batch_id), F.lit(False)) for text in (
-        F.col("origin.name"), F.col("attributes").getItem(V.JOB_ID))]
-    return processes.where(hits[0] | hits[1])
+    return processes.where(F.exists(_batch_texts(), lambda text: text.contains(batch_id)))
+
+
+def edges_of_batch(log: LineageLog, batch_id: str, locations: Sequence[str] = V.LOCATIONS) -> DataFrame:
+    """Distinct edges of the first process that mentions one batch."""
+    found = processes_of_batch(log.only(locations).processes, batch_id)
+    rank = location_rank(F.col("location"), locations).alias("rank")
+    first = found.agg(F.min(F.struct(rank, "name")).alias("first")).select("first.name")
+    mine = process_of(F.col("name")) == first.scalar()
+    return edges_per_process(log.events.where(mine))
 
 
 def process_of_batches(

@@ -15,7 +15,7 @@ def flatten_links(events: DataFrame) -> DataFrame:
     Events without links give no row. The ancestors of an event are part of
     its name, so telling the run and process of a link takes no join.
     """
-    return _exploded(events).select(
+    return _exploded(events, "start_time").select(
         "event",
         "start_time",
         "link_pos",
@@ -25,10 +25,14 @@ def flatten_links(events: DataFrame) -> DataFrame:
     )
 
 
-def declared_links(events: DataFrame) -> DataFrame:
-    """One row per link as declared, missing endpoints left NULL."""
-    return _exploded(events).select(
+def declared_links(events: DataFrame, *carried: str) -> DataFrame:
+    """One row per link as declared, missing endpoints left NULL.
+
+    `carried` names columns of the event to keep.
+    """
+    return _exploded(events, *carried).select(
         "event",
+        *carried,
         "link_pos",
         F.col("link.source").alias("source_fqn"),
         F.col("link.target").alias("target_fqn"),
@@ -36,9 +40,9 @@ def declared_links(events: DataFrame) -> DataFrame:
     )
 
 
-def _exploded(events: DataFrame) -> DataFrame:
+def _exploded(events: DataFrame, *carried: str) -> DataFrame:
     return events.select(
-        F.col("name").alias("event"), "start_time", F.posexplode("links").alias("link_pos", "link")
+        F.col("name").alias("event"), *carried, F.posexplode("links").alias("link_pos", "link")
     )
 
 
@@ -46,6 +50,12 @@ def without_self_links(links: DataFrame) -> DataFrame:
     return links.where(F.col("source_fqn") != F.col("target_fqn"))
 
 
+def table_edges(events: DataFrame) -> DataFrame:
+    """Distinct table-level edges between named endpoints."""
+    links = without_self_links(declared_links(events)).where(F.col("level") == V.TABLE_LEVEL)
+    return links.select("source_fqn", "target_fqn").distinct()
+
+
 def edges_per_process(events: DataFrame) -> DataFrame:
     """Distinct edges of each process, with the event that first showed them."""
     links = without_self_links(flatten_links(events))

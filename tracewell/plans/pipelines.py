@@ -129,17 +129,10 @@ def register_paths(paths: DataFrame, kind: EntryKind, log_root: str) -> None:
     """Create catalog entries for paths that have none yet."""
     spark = paths.sparkSession
     wanted = record.entry_records(paths, kind.entry_type, kind.aspect, kind.aspect_type)
-    wanted = record.missing_entries(wanted, _stored_entries(spark, log_root))
+    wanted = record.missing_entries(wanted, log.read_log(spark, log_root).entries)
     log.append_records(wanted, log_root, "entries")
 
 
-def _stored_entries(spark: SparkSession, log_root: str) -> DataFrame:
-    """Entries so far; the first pipeline that records makes the directory."""
-    empty = spark.createDataFrame([], log.ENTRY_SCHEMA)
-    log.append_records(empty, log_root, "entries")
-    return spark.read.schema(log.ENTRY_SCHEMA).parquet(f"{log_root}/entries")
-
-
 def files_with_lineage(
     spark: SparkSession,
     source: str,

@@ -35,6 +35,13 @@ ENTRY_SCHEMA = (
     "data:struct<format:string,framework:string,path:string>>>"
 )
 
+SCHEMAS = {
+    "processes": PROCESS_SCHEMA,
+    "runs": RUN_SCHEMA,
+    "events": EVENT_SCHEMA,
+    "entries": ENTRY_SCHEMA,
+}
+
 # Record shapes of a JSON export, one record per line.
 PROCESS_JSON = (
     "name string, displayName string, attributes map<string,string>, "
@@ -69,6 +76,12 @@ class LineageLog:
         )
 
 
+def create_log(spark: SparkSession, root: str) -> None:
+    """An empty log at `root`; a log that is there already stays as it is."""
+    for kind, schema in SCHEMAS.items():
+        append_records(spark.createDataFrame([], schema), root, kind)
+
+
 def append_records(df: DataFrame, root: str, kind: str) -> None:
     """Append records of one kind to the stored log."""
     writer = df.write.mode("append")
@@ -86,14 +99,8 @@ def append_log(log: LineageLog, root: str) -> None:
 
 
 def read_log(spark: SparkSession, root: str) -> LineageLog:
-    def kind(name: str, schema: str) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{root}/{name}")
-
     return LineageLog(
-        kind("processes", PROCESS_SCHEMA),
-        kind("runs", RUN_SCHEMA),
-        kind("events", EVENT_SCHEMA),
-        kind("entries", ENTRY_SCHEMA),
+        **{kind: spark.read.schema(schema).parquet(f"{root}/{kind}") for kind, schema in SCHEMAS.items()}
     )
 
 

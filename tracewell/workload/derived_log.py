@@ -143,8 +143,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         )
     )
-    parts = ["l_linenumber", "l_partkey", "l_suppkey"]
-    event = F.concat_ws("-", *[_text(F.col(part)) for part in parts])
+    shipped = F.col("l_shipdate").cast("date")
+    parts = [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), shipped]
+    event = F.concat_ws("-", *map(_text, parts))
     return rows.select(
         F.concat(run_name(), F.lit("/lineageEvents/e"), event).alias("name"),
         F.col("l_shipdate").alias("start_time"),
