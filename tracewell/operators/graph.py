@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell import fixed_values as V
 from tracewell.functions import parent_fqn
 from tracewell.operators.links import declared_links, without_self_links
-from tracewell.sources.workspace import shared_root
+from tracewell.sources.workspace import materialise
 
 COMPACT_EVERY = 16
 
@@ -56,32 +56,31 @@ def storage_roots(edges: DataFrame) -> DataFrame:
     return sources.distinct().join(targets.distinct(), "node", "left_anti")
 
 
-def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """Nodes reachable from `starts` (column `node`) with the least number of hops.
 
-    Breadth first over the whole start set: each round follows the edges of
-    the nodes found in the round before and keeps those not seen yet, so
-    cycles end and every edge is followed once. A round is checkpointed to the
-    shared folder, which bounds the plan and survives the loss of executors.
-    The driver only learns whether a round found anything.
+    Without `starts` the walk begins at all storage roots. Breadth first over
+    the whole start set: each round follows the edges of the nodes found in
+    the round before and keeps those not seen yet, so cycles end and every
+    edge is followed once. Edges and rounds are written to the shared folder,
+    which bounds the plan and survives the loss of executors. The driver only
+    learns whether a round found anything.
     """
-    shared_root(edges.sparkSession)
-    hops = edges.select("source_fqn", "target_fqn").distinct().checkpoint()
-    frontier = starts.select("node", F.lit(0).alias("depth")).distinct().checkpoint()
+    hops = materialise(edges.select("source_fqn", "target_fqn").distinct(), "hops")
+    starts = storage_roots(hops) if starts is None else starts.select("node").distinct()
+    frontier = materialise(starts.withColumn("depth", F.lit(0)), "frontier")
     seen = frontier
     depth = 0
     while not frontier.isEmpty():
         depth += 1
         found = (
-            frontier.select(F.col("node").alias("source_fqn"))
-            .join(hops, "source_fqn")
+            hops.join(frontier.select(F.col("node").alias("source_fqn")), "source_fqn", "left_semi")
             .select(F.col("target_fqn").alias("node"))
             .distinct()
+            .join(seen.select("node"), "node", "left_anti")
         )
-        frontier = (
-            found.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth")).checkpoint()
-        )
+        frontier = materialise(found.withColumn("depth", F.lit(depth)), "frontier")
         seen = seen.unionByName(frontier)
         if depth % COMPACT_EVERY == 0:
-            seen = seen.checkpoint()
+            seen = materialise(seen, "seen")
     return seen

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -31,3 +31,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
     app = spark.sparkContext.applicationId
     return f"{shared_root(spark)}/tracewell/{app}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` to the shared folder and go on from there.
+
+    Cuts the plan like a checkpoint, and what it leaves is columnar and
+    outlives the executors that wrote it.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

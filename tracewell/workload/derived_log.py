@@ -120,28 +120,26 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_returnflag", "l_linestatus", "l_shipdate",
     )
     orders = _orders_with_customer(spark, sf_dir).select("o_orderkey", "c_custkey", "c_nationkey")
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-
-    supplier = dataset_fqn(F.col("l_suppkey"))
-    mart = _table_name("mart", F.col("c_custkey"))
-    report = _table_name("report", F.col("c_nationkey"))
+    # Lines and orders both grow with the data, so neither side is broadcast.
+    rows = lines.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).withColumns(
+        {
+            "supplier": dataset_fqn(F.col("l_suppkey")),
+            "mart": _table_name("mart", F.col("c_custkey")),
+            "report": _table_name("report", F.col("c_nationkey")),
+            "location": customer_location(),
+        }
+    )
     untracked = (F.col("l_discount") == 0) & (F.col("l_tax") == 0)
-    finished = F.col("l_linestatus") == "F"
-    reported = F.col("l_returnflag") == "R"
-    chain = F.array_compact(
-        F.array(
-            link(F.when(~untracked, dataset_fqn(F.col("l_partkey"))), supplier),
-            F.when(finished, link(supplier, mart)),
-            F.when(reported, link(mart, report)),
-            F.when(
-                reported,
-                link(
-                    column_fqn(mart, F.lit("pipeline_id")),
-                    column_fqn(report, F.lit("processing_step")),
-                    V.COLUMN_LEVEL,
-                ),
-            ),
-        )
+    part = F.when(~untracked, dataset_fqn(F.col("l_partkey")))
+    supplier, mart, report = F.col("supplier"), F.col("mart"), F.col("report")
+    columns = link(
+        column_fqn(mart, F.lit("pipeline_id")), column_fqn(report, F.lit("processing_step")), V.COLUMN_LEVEL
+    )
+    none = F.array().cast("array<struct<source:string,target:string,level:string>>")
+    chain = F.concat(
+        F.array(link(part, supplier)),
+        F.when(F.col("l_linestatus") == "F", F.array(link(supplier, mart))).otherwise(none),
+        F.when(F.col("l_returnflag") == "R", F.array(link(mart, report), columns)).otherwise(none),
     )
     shipped = F.col("l_shipdate").cast("date")
     parts = [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), shipped]
@@ -151,7 +149,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").alias("start_time"),
         F.lit(None).cast("timestamp_ntz").alias("end_time"),
         chain.alias("links"),
-        customer_location().alias("location"),
+        "location",
     )
 
 

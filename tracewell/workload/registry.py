@@ -365,8 +365,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = links.table_edges(stored_log(spark, sf_dir).events)
-    return graph.reach(edges, graph.storage_roots(edges))
+    return graph.reach(links.table_edges(stored_log(spark, sf_dir).events))
 
 
 QUERIES: dict[str, Query] = {
