@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 SUFFIX = ".parquet"
 SCHEME_AND_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+COLUMN_SCHEMA = "dataset string, position int, column_name string, column_type string"
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -23,51 +28,56 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "length", "modificationTime")
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """One row per dataset: a directory, or a single file, directly below `root`."""
+def _below(root: str) -> Column:
+    """First path component of a listed file below `root`: a directory or a file."""
     bare = F.regexp_replace("path", SCHEME_AND_AUTHORITY, "")
     base = re.sub(SCHEME_AND_AUTHORITY, "", root).rstrip("/")
-    inside = F.substring(bare, len(base) + 2, 2147483647)
-    first = F.substring_index(inside, "/", 1)
-    dataset = F.regexp_replace(first, r"\.parquet$", "")
+    return F.substring_index(F.substring(bare, len(base) + 2, 2147483647), "/", 1)
+
+
+def discover(spark: SparkSession, root: str) -> DataFrame:
+    """One row per dataset: a directory, or a single file, directly below `root`."""
+    first = _below(root)
     return (
         list_files(spark, root)
-        .select(
-            dataset.alias("dataset"),
+        .groupBy(
+            F.regexp_replace(first, r"\.parquet$", "").alias("dataset"),
             F.concat(F.lit(f"{root.rstrip('/')}/"), first).alias("location"),
-            "length",
-            "modificationTime",
         )
-        .groupBy("dataset", "location")
         .agg(
             F.count(F.lit(1)).alias("files"),
             F.sum("length").alias("bytes"),
             F.max("modificationTime").alias("last_modified"),
+            F.max_by("path", F.struct("modificationTime", "path")).alias("newest"),
         )
     )
 
 
 def discover_columns(spark: SparkSession, root: str) -> DataFrame:
-    """Columns of every dataset below `root`, from file footers.
+    """Columns of every dataset below `root`, from the footer of its newest file.
 
-    The loop is over datasets, whose number is that of catalog objects and
-    not that of rows or files.
+    Footers are read in tasks, over which the datasets are spread. Columns that only appear in
+    directory names (`column=value`) are not part of a footer.
     """
-    found = discover(spark, root).select("dataset", "location").collect()
-    columns = [
-        (row.dataset, position, field.name, field.dataType.simpleString())
-        for row in found
-        for position, field in enumerate(spark.read.parquet(row.location).schema.fields)
-    ]
-    schema = T.StructType(
-        [
-            T.StructField("dataset", T.StringType()),
-            T.StructField("position", T.IntegerType()),
-            T.StructField("column_name", T.StringType()),
-            T.StructField("column_type", T.StringType()),
-        ]
-    )
-    return spark.createDataFrame(columns, schema)
+    datasets = discover(spark, root).select("dataset", "newest")
+    spread = datasets.repartition(spark.sparkContext.defaultParallelism, "dataset")
+    return spread.mapInPandas(_footers, COLUMN_SCHEMA)
+
+
+def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for dataset, path in zip(batch["dataset"], batch["newest"]):
+            filesystem, name = pafs.FileSystem.from_uri(path)
+            footer = pq.read_schema(name, filesystem=filesystem)
+            fields = from_arrow_schema(footer, prefer_timestamp_ntz=True).fields
+            yield pd.DataFrame(
+                {
+                    "dataset": dataset,
+                    "position": range(len(fields)),
+                    "column_name": [field.name for field in fields],
+                    "column_type": [field.dataType.simpleString() for field in fields],
+                }
+            )
 
 
 def dataset_location(spark: SparkSession, root: str, dataset: str) -> str:

@@ -6,6 +6,9 @@ catalog, V2 catalog, external connector) is a matter of configuration.
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +20,30 @@ def read_dir(spark: SparkSession, path: str) -> DataFrame:
 
 
 def overwrite_dir(df: DataFrame, path: str) -> None:
-    """Replace the whole directory, whatever files it held."""
+    """Replace the whole directory, whatever files it held.
+
+    Spark empties the directory before it reads, so a frame that reads from
+    there is refused while its files still exist.
+    """
+    if reads_from(df, path):
+        raise ValueError(f"cannot overwrite {path}: the data to write is read from there")
     df.write.mode("overwrite").parquet(path)
 
 
+def reads_from(df: DataFrame, path: str) -> bool:
+    """Whether some input file of `df` lies at or below `path`.
+
+    A path without a scheme is compared without scheme and authority.
+    """
+    def shortened(uri: str) -> str:
+        drop = r"^[a-z0-9+.-]+:" if "://" in path else r"^[a-z0-9+.-]+:(//[^/]*)?"
+        return re.sub(drop, "", unquote(uri))
+
+    root = shortened(path).rstrip("/")
+    files = map(shortened, df.inputFiles())
+    return any(file == root or file.startswith(f"{root}/") for file in files)
+
+
 def read_table(spark: SparkSession, name: str, connector: str | None = None, **options: str) -> DataFrame:
     """A catalog table, or the same name through an external connector."""
     if connector is None:

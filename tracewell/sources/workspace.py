@@ -9,21 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_own_roots: dict[str, str] = {}
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster, also made the checkpoint directory.
+    """The shared folder that the cluster names in `spark.checkpoint.dir`.
 
     Only a local master, where driver and executors are one machine, gets a
-    folder of its own when none is configured.
+    folder of its own when none is named.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tracewell-")
-        spark.conf.set(CHECKPOINT_DIR, root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        app = spark.sparkContext.applicationId
+        if app not in _own_roots:
+            _own_roots[app] = tempfile.mkdtemp(prefix="tracewell-")
+        root = _own_roots[app]
     return root.rstrip("/")
 
 
