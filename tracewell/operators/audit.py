@@ -63,15 +63,16 @@ def purge(log: LineageLog, locations: Sequence[str] = V.LOCATIONS) -> LineageLog
     partitions of `locations` take part in the anti-join.
     """
     here = F.col("location").isin(*locations)
+    elsewhere = ~here | F.col("location").isNull()
     listed = log.processes.where(here).select(F.col("name").alias("process"))
 
     def survivors(records: DataFrame) -> DataFrame:
         orphans = records.where(here).withColumn("process", process_of(F.col("name")))
         orphans = orphans.join(listed, "process", "left_anti").drop("process")
-        return records.where(~here).unionByName(orphans)
+        return records.where(elsewhere).unionByName(orphans)
 
     return LineageLog(
-        log.processes.where(~here), survivors(log.runs), survivors(log.events), log.entries
+        log.processes.where(elsewhere), survivors(log.runs), survivors(log.events), log.entries
     )
 
 
