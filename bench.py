@@ -16,19 +16,20 @@ import time
 
 from pyspark.sql import SparkSession
 
+from tracewell.session import configure
 from tracewell.workload.derived_log import stored_log
 from tracewell.workload.registry import QUERIES
 
 
 def session(cpus: str) -> SparkSession:
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        configure(SparkSession.builder)
+        .master(f"local[{cpus}]")
         .appName("tracewell-bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tracewell-warehouse-"))
         .getOrCreate()
     )

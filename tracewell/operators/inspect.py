@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewell import fixed_values as V
 from tracewell.functions import normalise_identifier, process_of, run_of
-from tracewell.operators.links import edges_per_process, flatten_links
+from tracewell.operators.links import edges_per_process
 from tracewell.sources.log import LineageLog
 
 
@@ -174,13 +174,17 @@ def gated_runs_by_source(log: LineageLog, identifiers: DataFrame | None = None)
     answer; else the events that read it. A table that is only read is
     therefore left out, use `runs_by_source` for those. `identifiers` (column
     `identifier`, FQN or plain table name) narrows the report.
+
+    The written FQNs are one row each, so they spread evenly and are hashed
+    rather than sorted against the many reads.
     """
     reads = events_by_source(log.events)
-    written = flatten_links(log.events).select(F.col("target_fqn").alias("source_fqn")).distinct()
+    written = log.events.select(F.explode("links.target").alias("source_fqn")).distinct()
     if identifiers is not None:
         asked = identifiers.select(normalise_identifier(F.col("identifier")).alias("source_fqn"))
         written = written.join(asked.distinct(), "source_fqn", "left_semi")
-    return with_process_details(reads.join(written, "source_fqn", "left_semi"), log.processes)
+    gated = reads.join(written.hint("shuffle_hash"), "source_fqn", "left_semi")
+    return with_process_details(gated, log.processes)
 
 
 def run_details(log: LineageLog) -> DataFrame:

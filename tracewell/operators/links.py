@@ -73,11 +73,14 @@ def _first_seen(links: DataFrame, *scope: Column) -> DataFrame:
 
     Names are unique, so the order is total. An aggregate rather than a
     window: repeated edges collapse before the shuffle, and the shuffle key is
-    the edge, so neither a busy process nor a busy edge lands on one task.
+    the edge, so neither a busy process nor a busy edge lands on one task. The
+    aggregate sorts; names share long prefixes, so their hash goes first and
+    the names themselves are compared only where hashes are equal.
     """
+    edge = [*scope, F.col("source_fqn"), F.col("target_fqn")]
     first = F.min(F.struct("start_time", "event")).alias("first")
-    edges = links.groupBy(*scope, "source_fqn", "target_fqn").agg(first)
-    return edges.withColumn("event", F.col("first.event")).drop("first").withColumns(
+    edges = links.groupBy(F.xxhash64(*edge).alias("edge_hash"), *edge).agg(first)
+    return edges.withColumn("event", F.col("first.event")).drop("first", "edge_hash").withColumns(
         {
             "run": run_of(F.col("event")),
             "source_path": fqn_to_path(F.col("source_fqn")),

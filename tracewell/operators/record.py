@@ -92,7 +92,8 @@ def events_from_links(links: DataFrame) -> DataFrame:
     An event record holds at most `LINKS_PER_EVENT` links; one that declares
     more goes on in further records, so no link is lost and no task gathers an
     unbounded list. A link delivered twice at its position counts once, which
-    also makes the write safe to repeat.
+    also makes the write safe to repeat. The hash in the key only makes
+    sorting by long names cheap.
     """
     part = F.floor(F.col("link_pos") / LINKS_PER_EVENT).cast("int")
     item = F.struct(
@@ -101,7 +102,8 @@ def events_from_links(links: DataFrame) -> DataFrame:
             F.col("source_fqn").alias("source"), F.col("target_fqn").alias("target"), F.col("level")
         ).alias("link"),
     )
-    grouped = links.groupBy("event", "start_time", "location", part.alias("part")).agg(
+    key = ["event", "start_time", "location", part.alias("part")]
+    grouped = links.groupBy(F.xxhash64("event", part).alias("key_hash"), *key).agg(
         F.sort_array(F.collect_set(item)).alias("items")
     )
     name = F.when(F.col("part") == 0, F.col("event")).otherwise(
