@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, WriterCommitMessage
 from records import rows
 
+from tracewell.operators.identity import process_identity
+from tracewell.operators.links import edges_first_seen
 from tracewell.operators.stamp import stamp, stamp_ingestion, stamp_pipeline, stamp_step
 from tracewell.plans import pipelines
 from tracewell.sources import tables
@@ -187,6 +189,39 @@ def test_chain_declares_table_and_column_lineage(spark, source, namespace, path)
     assert run.name.startswith(process.name + "/runs/")
 
 
+def test_four_runs_under_three_identities(spark, source, namespace, path):
+    create_log(spark, path("log"))
+    tables.load_table(spark, source, f"{namespace}.src")
+    app = spark.conf.get("spark.app.name")
+    phases = [
+        ("_baseline", {}),
+        ("_baseline", {}),
+        ("_v2", {"spark.openlineage.appName": "other"}),
+        ("_explicit", {"spark.openlineage.namespace": "own", "spark.openlineage.appName": "explicit"}),
+    ]
+    for suffix, settings in phases:
+        job = pipelines.Job("proj", "job_6", "Unique job", "Unique run", path("log"))
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        outcome = pipelines.table_with_lineage(
+            spark, f"{namespace}.src", f"{namespace}.dst", "p6", job, NOON, suffix
+        )
+        for key in settings:
+            spark.conf.unset(key)
+        assert outcome.ok
+    log = read_log(spark, path("log"))
+    assert log.processes.count() == 4
+    got = process_identity(log)
+    assert rows(got, "namespace", "app_name", "processes") == sorted(
+        [("default", app, 2), ("default", "other", 1), ("own", "explicit", 1)], key=repr
+    )
+    edges = edges_first_seen(log.events)
+    base = f"bigquery:proj.{namespace}"
+    assert rows(edges, "source_fqn", "target_fqn") == [
+        (f"{base}.src", f"{base}.dst{suffix}") for suffix in ("_baseline", "_explicit", "_v2")
+    ]
+
+
 KIND = pipelines.EntryKind("entry-type", "aspect", "aspect-type")
 
 

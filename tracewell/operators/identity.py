@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell import fixed_values as V
@@ -33,6 +33,13 @@ def cluster_default() -> Column:
     return project_of(F.col("name"))
 
 
+def session_properties(spark: SparkSession) -> dict[str, str]:
+    """The settings of a session that say which process its runs belong to."""
+    keys = (V.NAMESPACE_PROPERTY, V.APP_NAME_PROPERTY, V.SPARK_APP_NAME)
+    given = {key: spark.conf.get(key, None) for key in keys}
+    return {key: value for key, value in given.items() if value is not None}
+
+
 def identity_members(processes: DataFrame, default_namespace: Column | None = None) -> DataFrame:
     """Each process with its identity; the batch it ran as plays no part."""
     default = serverless_default() if default_namespace is None else default_namespace

@@ -2,7 +2,8 @@
 
 Jobs are rows: project, location, job_id, job_name, run_name, started_at
 (timestamp_ntz) and, where they declare lineage, links (array of source,
-target, level). A single job is a frame of one row. Edges are what the job
+target, level). Where there is a map column `properties`, processes keep it as
+further attributes. A single job is a frame of one row. Edges are what the job
 declares; nothing is derived from query plans.
 """
 
@@ -51,10 +52,13 @@ def _run_name() -> Column:
 
 
 def process_records(jobs: DataFrame) -> DataFrame:
+    attributes = F.create_map(F.lit(V.JOB_ID), F.col("job_id"))
+    if "properties" in jobs.columns:
+        attributes = F.map_concat(attributes, F.col("properties"))
     return jobs.select(
         _process_name().alias("name"),
         F.col("job_name").alias("display_name"),
-        F.create_map(F.lit(V.JOB_ID), F.col("job_id")).alias("attributes"),
+        attributes.alias("attributes"),
         F.struct(F.lit(V.CUSTOM_ORIGIN).alias("source_type"), _parent().alias("name")).alias("origin"),
         "location",
     )

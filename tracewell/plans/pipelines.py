@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tracewell import fixed_values as V
 from tracewell.functions import column_fqn, custom_fqn, gcs_fqn, table_fqn
 from tracewell.operators import record
+from tracewell.operators.identity import session_properties
 from tracewell.operators.record import Emission
 from tracewell.operators.stamp import stamp_ingestion, stamp_pipeline, stamp_step
 from tracewell.sources import discovery, log, tables
@@ -66,6 +68,7 @@ class Job:
     run_name: str
     log_root: str
     location: str = V.LOCATIONS[0]
+    properties: Mapping[str, str] = field(default_factory=dict)
 
 
 def _job_row(spark: SparkSession, job: Job, **paths: str) -> DataFrame:
@@ -78,8 +81,9 @@ def _job_row(spark: SparkSession, job: Job, **paths: str) -> DataFrame:
         **paths,
     }
     now = datetime.now(timezone.utc).replace(tzinfo=None)
-    schema = ", ".join(f"{name} string" for name in fixed) + ", started_at timestamp_ntz"
-    return spark.createDataFrame([(*fixed.values(), now)], schema)
+    schema = ", ".join(f"{name} string" for name in fixed)
+    schema += ", started_at timestamp_ntz, properties map<string,string>"
+    return spark.createDataFrame([(*fixed.values(), now, dict(job.properties))], schema)
 
 
 def append_jobs(jobs: DataFrame, log_root: str) -> None:
@@ -97,6 +101,13 @@ def copy_links(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("links", F.array(record.link(source, dest)))
 
 
+def table_links(jobs: DataFrame) -> DataFrame:
+    """Declare source_table to dest_table, both named `namespace.table`."""
+    project = F.concat(F.lit(V.BIGQUERY), F.col("project"), F.lit("."))
+    source = F.concat(project, F.col("source_table"))
+    return jobs.withColumn("links", F.array(record.link(source, F.concat(project, F.col("dest_table")))))
+
+
 def two_step_links(jobs: DataFrame) -> DataFrame:
     """Declare source_path to table_1 to table_2, and the column the second step adds.
 
@@ -161,6 +172,25 @@ def files_with_lineage(
     return record.best_effort(emit)
 
 
+def table_with_lineage(
+    spark: SparkSession,
+    source: str,
+    dest: str,
+    pipeline_id: str,
+    job: Job,
+    as_of: Clock = None,
+    suffix: str = "",
+) -> Emission:
+    """Table, stamp, suffixed table, then a table-level link under the identity of the run.
+
+    The identity is that of the job's properties, or else of the session.
+    """
+    name = table_to_table(spark, source, dest, pipeline_id, as_of, suffix)
+    job = replace(job, properties=job.properties or session_properties(spark))
+    row = _job_row(spark, job, source_table=source, dest_table=name)
+    return record.best_effort(lambda: append_jobs(table_links(row), job.log_root))
+
+
 @dataclass(frozen=True)
 class Chain:
     """Names of a two-step chain in a catalog."""
