@@ -43,6 +43,7 @@ def test_table_and_column_names(spark):
     assert table == "bigquery:p.ns.t"
     assert evaluate(spark, lambda f: N.column_fqn(f, F.lit("id")), table) == "bigquery:p.ns.t.id"
     assert evaluate(spark, N.parent_fqn, "bigquery:p.ns.t.id") == table
+    assert evaluate(spark, N.parent_fqn, "plain") == "plain"
     assert evaluate(spark, N.table_fqn, "p", None, "t") is None
 
 

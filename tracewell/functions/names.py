@@ -42,7 +42,9 @@ def column_fqn(fqn: Column, column: Column) -> Column:
 
 def parent_fqn(fqn: Column) -> Column:
     """The table of a column FQN: everything before the last dot."""
-    return F.regexp_replace(fqn, r"\.[^.]*$", "")
+    last = F.substring_index(fqn, ".", -1)
+    before = F.left(fqn, F.length(fqn) - F.length(last) - 1)
+    return F.when(fqn.contains("."), before).otherwise(fqn)
 
 
 def system_resource(path: Column) -> Column:

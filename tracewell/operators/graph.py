@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell import fixed_values as V
@@ -14,39 +14,47 @@ COMPACT_EVERY = 16
 
 
 def graph_edges(events: DataFrame) -> DataFrame:
-    """Distinct edges: table lineage, column lineage, and tables containing columns."""
-    links = without_self_links(declared_links(events)).select("source_fqn", "target_fqn", "level").distinct()
-    columns = links.where(F.col("level") == V.COLUMN_LEVEL)
-    contained = (
-        columns.select(F.explode(F.array("source_fqn", "target_fqn")).alias("column"))
-        .distinct()
-        .select(
-            parent_fqn(F.col("column")).alias("source_fqn"),
-            F.col("column").alias("target_fqn"),
-            F.lit("contains").alias("kind"),
-        )
-    )
-    return links.withColumnRenamed("level", "kind").unionByName(contained)
+    """Distinct edges: table lineage, column lineage, and tables containing columns.
+
+    A column link gives its own edge and the two that tie its ends to their
+    tables, all in one pass before the one shuffle.
+    """
+    source, target = F.col("source_fqn"), F.col("target_fqn")
+
+    def edge(start: Column, end: Column, kind: Column) -> Column:
+        return F.struct(start.alias("source_fqn"), end.alias("target_fqn"), kind.alias("kind"))
+
+    contains = F.lit("contains")
+    declared = edge(source, target, F.col("level"))
+    owned = [edge(parent_fqn(column), column, contains) for column in (source, target)]
+    edges = F.when(_is_column(), F.array(declared, *owned)).otherwise(F.array(declared))
+    links = without_self_links(declared_links(events))
+    return links.select(F.explode(edges).alias("edge")).select("edge.*").distinct()
 
 
 def graph_nodes(events: DataFrame) -> DataFrame:
     """Distinct endpoints with their kind; the table of a column is a node too."""
-    endpoint = (
+    fqn = F.col("fqn")
+
+    def node(name: Column, kind: Column | str) -> Column:
+        return F.struct(name.alias("fqn"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"))
+
+    table_kind = F.when(fqn.startswith(V.GCS), "storage").otherwise("table")
+    nodes = F.when(
+        _is_column(), F.array(node(fqn, "column"), node(parent_fqn(fqn), "table"))
+    ).otherwise(F.array(node(fqn, table_kind)))
+    return (
         declared_links(events)
         .select("level", F.explode(F.array("source_fqn", "target_fqn")).alias("fqn"))
-        .where(F.col("fqn").isNotNull())
+        .where(fqn.isNotNull())
+        .select(F.explode(nodes).alias("node"))
+        .select("node.*")
         .distinct()
     )
-    kind = (
-        F.when(F.col("level") == V.COLUMN_LEVEL, "column")
-        .when(F.col("fqn").startswith(V.GCS), "storage")
-        .otherwise("table")
-    )
-    nodes = endpoint.select("fqn", kind.alias("kind"))
-    owners = nodes.where(F.col("kind") == "column").select(
-        parent_fqn(F.col("fqn")).alias("fqn"), F.lit("table").alias("kind")
-    )
-    return nodes.unionByName(owners).distinct()
+
+
+def _is_column() -> Column:
+    return F.col("level") == V.COLUMN_LEVEL
 
 
 def storage_roots(edges: DataFrame) -> DataFrame:
