@@ -55,3 +55,15 @@ def test_members(phases):
     members = identity.identity_members(phases.processes)
     assert members.count() == 4
     assert members.select("namespace", "app_name").distinct().count() == 3
+
+
+def test_processes_without_any_name_are_kept(spark):
+    log = lineage_log(
+        spark,
+        [process("us", "a"), process("us", "b", **{"spark.openlineage.appName": "named"})],
+        [run("us", "a", "r"), run("us", "b", "r", start=NOON + timedelta(hours=1))],
+    )
+    assert rows(identity.process_identity(log), "app_name", "runs") == [("named", 1), (None, 1)]
+    assert rows(identity.identity_verdicts(log), "app_name", "verdict") == [
+        ("named", "new_app_name"), (None, "consolidated"),
+    ]

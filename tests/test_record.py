@@ -69,6 +69,12 @@ def test_existing_entries_are_left_alone(spark):
     assert rows(record.missing_entries(wanted, existing), "entry_id", "fqn") == [("b", "new:b1")]
 
 
+def test_an_entry_without_a_name_is_created_too(spark):
+    wanted = spark.createDataFrame([entry("a", None)], ENTRY_SCHEMA)
+    existing = spark.createDataFrame([], ENTRY_SCHEMA)
+    assert rows(record.missing_entries(wanted, existing), "entry_id", "fqn") == [("a", None)]
+
+
 def test_entry_of_a_path(spark):
     paths = spark.createDataFrame(
         [("i", "ns", "gs://b/source/", "Source")],

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 from pathlib import Path
+from unittest.mock import Mock
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,14 @@ def test_which_tables_are_of_the_session_catalog(spark):
     assert not tables._is_session_table(spark, "`lake`.`ns`.t")
 
 
+def test_a_v2_table_is_appended_to_with_write_to(monkeypatch):
+    monkeypatch.setattr(tables, "_is_session_table", lambda spark, name: False)
+    df = Mock()
+    tables.append_table(df, "`lake`.`ns`.t")
+    df.writeTo.assert_called_once_with("`lake`.`ns`.t")
+    df.writeTo.return_value.append.assert_called_once_with()
+
+
 def chain(namespace, path):
     return pipelines.Chain("spark_catalog", namespace, path("warehouse"), "t1", "t2", "step_1", "step_2")
 

@@ -85,14 +85,15 @@ def identity_verdicts(log: LineageLog, default_namespace: Column | None = None)
         .groupBy("spark_app_name", "namespace", "app_name")
         .agg(F.sum("runs").alias("runs"), F.min("first").alias("first"))
     )
-    baseline = identities.groupBy("spark_app_name").agg(
+    baseline = identities.groupBy(F.col("spark_app_name").alias("base_app")).agg(
         F.min(F.struct("first", "namespace", "app_name")).alias("base")
     )
     verdict = (
-        F.when(F.col("namespace") != F.col("base.namespace"), "new_namespace")
-        .when(F.col("app_name") != F.col("base.app_name"), "new_app_name")
+        F.when(~F.col("namespace").eqNullSafe(F.col("base.namespace")), "new_namespace")
+        .when(~F.col("app_name").eqNullSafe(F.col("base.app_name")), "new_app_name")
         .otherwise("consolidated")
     )
-    return identities.join(baseline, "spark_app_name").select(
+    same_app = F.col("spark_app_name").eqNullSafe(F.col("base_app"))
+    return identities.join(baseline, same_app).select(
         "spark_app_name", "namespace", "app_name", "runs", verdict.alias("verdict")
     )

@@ -21,14 +21,15 @@ def location_rank(location: Column, locations: Sequence[str] = V.LOCATIONS) -> C
     return F.array_position(F.array(*map(F.lit, locations)), location)
 
 
-def _batch_texts() -> Column:
-    job_id = F.col("attributes").getItem(V.JOB_ID)
-    return F.array(F.col("origin.name"), job_id)
+def _batch_texts() -> tuple[Column, Column]:
+    """Where a process mentions its batch: the origin name and the job id."""
+    return F.col("origin.name"), F.col("attributes").getItem(V.JOB_ID)
 
 
 def processes_of_batch(processes: DataFrame, batch_id: str) -> DataFrame:
     """All processes whose origin name or job id contains `batch_id`."""
-    return processes.where(F.exists(_batch_texts(), lambda text: text.contains(batch_id)))
+    origin, job_id = (F.coalesce(text.contains(batch_id), F.lit(False)) for text in _batch_texts())
+    return processes.where(origin | job_id)
 
 
 def edges_of_batch(log: LineageLog, batch_id: str, locations: Sequence[str] = V.LOCATIONS) -> DataFrame:
@@ -56,7 +57,7 @@ def process_of_batches(
     lengths = batches.select(F.collect_set(F.length("batch_id")))
     by_text = (
         processes.where(F.col("location").isin(*locations))
-        .select(F.struct(rank, "name", "location").alias("hit"), F.explode(_batch_texts()).alias("text"))
+        .select(F.struct(rank, "name", "location").alias("hit"), F.explode(F.array(*_batch_texts())).alias("text"))
         .where(F.col("text").isNotNull())
         .groupBy("text")
         .agg(F.min("hit").alias("hit"))

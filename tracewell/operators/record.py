@@ -151,7 +151,7 @@ def missing_entries(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """
     record = F.struct(*wanted.columns)
     fresh = wanted.join(existing.select("entry_id"), "entry_id", "left_anti")
-    first = fresh.groupBy("entry_id").agg(F.min_by(record, "fqn").alias("record"))
+    first = fresh.groupBy("entry_id").agg(F.min_by(record, F.struct("fqn")).alias("record"))
     return first.select("record.*")
 
 

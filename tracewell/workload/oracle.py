@@ -284,11 +284,10 @@ copied AS (
            'custom:pages.dest.pages.' || CAST(page_id AS VARCHAR) AS target_fqn
     FROM page_job
 )
-SELECT c.source_fqn, c.target_fqn, s.job_id || '-source' AS source_entry,
-       replace(s.stripped, 'gs://', '//storage.googleapis.com/') AS source_resource,
-       c.job_id || '-dest' AS target_entry,
-       'gs://dest/pages/' || CAST(c.page_id AS VARCHAR) || '/' AS target_path
-FROM copied c JOIN copied s ON c.source_fqn = s.source_fqn""",
+SELECT source_fqn, target_fqn, min(job_id || '-source') OVER (PARTITION BY source_fqn) AS source_entry,
+       replace(stripped, 'gs://', '//storage.googleapis.com/') AS source_resource,
+       job_id || '-dest' AS target_entry, 'gs://dest/pages/' || CAST(page_id AS VARCHAR) || '/' AS target_path
+FROM copied""",
     "entry_upsert": _on_log("""
 SELECT entry_id, 'dataset' AS entry_type, fqn FROM lin_entry
 UNION ALL

@@ -244,17 +244,21 @@ def registered_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     pipelines.register_paths(paths, kind, root)
     pipelines.append_jobs(pipelines.copy_links(jobs), root)
     log = read_log(spark, root)
-    entries = log.entries.select(
-        "fqn", "entry_id", "entry_source.resource", F.col("aspects")["page-aspect"]["data"]["path"].alias("path")
+    aspect_path = F.col("aspects")["page-aspect"]["data"]["path"]
+    # Several pages may share a name: one row per name keeps the joins row for row.
+    entries = log.entries.groupBy("fqn").agg(
+        F.min("entry_id").alias("entry"),
+        F.min("entry_source.resource").alias("resource"),
+        F.min(aspect_path).alias("path"),
     )
     sources = entries.select(
         F.col("fqn").alias("source_fqn"),
-        F.col("entry_id").alias("source_entry"),
+        F.col("entry").alias("source_entry"),
         F.col("resource").alias("source_resource"),
     )
     targets = entries.select(
         F.col("fqn").alias("target_fqn"),
-        F.col("entry_id").alias("target_entry"),
+        F.col("entry").alias("target_entry"),
         F.col("path").alias("target_path"),
     )
     edges = links.declared_links(log.events).select("source_fqn", "target_fqn")
