@@ -67,9 +67,9 @@ class HashTable:
 
 
 class ChunkCache:
-    """`encode` gives the ids of one chunk of UTF-8 bytes."""
+    """`encode` gives the ids of each of some chunks of UTF-8 bytes."""
 
-    def __init__(self, encode: Callable[[bytes], list[int]], limit: int = CACHE_CHUNKS):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = CACHE_CHUNKS):
         self.encode, self.limit = encode, limit
         self._clear()
 
@@ -98,10 +98,9 @@ class ChunkCache:
         if len(missing):
             new, first = np.unique(hashes[missing], return_index=True)
             places = missing[first] if at is None else at[missing[first]]
-            ids = [
-                self.encode(words.raw[s:e].tobytes())
-                for s, e in zip(words.starts[places].tolist(), words.ends[places].tolist(), strict=True)
-            ]
+            data = words.raw.tobytes()
+            edges = zip(words.starts[places].tolist(), words.ends[places].tolist(), strict=True)
+            ids = self.encode([data[s:e] for s, e in edges])
             sizes = np.fromiter(map(len, ids), np.int32, len(ids))
             end, total = self.entries + len(ids), self.filled + int(sizes.sum())
             self.begins, self.sizes = self._room(self.begins, end), self._room(self.sizes, end)

@@ -75,7 +75,7 @@ def frequent_lengths(texts: DataFrame, path: str, size: int = TABLE_CHUNKS) -> t
             yield record_batch(
                 _LENGTHS,
                 split(found).hashes.view(np.int64),
-                [len(encode(c.encode())) for c in found.to_pylist()],
+                [len(ids) for ids in encode([c.encode() for c in found.to_pylist()])],
             )
 
     found = map_batches(frequent_chunks(texts, size), lengths, "hash long, n_tokens int").toArrow()

@@ -36,7 +36,7 @@ def _byte_signs() -> list[str]:
 
 
 class WordBpe:
-    """Calling it with the UTF-8 bytes of a chunk gives the library's ids."""
+    """Calling it with the UTF-8 bytes of chunks gives the library's ids of each."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -48,7 +48,10 @@ class WordBpe:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def __call__(self, chunk: bytes) -> list[int]:
+    def __call__(self, chunks: list[bytes]) -> list[list[int]]:
+        return [self.one(chunk) for chunk in chunks]
+
+    def one(self, chunk: bytes) -> list[int]:
         if chunk.isalpha():
             return [t.id for t in self.model.tokenize(chunk.lower().decode())]
         text = chunk.decode()

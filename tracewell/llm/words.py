@@ -42,6 +42,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _SHIFT)
 
 
+def byte_values(seed: int = 1) -> np.ndarray:
+    return np.frombuffer(np.random.RandomState(seed).bytes(256 * 8), np.uint64).copy()
+
+
+def stretch_hashes(
+    raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray
+) -> np.ndarray:
+    """A hash of the bytes from each start to its end."""
+    _grow(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(values[raw] * _powers[: len(raw)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _inverse_powers[starts])
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and where each begins and the last ends; null as empty."""
+    texts = texts.cast(pa.large_string())
+    n = len(texts)
+    if not n:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8)
+    base, end = int(offsets[0]), int(offsets[-1])
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8, end - base, base) if end > base else np.zeros(0, np.uint8)
+    return raw, offsets - base
+
+
 @dataclass
 class Splitter:
     """Splits at the bytes of `separators`; `fold` takes A-Z as a-z.
@@ -55,8 +82,7 @@ class Splitter:
     seed: int = 1
 
     def __post_init__(self):
-        values = np.random.RandomState(self.seed).bytes(256 * 8)
-        self.values = np.frombuffer(values, np.uint64).copy()
+        self.values = byte_values(self.seed)
         self.exact_values = self.values.copy()
         if self.fold:
             self.values[65:91] = self.values[97:123]
@@ -72,13 +98,7 @@ class Splitter:
 
         Where the texts hold the bytes `exact`, letters are not folded.
         """
-        texts = texts.cast(pa.large_string())
-        n = len(texts)
-        offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8)
-        base, end = int(offsets[0]), int(offsets[-1])
-        data = texts.buffers()[2]
-        raw = np.frombuffer(data, np.uint8, end - base, base) if end > base else np.zeros(0, np.uint8)
-        offsets = offsets - base
+        raw, offsets = text_bytes(texts)
         inside = np.concatenate(([False], ~self.splits[raw], [False]))
         edge = np.zeros(len(raw) + 1, bool)
         edge[offsets] = True
@@ -86,11 +106,8 @@ class Splitter:
             edge[1:-1] |= self.letters[raw[:-1]] & self.signs[raw[1:]]
         starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
         ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
-        _grow(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
         values = self.exact_values if exact and exact in raw.tobytes() else self.values
-        np.cumsum(values[raw] * _powers[: len(raw)], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * _inverse_powers[starts])
+        hashes = stretch_hashes(raw, starts, ends, values)
         return Words(raw, offsets, starts, ends, hashes, np.searchsorted(starts, offsets))
 
 

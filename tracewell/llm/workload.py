@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell.llm.huffman_ids import op1_huffman_ids
+from tracewell.llm.sentence_pieces import op5_sentencepiece
 from tracewell.llm.token_counts import op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_huffman_ids": op1_huffman_ids,
+    "op5_sentencepiece": op5_sentencepiece,
     "op10_token_counts": op10_token_counts,
 }
 
