@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell.llm.boilerplate_lines import line_spread_sql, op7_line_spread
 from tracewell.llm.huffman_ids import op1_huffman_ids
+from tracewell.llm.quality import kept_sql, op9_quality_cascade
 from tracewell.llm.sentence_pieces import op5_sentencepiece
 from tracewell.llm.token_counts import op10_token_counts
+from tracewell.llm.warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_huffman_ids": op1_huffman_ids,
+    "op3_warc": op3_warc,
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_line_spread": op7_line_spread,
+    "op9_quality_cascade": op9_quality_cascade,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_line_spread": line_spread_sql(),
+    "op9_quality_cascade": kept_sql(),
+}
