@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text taken at a time, so that a batch of long texts stays small in numpy.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 Batches = Iterator[pa.RecordBatch]
 

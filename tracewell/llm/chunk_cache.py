@@ -15,7 +15,7 @@ import numpy as np
 from tracewell.llm.words import Words
 
 #: Chunks a worker keeps; beyond them it starts afresh, which costs time only.
-CACHE_CHUNKS = 1 << 20
+CACHE_CHUNKS = 3 << 18
 
 
 class HashTable:
@@ -52,7 +52,7 @@ class HashTable:
         if 2 * (self.used + len(hashes)) > len(self.keys):
             old = self.keys != 0
             keys, kept = self.keys[old], self.values[old]
-            bits = int(2 * (self.used + len(hashes))).bit_length() + 1
+            bits = int(2 * (self.used + len(hashes))).bit_length()
             self.__init__(bits)
             self.add(keys, kept)
         self.used += len(hashes)

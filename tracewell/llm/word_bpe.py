@@ -23,7 +23,7 @@ _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ž]+")
 _PARTS = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-z0-9ß-öø-ž]+"
 )
-_PARTS_KEPT = 1 << 19
+_PARTS_KEPT = 1 << 17
 SPECIAL = b"<|"
 
 
