@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewell.llm.boilerplate_lines import line_spread_sql, op7_line_spread
 from tracewell.llm.huffman_ids import op1_huffman_ids
 from tracewell.llm.quality import kept_sql, op9_quality_cascade
+from tracewell.llm.reshard import op8_min_cost_reshard
 from tracewell.llm.sentence_pieces import op5_sentencepiece
 from tracewell.llm.token_counts import op10_token_counts
 from tracewell.llm.warc import op3_warc
@@ -18,11 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_line_spread": op7_line_spread,
+    "op8_min_cost_reshard": op8_min_cost_reshard,
     "op9_quality_cascade": op9_quality_cascade,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLE: dict[str, str] = {
     "op7_line_spread": line_spread_sql(),
+    "op8_min_cost_reshard": op8_min_cost_reshard,
     "op9_quality_cascade": kept_sql(),
 }
