@@ -24,7 +24,7 @@ def keyed_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
 
 
-def slices(batches: Batches, column: str = "text", limit: int = SLICE_BYTES) -> Batches:
+def slices(batches: Batches, column: str | int = "text", limit: int = SLICE_BYTES) -> Batches:
     """The same rows in batches of at most `limit` bytes of text, or of one row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

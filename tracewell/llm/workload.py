@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.boilerplate_lines import line_spread_sql, op7_line_spread
+from tracewell.llm.decontaminate import op2_spaced_seeds
 from tracewell.llm.huffman_ids import op1_huffman_ids
 from tracewell.llm.quality import kept_sql, op9_quality_cascade
 from tracewell.llm.reshard import op8_min_cost_reshard
@@ -16,6 +17,7 @@ from tracewell.llm.warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_huffman_ids": op1_huffman_ids,
+    "op2_spaced_seeds": op2_spaced_seeds,
     "op3_warc": op3_warc,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_line_spread": op7_line_spread,
