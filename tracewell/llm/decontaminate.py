@@ -9,8 +9,8 @@ over the documents. Around each hit, document and item are laid along each other
 and the longest stretch with at least four of five words equal is measured. A match
 has a stretch of `MIN_WORDS` words.
 
-Words are runs of ASCII letters and digits and of other characters than ASCII; A-Z
-counts as a-z. An item of 5 to 12 words matches only where all of it occurs word
+Words are runs of ASCII letters and digits and of other characters than ASCII, in
+lower case. An item of 5 to 12 words matches only where all of it occurs word
 for word; one of fewer words cannot be told from chance and matches nothing. Null
 and empty texts match nothing; a null key stays null; repeated rows match alike;
 without documents or items there are no rows. Other columns are not looked at, or
@@ -21,12 +21,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.batches import Batches, documents, keyed_texts, map_batches, record_batch, slices
 from tracewell.llm.chunk_cache import HashTable
-from tracewell.llm.words import Splitter, mix, odd_numbers
+from tracewell.llm.words import Splitter, Words, mix, odd_numbers
 
 MASKS = ("11110001011", "11011111", "101111011")
 MIN_WORDS = 13
@@ -41,8 +42,8 @@ _SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
 _MATCHES = "key long, item_id long, doc_start long, item_start long, n_words long, n_equal long"
 
 
-def _split() -> Splitter:
-    return Splitter(_SEPARATORS, fold=True)
+def _words(texts: pa.Array) -> Words:
+    return Splitter(_SEPARATORS)(pc.utf8_lower(texts.cast(pa.string())))
 
 
 def seeds(hashes: np.ndarray, mask: str, seed: int) -> np.ndarray:
@@ -60,7 +61,7 @@ class Index:
     """Words and seeds of some benchmark items."""
 
     def __init__(self, ids: list[int | None], texts: list[str | None]):
-        words = _split()(pa.array(texts, pa.large_string()))
+        words = _words(pa.array(texts, pa.string()))
         self.ids, self.hashes, self.bounds = ids, words.hashes, words.bounds
         owner = np.repeat(np.arange(len(ids)), words.counts)
         place = np.arange(len(owner)) - self.bounds[owner]
@@ -162,9 +163,9 @@ def find_matches(
         shared = df.sparkSession.sparkContext.broadcast(block)
 
         def match(batches: Batches, shared=shared) -> Batches:
-            index, split = Index(*shared.value), _split()
+            index = Index(*shared.value)
             for batch in slices(batches):
-                words = split(batch.column("text"))
+                words = _words(batch.column("text"))
                 rows = matches_in(index, words.hashes, words.bounds)
                 keys = batch.column("key").to_pylist()
                 columns = [[keys[r[0]] for r in rows], [index.ids[r[1]] for r in rows]]
@@ -189,9 +190,9 @@ def drop_contaminated(
         shared = df.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches: Batches, shared=shared) -> Batches:
-            index, split = Index(*shared.value), _split()
+            index = Index(*shared.value)
             for batch in slices(batches, column):
-                words = split(batch.column(column).cast(pa.string()))
+                words = _words(batch.column(column))
                 clean = np.ones(batch.num_rows, bool)
                 clean[[row[0] for row in matches_in(index, words.hashes, words.bounds)]] = False
                 yield batch.filter(pa.array(clean))
