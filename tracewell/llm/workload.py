@@ -12,6 +12,7 @@ from tracewell.llm.huffman_ids import op1_huffman_ids
 from tracewell.llm.quality import kept_sql, op9_quality_cascade
 from tracewell.llm.reshard import op8_min_cost_reshard
 from tracewell.llm.sentence_pieces import op5_sentencepiece
+from tracewell.llm.substring_dedup import op6_countmin_windows, repeated_sql
 from tracewell.llm.token_counts import op10_token_counts
 from tracewell.llm.warc import op3_warc
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_spaced_seeds": op2_spaced_seeds,
     "op3_warc": op3_warc,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_countmin_windows": op6_countmin_windows,
     "op7_line_spread": op7_line_spread,
     "op8_min_cost_reshard": op8_min_cost_reshard,
     "op9_quality_cascade": op9_quality_cascade,
@@ -27,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op6_countmin_windows": repeated_sql(),
     "op7_line_spread": line_spread_sql(),
     "op8_min_cost_reshard": op8_min_cost_reshard,
     "op9_quality_cascade": kept_sql(),
