@@ -138,9 +138,10 @@ def with_words(df: DataFrame, text: str) -> DataFrame:
 def sample_of(df: DataFrame, text: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """At most `rows` texts, drawn thinly, or the first ones of a small table."""
     texts = df.select(F.col(text).cast("string").alias("text"))
-    drawn = texts.sample(SAMPLE_SHARE, seed=1).limit(rows).toArrow()
-    if drawn.num_rows < rows // 10:
-        drawn = texts.limit(rows).toArrow()
+    # `take` reads partitions only until it has enough.
+    drawn = texts.sample(SAMPLE_SHARE, seed=1).take(rows)
+    if len(drawn) < rows // 10:
+        drawn = texts.take(rows)
     return df.sparkSession.createDataFrame(drawn, "text string")
 
 
