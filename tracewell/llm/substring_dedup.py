@@ -20,6 +20,7 @@ gives an empty one. Further columns are not looked at.
 from __future__ import annotations
 
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,23 @@ def _get(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
+def _packed(bitmap: np.ndarray) -> bytes:
+    """The gaps between set bits, a byte each; 255 says that the gap goes on."""
+    at = np.flatnonzero(np.unpackbits(bitmap, bitorder="little"))
+    gaps = np.diff(at, prepend=0)
+    more = gaps // 255
+    out = np.full(len(gaps) + int(more.sum()), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = gaps % 255
+    return out.tobytes()
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    gaps = np.frombuffer(data, np.uint8)
+    bitmap = np.zeros(size, np.uint8)
+    _set(bitmap, np.cumsum(gaps, dtype=np.int64)[gaps < 255])
+    return bitmap
+
+
 class Sketch:
     """Counters that stop at two, as bits for `once` and for `more`."""
 
@@ -99,14 +117,13 @@ def _sketched(n: int, bits: int):
             for number, start in enumerate(range(0, 1 << bits - 3, size)):
                 once, more = sketch.once[row, start : start + size], sketch.more[row, start : start + size]
                 if once.any():
-                    packed = [[zlib.compress(x.tobytes(), 1)] for x in (once, more)]
-                    yield record_batch(_SLICE, [row * SLICES + number], *packed)
+                    yield record_batch(_SLICE, [row * SLICES + number], [_packed(once)], [_packed(more)])
 
     return run
 
 
-def _merged(batches: Batches) -> Batches:
-    """Rows of one slot come one after the other."""
+def _merged(size: int, batches: Batches) -> Batches:
+    """Rows of one slot come one after the other; a slot has `size` bytes."""
     slot = once = more = None
 
     def result():
@@ -114,11 +131,11 @@ def _merged(batches: Batches) -> Batches:
 
     for batch in batches:
         for row in batch.to_pylist():
-            next_once, next_more = (np.frombuffer(zlib.decompress(row[c]), np.uint8) for c in ("once", "more"))
+            next_once, next_more = (_unpacked(row[c], size) for c in ("once", "more"))
             if row["slot"] != slot:
                 if slot is not None:
                     yield result()
-                slot, once, more = row["slot"], next_once.copy(), next_more.copy()
+                slot, once, more = row["slot"], next_once, next_more
             else:
                 more |= next_more | (once & next_once)
                 once |= next_once
@@ -137,8 +154,9 @@ def repeated_counters(texts: DataFrame, n: int = WINDOW, bits: int | None = None
     bits = bits or sketch_bits(texts)
     sketches = map_batches(texts, _sketched(n, bits), "slot int, once binary, more binary")
     dealt = sketches.repartitionById(ROWS * SLICES, "slot").sortWithinPartitions("slot")
-    merged = map_batches(dealt, _merged, "slot int, once binary, more binary").select("slot", "more").toArrow()
     size = max(1, (1 << bits - 3) // SLICES)
+    merge = partial(_merged, size)
+    merged = map_batches(dealt, merge, "slot int, once binary, more binary").select("slot", "more").toArrow()
     found = np.zeros((ROWS, 1 << bits - 3), np.uint8)
     for slot, more in zip(merged.column("slot").to_pylist(), merged.column("more").to_pylist(), strict=True):
         start = slot % SLICES * size
