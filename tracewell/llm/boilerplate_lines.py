@@ -96,6 +96,24 @@ def remove_widespread(
     )
 
 
+def without_widespread(
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    site: str = "source",
+    size: str | None = "n_chars",
+    min_sites: int = MIN_SITES,
+) -> DataFrame:
+    """The rows with their texts cleaned; `size`, if named, is the length of a text that changed."""
+    found = remove_widespread(df, key, text, site, min_sites)
+    columns = {name: F.col(f"row.`{name}`") for name in df.columns}
+    columns[text] = F.col("cleaned")
+    if size:
+        length = F.length("cleaned").cast(df.schema[size].dataType)
+        columns[size] = F.when(F.col("n_removed") > 0, length).otherwise(columns[size])
+    return found.select(*[column.alias(name) for name, column in columns.items()])
+
+
 def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_widespread(documents(spark, sf_dir))
     return found.select(

@@ -35,7 +35,13 @@ _PIECES = pa.schema(
     [("key", pa.int64()), ("ids", _INT_LIST), ("begins", _INT_LIST), ("ends", _INT_LIST)]
 )
 _DIGESTS = pa.schema(
-    [("key", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    [
+        ("key", pa.int64()),
+        ("n_tokens", pa.int64()),
+        ("ids_sha256", pa.string()),
+        ("decoded_sha256", pa.string()),
+        ("ids", _INT_LIST),
+    ]
 )
 
 
@@ -342,17 +348,21 @@ def _digests(batches: Batches, path: str) -> Batches:
             [len(x) for x in ids],
             [hashlib.sha256(" ".join([names[i] for i in x]).encode()).hexdigest() for x in ids],
             [hashlib.sha256(x.encode()).hexdigest() for x in batch.column("decoded").to_pylist()],
+            batch.column("ids"),
         )
 
 
-def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of what the operator gives, taken in the same task as the encoding."""
-    import public_tokenizers
-
-    path = public_tokenizers.path("piece_bpe_32k.model")
+def encoded_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256, ids), with the digests taken in the task that encodes and decodes."""
     found = map_batches(
-        keyed_texts(documents(spark, sf_dir), "doc_id", "text"),
+        keyed_texts(df, key, text),
         lambda batches: _digests(batches, path),
-        "key long, n_tokens long, ids_sha256 string, decoded_sha256 string",
+        "key long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>",
     )
-    return found.withColumnRenamed("key", "doc_id")
+    return found.withColumnRenamed("key", key)
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encoded_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")).drop("ids")

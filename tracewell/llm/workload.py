@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewell.llm.boilerplate_lines import line_spread_sql, op7_line_spread
 from tracewell.llm.decontaminate import op2_spaced_seeds
 from tracewell.llm.huffman_ids import op1_huffman_ids
+from tracewell.llm.minhash_dedup import near_duplicates_sql, op4_minhash_hamming
 from tracewell.llm.quality import kept_sql, op9_quality_cascade
 from tracewell.llm.reshard import op8_min_cost_reshard
 from tracewell.llm.sentence_pieces import op5_sentencepiece
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_huffman_ids": op1_huffman_ids,
     "op2_spaced_seeds": op2_spaced_seeds,
     "op3_warc": op3_warc,
+    "op4_minhash_hamming": op4_minhash_hamming,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_countmin_windows": op6_countmin_windows,
     "op7_line_spread": op7_line_spread,
@@ -29,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_minhash_hamming": near_duplicates_sql(),
     "op6_countmin_windows": repeated_sql(),
     "op7_line_spread": line_spread_sql(),
     "op8_min_cost_reshard": op8_min_cost_reshard,
