@@ -27,7 +27,7 @@ def run(location, process, name, state="COMPLETED", start=NOON):
 def event(location, process, run, name, links, start=NOON):
     full = f"{process_name(location, process)}/runs/{run}/lineageEvents/{name}"
     shaped = None if links is None else [(*link, "table")[:3] for link in links]
-    return (full, start, None, shaped, location)
+    return (full, start, None, location, shaped)
 
 
 def entry(entry_id, fqn):
@@ -35,7 +35,14 @@ def entry(entry_id, fqn):
 
 
 def lineage_log(spark, processes=(), runs=(), events=(), entries=()):
-    rows = {"processes": processes, "runs": runs, "events": events, "entries": entries}
+    """Events are given with their links, or None."""
+    links = [
+        (name, start, pos, *link, location)
+        for name, start, _, location, shaped in events
+        for pos, link in enumerate(shaped or ())
+    ]
+    events = [row[:4] for row in events]
+    rows = {"processes": processes, "runs": runs, "events": events, "links": links, "entries": entries}
     return LineageLog(
         **{kind: spark.createDataFrame(list(rows[kind]), schema) for kind, schema in SCHEMAS.items()}
     )

@@ -96,3 +96,5 @@ def test_purge_writes_a_new_snapshot(spark, log, path):
     kept = read_log(spark, path("kept"))
     assert (stored.events.count(), kept.events.count()) == (4, 2)
     assert kept.events.schema == stored.events.schema
+    with pytest.raises(ValueError, match="already"):
+        audit.purge_to(stored, path("log"), ["us-east1"])

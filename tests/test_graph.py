@@ -20,7 +20,7 @@ def chain(spark):
 
 
 def test_nodes(chain):
-    assert rows(graph.graph_nodes(chain.events), "fqn", "kind") == [
+    assert rows(graph.graph_nodes(chain.links), "fqn", "kind") == [
         ("bigquery:p.n.one", "table"),
         ("bigquery:p.n.one.pipeline_id", "column"),
         ("bigquery:p.n.two", "table"),
@@ -30,7 +30,7 @@ def test_nodes(chain):
 
 
 def test_edges(chain):
-    assert rows(graph.graph_edges(chain.events), "source_fqn", "target_fqn", "kind") == sorted(
+    assert rows(graph.graph_edges(chain.links), "source_fqn", "target_fqn", "kind") == sorted(
         [(*pair[:2], pair[2] if len(pair) == 3 else "table") for pair in CHAIN]
         + [
             ("bigquery:p.n.one", "bigquery:p.n.one.pipeline_id", "contains"),

@@ -3,9 +3,9 @@ from __future__ import annotations
 from datetime import timedelta
 
 import pytest
-from records import NOON, lineage_log, process, run, rows
+from records import NOON, lineage_log, process, process_name, run, rows
 
-from tracewell.operators import identity
+from tracewell.operators import identity, inspect
 
 APP = "nightly"
 PROPERTIES = [
@@ -63,7 +63,20 @@ def test_processes_without_any_name_are_kept(spark):
         [process("us", "a"), process("us", "b", **{"spark.openlineage.appName": "named"})],
         [run("us", "a", "r"), run("us", "b", "r", start=NOON + timedelta(hours=1))],
     )
-    assert rows(identity.process_identity(log), "app_name", "runs") == [("named", 1), (None, 1)]
+    name = process_name("us", "a")
+    assert rows(identity.process_identity(log), "app_name", "runs") == [("named", 1), (name, 1)]
     assert rows(identity.identity_verdicts(log), "app_name", "verdict") == [
-        ("named", "new_app_name"), (None, "consolidated"),
+        ("named", "consolidated"), (name, "consolidated"),
     ]
+
+
+def test_unnamed_processes_are_not_one(spark):
+    log = lineage_log(spark, [process("us", name) for name in "abc"])
+    assert rows(identity.process_identity(log), "processes", "runs") == [(1, 0)] * 3
+
+
+def test_a_process_delivered_twice_is_one(spark):
+    posted = process("us", "a", **{"spark.app.name": APP})
+    log = lineage_log(spark, [posted, posted], [run("us", "a", "r1"), run("us", "a", "r2")])
+    assert rows(identity.process_identity(log), "processes", "runs") == [(1, 2)]
+    assert inspect.runs_of_processes(log).count() == 2

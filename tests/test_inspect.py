@@ -28,7 +28,7 @@ def test_defaults_then_self_links_then_first_seen(spark):
         ],
     )
     a, b = process_name("us", "a"), process_name("us", "b")
-    got = links.edges_per_process(log.events)
+    got = links.edges_per_process(log.links)
     assert rows(got, "process", "source_fqn", "target_fqn", "run") == sorted(
         [
             (a, "s", "t", f"{a}/runs/r1"),
@@ -40,7 +40,7 @@ def test_defaults_then_self_links_then_first_seen(spark):
         key=repr,
     )
     assert rows(got.where("source_fqn like 'gcs%'"), "source_path", "target_path") == [("gs://b/d", "t")]
-    whole = links.edges_first_seen(log.events)
+    whole = links.edges_first_seen(log.links)
     assert whole.count() == 4
     assert rows(whole.where("source_fqn = 's'"), "event") == [(f"{a}/runs/r1/lineageEvents/e9",)]
 
@@ -49,14 +49,14 @@ def test_equal_times_fall_back_to_the_event_name(spark):
     log = lineage_log(
         spark, events=[event("us", "a", "r", name, [("s", "t")]) for name in ("e2", "e1", "e3")]
     )
-    (only,) = links.edges_per_process(log.events).collect()
+    (only,) = links.edges_per_process(log.links).collect()
     assert only.event.endswith("/e1")
 
 
 def test_dedup_is_idempotent(spark):
     log = lineage_log(spark, events=[event("us", "a", "r", "e", [("s", "t"), ("s", "t")])])
-    once = links.edges_per_process(log.events)
-    assert once.count() == links.edges_per_process(log.events.unionAll(log.events)).count() == 1
+    once = links.edges_per_process(log.links)
+    assert once.count() == links.edges_per_process(log.links.unionAll(log.links)).count() == 1
 
 
 def test_first_process_in_location_order(spark):
@@ -191,7 +191,7 @@ def test_report_on_some_tables(spark):
     got = inspect.gated_runs_by_source(log, asked)
     assert rows(got, "source_fqn") == [("bigquery:p.d.t",)]  # gcs:x is only read
     targets = spark.createDataFrame([("bigquery:p.d.u",)], "target_fqn string")
-    assert rows(links.upstream_links(log.events, targets), "source_fqn", "links") == [("bigquery:p.d.t", 1)]
+    assert rows(links.upstream_links(log.links, targets), "source_fqn", "links") == [("bigquery:p.d.t", 1)]
 
 
 def test_run_details(spark):

@@ -1,13 +1,13 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from pathlib import Path
 
-from pyspark.sql import functions as F
 from records import NOON, event, lineage_log, process, process_name, rows, run
 
-from tracewell.sources.log import append_log, create_log, read_json_log, read_log
+from tracewell.sources.log import append_log, append_records, create_log, read_json_log, read_log
 
 
 def write_lines(folder, records):
@@ -26,7 +26,7 @@ def test_records_come_back_as_written(spark, path):
     )
     append_log(log, path("log"))
     stored = read_log(spark, path("log"))
-    for kind in ("processes", "runs", "events", "entries"):
+    for kind in ("processes", "runs", "events", "links", "entries"):
         assert getattr(stored, kind).collect() == getattr(log, kind).collect()
 
 
@@ -84,11 +84,31 @@ def test_json_export(spark, path):
         ("us", None, None), ("us-east1", "X", "o"),
     ]
     assert rows(log.runs, "start_time", "end_time") == [(NOON, datetime(2026, 1, 1, 12))]
-    links = log.events.select(F.explode("links").alias("l")).select("l.*")
-    assert rows(links, "source", "target", "level") == sorted(
+    assert rows(log.links, "source", "target", "level") == sorted(
         [("bigquery:p.n.t.a", "bigquery:p.n.u.b", "column"), (None, "gcs:b.x", "table")], key=repr
     )
     got = log.entries.first()
     assert got.entry_source.display_name == "d" and got.aspects["k"].data.path == "p"
     append_log(log, path("out"))
     assert read_log(spark, path("out")).events.count() == 2
+
+
+def test_appends_at_the_same_time_lose_nothing(spark, path):
+    root, per_writer = path("log"), 300
+    create_log(spark, root)
+
+    def write(number):
+        log = lineage_log(spark, [process("us", f"w{number}-{i}") for i in range(per_writer)])
+        append_log(log, root)
+
+    def fail():
+        broken = spark.range(5).selectExpr("raise_error('broken') AS name", "'us' AS location")
+        append_records(broken, root, "processes")
+
+    with ThreadPoolExecutor(8) as pool:
+        done = [pool.submit(write, number) for number in range(6)]
+        failed = [pool.submit(fail) for _ in range(2)]
+    assert not any(future.exception() for future in done)
+    assert all(future.exception() for future in failed)
+    found = read_log(spark, root).processes
+    assert found.count() == found.select("name").distinct().count() == 6 * per_writer

@@ -22,14 +22,14 @@ def plan_of(df):
 
 
 def test_edges_take_one_shuffle_and_no_join(log):
-    plan = plan_of(links.edges_per_process(log.events))
+    plan = plan_of(links.edges_per_process(log.links))
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Join" not in plan
     assert "partial_min" in plan
 
 
 def test_edges_read_only_the_columns_they_use(log):
-    plan = plan_of(links.table_edges(log.events))
+    plan = plan_of(links.table_edges(log.links))
     assert "end_time" not in plan.split("ReadSchema")[1]
     assert "start_time" not in plan.split("ReadSchema")[1]
 
@@ -51,7 +51,7 @@ def test_no_plan_has_a_cross_join(log, spark):
         inspect.batch_status(log, batches(spark, SF_DIR)),
         inspect.gated_runs_by_source(log),
         audit.edge_visibility(log),
-        graph.graph_nodes(log.events),
+        graph.graph_nodes(log.links),
     ]
     for frame in frames:
         plan = plan_of(frame)
@@ -67,5 +67,5 @@ def test_a_purge_prunes_both_of_its_scans(log):
 
 
 def test_no_python_in_lineage_queries(log):
-    frames = [links.edges_per_process(log.events), inspect.runs_by_source(log), audit.ghost_nodes(log)]
+    frames = [links.edges_per_process(log.links), inspect.runs_by_source(log), audit.ghost_nodes(log)]
     assert not any("Python" in plan_of(frame) or "ArrowEval" in plan_of(frame) for frame in frames)

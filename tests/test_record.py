@@ -16,28 +16,31 @@ def link_rows(spark, count, event="e"):
     return spark.createDataFrame(data, LINKS)
 
 
-def test_links_of_an_event_are_grouped_in_order(spark):
-    events = record.events_from_links(link_rows(spark, 3).orderBy(F.desc("link_pos")))
-    assert [link.source for link in events.first().links] == ["s0", "s1", "s2"]
-    assert events.count() == 1
-
-
-def test_large_events_go_on_in_further_records(spark):
-    events = record.events_from_links(link_rows(spark, 250))
-    sizes = rows(events.select("name", F.size("links").alias("n")), "name", "n")
-    assert sizes == [("e", 100), ("e-1", 100), ("e-2", 50)]
-    assert declared_links(events).select("source_fqn").distinct().count() == 250
+def test_an_event_keeps_its_links_and_positions_at_any_size(spark):
+    rows_ = link_rows(spark, 250).withColumn("link_pos", F.col("link_pos") * 3)
+    other = link_rows(spark, 1, "e-1").withColumn("link_pos", F.lit(7))
+    events, links = record.events_from_links(rows_.unionAll(other))
+    assert rows(events, "name") == [("e",), ("e-1",)]
+    got = declared_links(links)
+    assert rows(got.where("event = 'e-1'"), "link_pos") == [(7,)]
+    assert {row.link_pos for row in got.where("event = 'e'").collect()} == {3 * i for i in range(250)}
 
 
 def test_repeated_delivery_counts_once(spark):
     once = link_rows(spark, 120)
-    events = record.events_from_links(once.unionAll(once))
-    assert declared_links(events).count() == 120
+    events, links = record.events_from_links(once.unionAll(once))
+    assert (events.count(), links.count()) == (1, 120)
+
+
+def test_an_event_keeps_its_end(spark):
+    later = NOON.replace(hour=14)
+    events, _ = record.events_from_links(link_rows(spark, 2).withColumn("end_time", F.lit(later).cast("timestamp_ntz")))
+    assert rows(events, "end_time") == [(later,)]
 
 
 def test_links_without_endpoints_are_kept(spark):
     missing = spark.createDataFrame([("e", NOON, "us", 0, None, "t", "table")], LINKS)
-    assert rows(declared_links(record.events_from_links(missing)), "source_fqn") == [(None,)]
+    assert rows(declared_links(record.events_from_links(missing)[1]), "source_fqn") == [(None,)]
 
 
 def jobs(spark, *rows):
@@ -50,7 +53,22 @@ def test_one_event_per_declared_link(spark):
     events = record.event_records(df)
     run = record.run_records(df).first()
     assert rows(events, "name") == [(f"{run.name}/lineageEvents/{i}",) for i in range(2)]
-    assert all(len(links) == 1 for (links,) in rows(events, "links"))
+    links = record.link_records(df)
+    assert rows(links, "event", "link_pos", "source") == [
+        (f"{run.name}/lineageEvents/0", 0, "a"), (f"{run.name}/lineageEvents/1", 0, "a.x"),
+    ]
+
+
+def test_two_runs_of_a_job_at_one_time_are_one_process(spark):
+    both = jobs(
+        spark,
+        ("p", "us", "j", "Job", "Run 1", NOON, [("a", "b", "table")]),
+        ("p", "us", "j", "Job", "Run 2", NOON, [("a", "b", "table")]),
+    )
+    twice = both.unionAll(both)
+    assert record.process_records(twice).count() == 1
+    assert record.run_records(twice).count() == 2
+    assert record.event_records(twice).count() == record.link_records(twice).count() == 2
 
 
 def test_the_same_job_at_another_time_is_another_process(spark):

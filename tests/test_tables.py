@@ -104,6 +104,15 @@ def test_external_table_sees_what_its_files_hold(spark, source, namespace, path)
     assert rows(got, "id", "pipeline_id") == [(1, "p2"), (2, "p2")]
 
 
+def test_a_column_may_be_called_location(spark, namespace, path):
+    placed = spark.createDataFrame([(1, "here's")], "id long, Location string")
+    placed.write.parquet(path("it's here"))
+    tables.register_external(spark, f"{namespace}.placed", path("it's here"))
+    assert tables.table_location(spark, f"{namespace}.placed").endswith("/it's here")
+    tables.overwrite_external(spark.createDataFrame([(2, "there")], "id long, Location string"), f"{namespace}.placed")
+    assert rows(spark.table(f"{namespace}.placed"), "id", "Location") == [(2, "there")]
+
+
 def test_table_to_suffixed_table(spark, source, namespace):
     tables.load_table(spark, source, f"{namespace}.src")
     name = pipelines.table_to_table(
@@ -172,6 +181,14 @@ def test_incremental_chain_takes_each_row_once(spark, source, namespace, path):
     assert spark.table(f"{namespace}.t2").count() == 6
 
 
+def test_incremental_chain_takes_a_clock_of_spark(spark, source, namespace, path):
+    for _ in range(2):
+        pipelines.two_step(
+            spark, source, chain(namespace, path), as_of=F.current_timestamp(), incremental=True
+        )
+    assert spark.table(f"{namespace}.t2").count() == spark.table(f"{namespace}.t1").count() == 4
+
+
 def test_chain_declares_table_and_column_lineage(spark, source, namespace, path):
     create_log(spark, path("log"))
     job = pipelines.Job("proj", "job_5", "Chain job", "Chain run", path("log"))
@@ -179,7 +196,7 @@ def test_chain_declares_table_and_column_lineage(spark, source, namespace, path)
     assert outcome.ok
     log = read_log(spark, path("log"))
     one, two = f"bigquery:proj.{namespace}.t1", f"bigquery:proj.{namespace}.t2"
-    got = log.events.select(F.explode("links").alias("l")).select("l.source", "l.target", "l.level")
+    got = log.links.select("source", "target", "level")
     first = "gcs:" + source.rstrip("/").replace("/", ".")
     assert rows(got, "source", "target", "level") == sorted(
         [
@@ -191,7 +208,7 @@ def test_chain_declares_table_and_column_lineage(spark, source, namespace, path)
     )
     assert log.events.count() == 3
     process = log.processes.first()
-    assert process.attributes == {"custom_job_id": "job_5"}
+    assert process.attributes == {"custom_job_id": "job_5", "spark.app.name": spark.conf.get("spark.app.name")}
     assert process.origin.asDict() == {"source_type": "CUSTOM", "name": "projects/proj/locations/us-east1"}
     run = log.runs.first()
     assert run.state == "COMPLETED" and run.start_time == run.end_time
@@ -224,7 +241,7 @@ def test_four_runs_under_three_identities(spark, source, namespace, path):
     assert rows(got, "namespace", "app_name", "processes") == sorted(
         [("default", app, 2), ("default", "other", 1), ("own", "explicit", 1)], key=repr
     )
-    edges = edges_first_seen(log.events)
+    edges = edges_first_seen(log.links)
     base = f"bigquery:proj.{namespace}"
     assert rows(edges, "source_fqn", "target_fqn") == [
         (f"{base}.src", f"{base}.dst{suffix}") for suffix in ("_baseline", "_explicit", "_v2")
@@ -244,7 +261,7 @@ def test_files_with_registered_lineage(spark, source, path):
     assert spark.read.parquet(path("dest")).count() == 2
     assert log.entries.count() == 2  # got or created
     assert log.processes.count() == 2  # posted each time
-    links = log.events.select(F.explode("links").alias("l")).select("l.source", "l.target").distinct()
+    links = log.links.select("source", "target").distinct()
     registered = [row.fqn for row in log.entries.orderBy("fqn").collect()]
     assert sorted(links.first()) == registered
     aspect = log.entries.where("entry_id = 'job_4-source'").first().aspects["aspect"]

@@ -11,6 +11,7 @@ from tracewell import fixed_values as V
 from tracewell.functions import process_of
 from tracewell.operators.links import declared_links, without_self_links
 from tracewell.sources.log import LineageLog, append_log
+from tracewell.sources.workspace import exists
 
 
 def ghost_nodes(log: LineageLog) -> DataFrame:
@@ -20,7 +21,7 @@ def ghost_nodes(log: LineageLog) -> DataFrame:
     however busy it is.
     """
     counted = (
-        declared_links(log.events)
+        declared_links(log.links)
         .where(F.col("level") == V.TABLE_LEVEL)
         .select(F.explode(F.array("source_fqn", "target_fqn")).alias("fqn"))
         .where(F.col("fqn").isNotNull())
@@ -38,7 +39,7 @@ def edge_visibility(log: LineageLog) -> DataFrame:
     are registered, and never with columns.
     """
     edges = (
-        without_self_links(declared_links(log.events)).select("source_fqn", "target_fqn", "level").distinct()
+        without_self_links(declared_links(log.links)).select("source_fqn", "target_fqn", "level").distinct()
     )
     entries = log.entries.select(F.col("fqn").alias("target_fqn"), F.lit(True).alias("registered"))
     target = F.col("target_fqn")
@@ -66,13 +67,17 @@ def purge(log: LineageLog, locations: Sequence[str] = V.LOCATIONS) -> LineageLog
     elsewhere = ~here | F.col("location").isNull()
     listed = log.processes.where(here).select(F.col("name").alias("process"))
 
-    def survivors(records: DataFrame) -> DataFrame:
-        orphans = records.where(here).withColumn("process", process_of(F.col("name")))
+    def survivors(records: DataFrame, name: str = "name") -> DataFrame:
+        orphans = records.where(here).withColumn("process", process_of(F.col(name)))
         orphans = orphans.join(listed, "process", "left_anti").drop("process")
         return records.where(elsewhere).unionByName(orphans)
 
     return LineageLog(
-        log.processes.where(elsewhere), survivors(log.runs), survivors(log.events), log.entries
+        log.processes.where(elsewhere),
+        survivors(log.runs),
+        survivors(log.events),
+        survivors(log.links, "event"),
+        log.entries,
     )
 
 
@@ -99,5 +104,10 @@ def purge_counts(log: LineageLog, locations: Sequence[str] = V.LOCATIONS) -> Dat
 
 
 def purge_to(log: LineageLog, root: str, locations: Sequence[str] = V.LOCATIONS) -> None:
-    """Write the survivors as a new snapshot; the log that is read stays as it is."""
+    """Write the survivors as a new snapshot; the log that is read stays as it is.
+
+    A root that is there already is refused: its records would stay beside the survivors.
+    """
+    if exists(log.processes.sparkSession, root):
+        raise ValueError(f"cannot write a purged log to {root}: it is there already")
     append_log(purge(log, locations), root)

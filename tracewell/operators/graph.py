@@ -13,7 +13,7 @@ from tracewell.sources.workspace import materialise
 COMPACT_EVERY = 16
 
 
-def graph_edges(events: DataFrame) -> DataFrame:
+def graph_edges(links: DataFrame) -> DataFrame:
     """Distinct edges: table lineage, column lineage, and tables containing columns.
 
     A column link gives its own edge and the two that tie its ends to their
@@ -28,11 +28,11 @@ def graph_edges(events: DataFrame) -> DataFrame:
     declared = edge(source, target, F.col("level"))
     owned = [edge(parent_fqn(column), column, contains) for column in (source, target)]
     edges = F.when(_is_column(), F.array(declared, *owned)).otherwise(F.array(declared))
-    links = without_self_links(declared_links(events))
-    return links.select(F.explode(edges).alias("edge")).select("edge.*").distinct()
+    moves = without_self_links(declared_links(links))
+    return moves.select(F.explode(edges).alias("edge")).select("edge.*").distinct()
 
 
-def graph_nodes(events: DataFrame) -> DataFrame:
+def graph_nodes(links: DataFrame) -> DataFrame:
     """Distinct endpoints with their kind; the table of a column is a node too."""
     fqn = F.col("fqn")
 
@@ -44,7 +44,7 @@ def graph_nodes(events: DataFrame) -> DataFrame:
         _is_column(), F.array(node(fqn, "column"), node(parent_fqn(fqn), "table"))
     ).otherwise(F.array(node(fqn, table_kind)))
     return (
-        declared_links(events)
+        declared_links(links)
         .select("level", F.explode(F.array("source_fqn", "target_fqn")).alias("fqn"))
         .where(fqn.isNotNull())
         .select(F.explode(nodes).alias("node"))

@@ -15,8 +15,11 @@ def namespace_of(default: Column) -> Column:
 
 
 def app_name_of() -> Column:
+    """A process without any name is known by its own, so that unrelated ones stay apart."""
     attributes = F.col("attributes")
-    return F.coalesce(attributes.getItem(V.APP_NAME_PROPERTY), attributes.getItem(V.SPARK_APP_NAME))
+    return F.coalesce(
+        attributes.getItem(V.APP_NAME_PROPERTY), attributes.getItem(V.SPARK_APP_NAME), F.col("name")
+    )
 
 
 def project_of(process: Column) -> Column:
@@ -43,12 +46,17 @@ def session_properties(spark: SparkSession) -> dict[str, str]:
 def identity_members(processes: DataFrame, default_namespace: Column | None = None) -> DataFrame:
     """Each process with its identity; the batch it ran as plays no part."""
     default = serverless_default() if default_namespace is None else default_namespace
-    return processes.select(
+    spark_app = F.coalesce(F.col("attributes").getItem(V.SPARK_APP_NAME), app_name_of())
+    members = processes.select(
         F.col("name").alias("process"),
-        namespace_of(default).alias("namespace"),
-        app_name_of().alias("app_name"),
-        F.col("attributes").getItem(V.SPARK_APP_NAME).alias("spark_app_name"),
+        F.struct(
+            namespace_of(default).alias("namespace"),
+            app_name_of().alias("app_name"),
+            spark_app.alias("spark_app_name"),
+        ).alias("identity"),
     )
+    # A process that was delivered twice is still one.
+    return members.groupBy("process").agg(F.min("identity").alias("identity")).select("process", "identity.*")
 
 
 def _runs_per_process(runs: DataFrame) -> DataFrame:
@@ -59,16 +67,16 @@ def _runs_per_process(runs: DataFrame) -> DataFrame:
 
 
 def process_identity(log: LineageLog, default_namespace: Column | None = None) -> DataFrame:
-    """Identities with the number of processes and runs that share them.
+    """Identities with the number of processes and runs that share them; a process without runs has 0.
 
     Runs are counted per process before the join, so the join has one row per
     process on both sides.
     """
     members = identity_members(log.processes, default_namespace)
     return (
-        members.join(_runs_per_process(log.runs), "process")
+        members.join(_runs_per_process(log.runs), "process", "left")
         .groupBy("namespace", "app_name")
-        .agg(F.count(F.lit(1)).alias("processes"), F.sum("runs").alias("runs"))
+        .agg(F.count(F.lit(1)).alias("processes"), F.coalesce(F.sum("runs"), F.lit(0)).alias("runs"))
     )
 
 
@@ -77,16 +85,17 @@ def identity_verdicts(log: LineageLog, default_namespace: Column | None = None)
 
     The application is what `spark.app.name` says. Rows are identities, not
     runs: `runs` of them either share the identity of the first run
-    (`consolidated`) or have another namespace or application name.
+    (`consolidated`) or have another namespace or application name. Identities
+    without runs come after all with runs, by name.
     """
     members = identity_members(log.processes, default_namespace)
     identities = (
-        members.join(_runs_per_process(log.runs), "process")
+        members.join(_runs_per_process(log.runs), "process", "left")
         .groupBy("spark_app_name", "namespace", "app_name")
-        .agg(F.sum("runs").alias("runs"), F.min("first").alias("first"))
+        .agg(F.coalesce(F.sum("runs"), F.lit(0)).alias("runs"), F.min("first").alias("first"))
     )
     baseline = identities.groupBy(F.col("spark_app_name").alias("base_app")).agg(
-        F.min(F.struct("first", "namespace", "app_name")).alias("base")
+        F.min(F.struct(F.col("first").isNull().alias("none"), "first", "namespace", "app_name")).alias("base")
     )
     verdict = (
         F.when(~F.col("namespace").eqNullSafe(F.col("base.namespace")), "new_namespace")

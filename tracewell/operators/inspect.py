@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewell import fixed_values as V
 from tracewell.functions import normalise_identifier, process_of, run_of
-from tracewell.operators.links import edges_per_process
+from tracewell.operators.links import edges_per_process, flatten_links, without_self_links
 from tracewell.sources.log import LineageLog
 
 
@@ -36,9 +36,14 @@ def edges_of_batch(log: LineageLog, batch_id: str, locations: Sequence[str] = V.
     """Distinct edges of the first process that mentions one batch."""
     found = processes_of_batch(log.only(locations).processes, batch_id)
     rank = location_rank(F.col("location"), locations).alias("rank")
-    first = found.agg(F.min(F.struct(rank, "name")).alias("first")).select("first.name")
-    mine = process_of(F.col("name")) == first.scalar()
-    return edges_per_process(log.events.where(mine))
+    first = found.agg(F.min(F.struct(rank, "name", "location")).alias("first"))
+    process = first.select("first.name").scalar()
+    # Events are sorted by name, and all names below the process lie between its name
+    # with a slash and with the sign after that.
+    event = F.col("event")
+    below = (event >= F.concat(process, F.lit("/"))) & (event < F.concat(process, F.lit("0")))
+    here = F.col("location") == first.select("first.location").scalar()
+    return edges_per_process(log.links.where(here & below))
 
 
 def process_of_batches(
@@ -82,39 +87,37 @@ def runs_of_processes(log: LineageLog) -> DataFrame:
     runs = log.runs.select(
         process_of(F.col("name")).alias("process"), F.col("name").alias("run"), "state", "start_time"
     )
-    return runs.join(log.processes.select(F.col("name").alias("process")), "process")
+    # A process that was delivered twice is still one.
+    return runs.join(log.processes.select(F.col("name").alias("process")), "process", "left_semi").select(
+        "process", "run", "state", "start_time"
+    )
 
 
 def events_in_context(log: LineageLog) -> DataFrame:
     """Events that a walk from process to run to event comes to."""
-    events = log.events.select(
-        run_of(F.col("name")).alias("run"),
-        F.col("name").alias("event"),
-        F.coalesce(F.size("links"), F.lit(0)).alias("links"),
-    )
-    return events.join(runs_of_processes(log).select("run", "process", "state"), "run")
+    counts = log.links.groupBy("event").agg(F.count(F.lit(1)).cast("int").alias("links"))
+    events = log.events.select(run_of(F.col("name")).alias("run"), F.col("name").alias("event"))
+    counted = events.join(counts, "event", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    return counted.join(runs_of_processes(log).select("run", "process", "state"), "run")
 
 
-def process_activity(events: DataFrame) -> DataFrame:
+def process_activity(log: LineageLog, processes: DataFrame | None = None) -> DataFrame:
     """Per process: events, and distinct edges other than self-links.
 
+    `processes` (column `process`) narrows the report before anything is counted.
     The distinct count is spread over (process, edge) before it is added up
     per process.
     """
-    links = events.select(
-        process_of(F.col("name")).alias("process"), F.posexplode_outer("links").alias("pos", "link")
-    ).select(
-        "process",
-        F.coalesce(F.col("pos"), F.lit(0)).alias("pos"),
-        F.coalesce("link.source", F.lit(V.UNKNOWN_SOURCE)).alias("source_fqn"),
-        F.coalesce("link.target", F.lit(V.UNKNOWN_TARGET)).alias("target_fqn"),
-        F.col("link").isNotNull().alias("is_link"),
-    )
-    moves = F.col("is_link") & (F.col("source_fqn") != F.col("target_fqn"))
-    edge = F.when(moves, F.struct("source_fqn", "target_fqn"))
-    return links.groupBy("process").agg(
-        F.count_if(F.col("pos") == 0).alias("events"), F.count_distinct(edge).alias("edges")
+    events = log.events.select(process_of(F.col("name")).alias("process"))
+    moves = without_self_links(flatten_links(log.links)).select(
+        process_of(F.col("event")).alias("process"), "source_fqn", "target_fqn"
     )
+    if processes is not None:
+        wanted = processes.select("process").distinct()
+        events, moves = (rows.join(wanted, "process", "left_semi") for rows in (events, moves))
+    edges = moves.distinct().groupBy("process").agg(F.count(F.lit(1)).alias("edges"))
+    counted = events.groupBy("process").agg(F.count(F.lit(1)).alias("events"))
+    return counted.join(edges, "process", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
 
 
 def batch_status(log: LineageLog, batches: DataFrame, locations: Sequence[str] = V.LOCATIONS) -> DataFrame:
@@ -124,7 +127,7 @@ def batch_status(log: LineageLog, batches: DataFrame, locations: Sequence[str] =
         batches.select("batch_id")
         .distinct()
         .join(found, "batch_id", "left")
-        .join(process_activity(log.events), "process", "left")
+        .join(process_activity(log, found), "process", "left")
     )
     events = F.coalesce("events", F.lit(0))
     edges = F.coalesce("edges", F.lit(0))
@@ -139,20 +142,22 @@ def batch_status(log: LineageLog, batches: DataFrame, locations: Sequence[str] =
     )
 
 
-def events_by_source(events: DataFrame) -> DataFrame:
+def events_by_source(links: DataFrame) -> DataFrame:
     """One row per event and FQN it reads."""
     return (
-        events.select(
-            F.col("name").alias("event"), F.explode(F.array_distinct("links.source")).alias("source_fqn")
-        )
-        .where(F.col("source_fqn").isNotNull())
+        links.where(F.col("source").isNotNull())
+        .select("event", F.col("source").alias("source_fqn"))
+        .distinct()
         .withColumns({"run": run_of(F.col("event")), "process": process_of(F.col("event"))})
     )
 
 
 def with_process_details(reads: DataFrame, processes: DataFrame) -> DataFrame:
-    details = processes.select(
-        F.col("name").alias("process"), "display_name", F.col("origin.name").alias("origin_name")
+    # One row per process, also where it was delivered twice.
+    details = (
+        processes.groupBy(F.col("name").alias("process"))
+        .agg(F.min(F.struct("display_name", F.col("origin.name").alias("origin_name"))).alias("details"))
+        .select("process", "details.*")
     )
     missing = F.lit(V.MISSING_DETAIL)
     return reads.join(details, "process", "left").withColumns(
@@ -165,7 +170,7 @@ def with_process_details(reads: DataFrame, processes: DataFrame) -> DataFrame:
 
 def runs_by_source(log: LineageLog) -> DataFrame:
     """Which runs and processes read each FQN, one row per event."""
-    return with_process_details(events_by_source(log.events), log.processes)
+    return with_process_details(events_by_source(log.links), log.processes)
 
 
 def gated_runs_by_source(log: LineageLog, identifiers: DataFrame | None = None) -> DataFrame:
@@ -176,15 +181,16 @@ def gated_runs_by_source(log: LineageLog, identifiers: DataFrame | None = None)
     therefore left out, use `runs_by_source` for those. `identifiers` (column
     `identifier`, FQN or plain table name) narrows the report.
 
-    The written FQNs are one row each, so they spread evenly and are hashed
-    rather than sorted against the many reads.
+    The written FQNs are one row each, so they spread evenly.
     """
-    reads = events_by_source(log.events)
-    written = log.events.select(F.explode("links.target").alias("source_fqn")).distinct()
+    links = log.links
+    written = links.select(F.col("target").alias("source_fqn")).distinct()
     if identifiers is not None:
         asked = identifiers.select(normalise_identifier(F.col("identifier")).alias("source_fqn"))
-        written = written.join(asked.distinct(), "source_fqn", "left_semi")
-    gated = reads.join(written.hint("shuffle_hash"), "source_fqn", "left_semi")
+        asked = asked.distinct()
+        written = written.join(asked, "source_fqn", "left_semi")
+        links = links.join(asked.withColumnRenamed("source_fqn", "source"), "source", "left_semi")
+    gated = events_by_source(links).join(written, "source_fqn", "left_semi")
     return with_process_details(gated, log.processes)
 
 

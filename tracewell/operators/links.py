@@ -1,4 +1,4 @@
-"""Events and links as rows, and the edges they amount to."""
+"""Links, and the edges they amount to."""
 
 from __future__ import annotations
 
@@ -9,40 +9,34 @@ from tracewell import fixed_values as V
 from tracewell.functions import fqn_to_path, process_of, run_of
 
 
-def flatten_links(events: DataFrame) -> DataFrame:
-    """One row per link; a missing endpoint gets its default name.
+def flatten_links(links: DataFrame) -> DataFrame:
+    """The links of a log; a missing endpoint gets its default name.
 
-    Events without links give no row. The ancestors of an event are part of
-    its name, so telling the run and process of a link takes no join.
+    The ancestors of an event are part of its name, so telling the run and
+    process of a link takes no join.
     """
-    return _exploded(events, "start_time").select(
+    return links.select(
         "event",
         "start_time",
         "link_pos",
-        F.coalesce("link.source", F.lit(V.UNKNOWN_SOURCE)).alias("source_fqn"),
-        F.coalesce("link.target", F.lit(V.UNKNOWN_TARGET)).alias("target_fqn"),
-        F.col("link.level").alias("level"),
+        F.coalesce("source", F.lit(V.UNKNOWN_SOURCE)).alias("source_fqn"),
+        F.coalesce("target", F.lit(V.UNKNOWN_TARGET)).alias("target_fqn"),
+        "level",
     )
 
 
-def declared_links(events: DataFrame, *carried: str) -> DataFrame:
-    """One row per link as declared, missing endpoints left NULL.
+def declared_links(links: DataFrame, *carried: str) -> DataFrame:
+    """The links of a log as declared, missing endpoints left NULL.
 
-    `carried` names columns of the event to keep.
+    `carried` names further columns to keep.
     """
-    return _exploded(events, *carried).select(
+    return links.select(
         "event",
         *carried,
         "link_pos",
-        F.col("link.source").alias("source_fqn"),
-        F.col("link.target").alias("target_fqn"),
-        F.col("link.level").alias("level"),
-    )
-
-
-def _exploded(events: DataFrame, *carried: str) -> DataFrame:
-    return events.select(
-        F.col("name").alias("event"), *carried, F.posexplode("links").alias("link_pos", "link")
+        F.col("source").alias("source_fqn"),
+        F.col("target").alias("target_fqn"),
+        "level",
     )
 
 
@@ -50,21 +44,21 @@ def without_self_links(links: DataFrame) -> DataFrame:
     return links.where(F.col("source_fqn") != F.col("target_fqn"))
 
 
-def table_edges(events: DataFrame) -> DataFrame:
+def table_edges(links: DataFrame) -> DataFrame:
     """Distinct table-level edges between named endpoints."""
-    links = without_self_links(declared_links(events)).where(F.col("level") == V.TABLE_LEVEL)
-    return links.select("source_fqn", "target_fqn").distinct()
+    named = without_self_links(declared_links(links)).where(F.col("level") == V.TABLE_LEVEL)
+    return named.select("source_fqn", "target_fqn").distinct()
 
 
-def edges_per_process(events: DataFrame) -> DataFrame:
+def edges_per_process(links: DataFrame) -> DataFrame:
     """Distinct edges of each process, with the event that first showed them."""
-    links = without_self_links(flatten_links(events))
-    return _first_seen(links, process_of(F.col("event")).alias("process"))
+    moves = without_self_links(flatten_links(links))
+    return _first_seen(moves, process_of(F.col("event")).alias("process"))
 
 
-def edges_first_seen(events: DataFrame) -> DataFrame:
+def edges_first_seen(links: DataFrame) -> DataFrame:
     """Distinct edges of the whole log, with the event that first showed them."""
-    edges = _first_seen(without_self_links(flatten_links(events)))
+    edges = _first_seen(without_self_links(flatten_links(links)))
     return edges.withColumn("process", process_of(F.col("event")))
 
 
@@ -89,12 +83,12 @@ def _first_seen(links: DataFrame, *scope: Column) -> DataFrame:
     )
 
 
-def upstream_links(events: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+def upstream_links(links: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Links by target FQN: what feeds each table, and how many links say so.
 
     `targets` (column `target_fqn`) narrows the answer to some tables.
     """
-    links = flatten_links(events)
+    named = flatten_links(links)
     if targets is not None:
-        links = links.join(targets.select("target_fqn").distinct(), "target_fqn", "left_semi")
-    return links.groupBy("target_fqn", "source_fqn").agg(F.count(F.lit(1)).alias("links"))
+        named = named.join(targets.select("target_fqn").distinct(), "target_fqn", "left_semi")
+    return named.groupBy("target_fqn", "source_fqn").agg(F.count(F.lit(1)).alias("links"))

@@ -2,7 +2,7 @@
 
 Jobs are rows: project, location, job_id, job_name, run_name, started_at
 (timestamp_ntz) and, where they declare lineage, links (array of source,
-target, level). Where there is a map column `properties`, processes keep it as
+target, level). Where there is a column `ended_at`, runs and events end then. Where there is a map column `properties`, processes keep it as
 further attributes. A single job is a frame of one row. Edges are what the job
 declares; nothing is derived from query plans.
 """
@@ -21,8 +21,6 @@ from tracewell.functions import custom_fqn, system_resource
 
 log = logging.getLogger(__name__)
 
-LINKS_PER_EVENT = 100
-
 JOB_SCHEMA = (
     "project string, location string, job_id string, job_name string, run_name string, "
     "started_at timestamp_ntz, links array<struct<source:string,target:string,level:string>>"
@@ -55,71 +53,96 @@ def process_records(jobs: DataFrame) -> DataFrame:
     attributes = F.create_map(F.lit(V.JOB_ID), F.col("job_id"))
     if "properties" in jobs.columns:
         attributes = F.map_concat(attributes, F.col("properties"))
-    return jobs.select(
+    posted = jobs.select(
         _process_name().alias("name"),
         F.col("job_name").alias("display_name"),
         attributes.alias("attributes"),
         F.struct(F.lit(V.CUSTOM_ORIGIN).alias("source_type"), _parent().alias("name")).alias("origin"),
         "location",
     )
+    return _one_per_name(posted, "display_name", F.to_json("attributes"))
+
+
+def _one_per_name(records: DataFrame, *order: str | Column) -> DataFrame:
+    """Several runs of a job at one time are one process, and a run delivered twice is one run."""
+    first = F.min_by(F.struct(*records.columns), F.struct(*order)).alias("first")
+    return records.groupBy("name").agg(first).select("first.*")
+
+
+def _ended(jobs: DataFrame) -> Column:
+    return F.col("ended_at") if "ended_at" in jobs.columns else F.lit(None).cast("timestamp_ntz")
 
 
 def run_records(jobs: DataFrame) -> DataFrame:
-    """A run is recorded when its work is done, so it starts and ends at once."""
-    return jobs.select(
+    """A run that does not say when it ended is recorded when its work is done: it starts and ends at once."""
+    runs = jobs.select(
         _run_name().alias("name"),
         F.col("run_name").alias("display_name"),
         F.col("started_at").alias("start_time"),
-        F.col("started_at").alias("end_time"),
+        F.coalesce(_ended(jobs), "started_at").alias("end_time"),
         F.lit(V.COMPLETED).alias("state"),
         "location",
     )
+    return _one_per_name(runs, "display_name", "end_time")
+
+
+def _event_name(run: Column, pos: Column) -> Column:
+    return F.concat(run, F.lit("/lineageEvents/"), pos.cast("string"))
 
 
 def event_records(jobs: DataFrame) -> DataFrame:
     """One event per declared link."""
-    links = jobs.select(
-        _run_name().alias("run"), "started_at", "location", F.posexplode("links").alias("pos", "link")
+    declared = jobs.select(
+        _run_name().alias("run"),
+        "started_at",
+        _ended(jobs).alias("end_time"),
+        "location",
+        F.posexplode("links").alias("pos", "link"),
     )
-    return links.select(
-        F.concat("run", F.lit("/lineageEvents/"), F.col("pos").cast("string")).alias("name"),
+    return declared.select(
+        _event_name(F.col("run"), F.col("pos")).alias("name"),
         F.col("started_at").alias("start_time"),
-        F.lit(None).cast("timestamp_ntz").alias("end_time"),
-        F.array("link").alias("links"),
+        "end_time",
         "location",
+    ).dropDuplicates(["name"])
+
+
+def link_records(jobs: DataFrame) -> DataFrame:
+    """The one link of each event of `event_records`."""
+    declared = jobs.select(
+        _run_name().alias("run"), "started_at", "location", F.posexplode("links").alias("pos", "link")
     )
+    return declared.select(
+        _event_name(F.col("run"), F.col("pos")).alias("event"),
+        F.col("started_at").alias("start_time"),
+        F.lit(0).alias("link_pos"),
+        "link.source",
+        "link.target",
+        "link.level",
+        "location",
+    ).dropDuplicates(["event"])
 
 
-def events_from_links(links: DataFrame) -> DataFrame:
-    """Event records from link rows: event, start_time, location, link_pos, endpoints, level.
+def events_from_links(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Event and link records from link rows: event, start_time, location, link_pos, endpoints, level.
 
-    An event record holds at most `LINKS_PER_EVENT` links; one that declares
-    more goes on in further records, so no link is lost and no task gathers an
-    unbounded list. A link delivered twice at its position counts once, which
-    also makes the write safe to repeat. The hash in the key only makes
-    sorting by long names cheap.
+    Where there is a column `end_time`, events keep it. An event has one record
+    and all its links, however many, at the positions they were given. A link
+    delivered twice at its position counts once, which also makes the write
+    safe to repeat.
     """
-    part = F.floor(F.col("link_pos") / LINKS_PER_EVENT).cast("int")
-    item = F.struct(
-        "link_pos",
-        F.struct(
-            F.col("source_fqn").alias("source"), F.col("target_fqn").alias("target"), F.col("level")
-        ).alias("link"),
-    )
-    key = ["event", "start_time", "location", part.alias("part")]
-    grouped = links.groupBy(F.xxhash64("event", part).alias("key_hash"), *key).agg(
-        F.sort_array(F.collect_set(item)).alias("items")
-    )
-    name = F.when(F.col("part") == 0, F.col("event")).otherwise(
-        F.concat("event", F.lit("-"), F.col("part").cast("string"))
-    )
-    return grouped.select(
-        name.alias("name"),
+    end = F.col("end_time") if "end_time" in links.columns else F.lit(None).cast("timestamp_ntz")
+    events = links.select(F.col("event").alias("name"), "start_time", end.alias("end_time"), "location")
+    rows = links.select(
+        "event",
         "start_time",
-        F.lit(None).cast("timestamp_ntz").alias("end_time"),
-        F.col("items.link").alias("links"),
+        "link_pos",
+        F.col("source_fqn").alias("source"),
+        F.col("target_fqn").alias("target"),
+        "level",
         "location",
     )
+    return events.distinct(), rows.distinct()
 
 
 def entry_records(paths: DataFrame, entry_type: str, aspect: str, aspect_type: str) -> DataFrame:
@@ -147,11 +170,12 @@ def entry_records(paths: DataFrame, entry_type: str, aspect: str, aspect_type: s
 def missing_entries(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """Those of `wanted` whose id is not taken; an existing entry stays untouched.
 
-    Of several with one new id, the one with the least FQN is created.
+    Of several with one new id, the one with the least FQN is created, and of
+    those with one FQN the one with the least resource and aspects.
     """
     record = F.struct(*wanted.columns)
     fresh = wanted.join(existing.select("entry_id"), "entry_id", "left_anti")
-    first = fresh.groupBy("entry_id").agg(F.min_by(record, F.struct("fqn")).alias("record"))
+    first = fresh.groupBy("entry_id").agg(F.min_by(record, F.struct("fqn", "entry_source.resource", F.to_json("aspects"))).alias("record"))
     return first.select("record.*")
 
 

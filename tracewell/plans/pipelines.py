@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,10 +80,12 @@ def _job_row(spark: SparkSession, job: Job, **paths: str) -> DataFrame:
         "run_name": job.run_name,
         **paths,
     }
+    # Without properties of its own a job runs under the identity of its session.
+    properties = dict(job.properties or session_properties(spark))
     now = datetime.now(timezone.utc).replace(tzinfo=None)
     schema = ", ".join(f"{name} string" for name in fixed)
     schema += ", started_at timestamp_ntz, properties map<string,string>"
-    return spark.createDataFrame([(*fixed.values(), now, dict(job.properties))], schema)
+    return spark.createDataFrame([(*fixed.values(), now, properties)], schema)
 
 
 def append_jobs(jobs: DataFrame, log_root: str) -> None:
@@ -91,6 +93,7 @@ def append_jobs(jobs: DataFrame, log_root: str) -> None:
     log.append_records(record.process_records(jobs), log_root, "processes")
     log.append_records(record.run_records(jobs), log_root, "runs")
     log.append_records(record.event_records(jobs), log_root, "events")
+    log.append_records(record.link_records(jobs), log_root, "links")
 
 
 def copy_links(jobs: DataFrame) -> DataFrame:
@@ -186,9 +189,12 @@ def table_with_lineage(
     The identity is that of the job's properties, or else of the session.
     """
     name = table_to_table(spark, source, dest, pipeline_id, as_of, suffix)
-    job = replace(job, properties=job.properties or session_properties(spark))
-    row = _job_row(spark, job, source_table=source, dest_table=name)
-    return record.best_effort(lambda: append_jobs(table_links(row), job.log_root))
+
+    def emit() -> None:
+        row = _job_row(spark, job, source_table=source, dest_table=name)
+        append_jobs(table_links(row), job.log_root)
+
+    return record.best_effort(emit)
 
 
 @dataclass(frozen=True)
@@ -227,8 +233,8 @@ def two_step(
     `incremental` the second step takes only the rows of this run, which must
     then have a time of its own.
     """
-    if incremental and as_of is None:
-        as_of = datetime.now(timezone.utc)
+    if incremental:
+        as_of = _moment(spark, as_of)
     tables.ensure_namespace(spark, chain.namespace_name(), chain.location, properties)
 
     first = stamp_ingestion(tables.read_dir(spark, source), chain.pipeline_id, as_of)
@@ -236,22 +242,32 @@ def two_step(
 
     ingested = tables.read_table(spark, chain.table(chain.table_1))
     if incremental:
-        clock = as_of if isinstance(as_of, Column) else F.lit(as_of)
-        ingested = ingested.where(F.col("ingestion_timestamp") == clock)
+        ingested = ingested.where(F.col("ingestion_timestamp") == F.lit(as_of))
     second = stamp_step(ingested, chain.step, as_of)
     _create_and_append(second, chain.table(chain.table_2), chain.provider)
 
     if job is None:
         return None
-    row = _job_row(
-        spark,
-        job,
-        source_path=source,
-        namespace=chain.namespace,
-        table_1=chain.table_1,
-        table_2=chain.table_2,
-    )
-    return record.best_effort(lambda: append_jobs(two_step_links(row), job.log_root))
+
+    def emit() -> None:
+        row = _job_row(
+            spark,
+            job,
+            source_path=source,
+            namespace=chain.namespace,
+            table_1=chain.table_1,
+            table_2=chain.table_2,
+        )
+        append_jobs(two_step_links(row), job.log_root)
+
+    return record.best_effort(emit)
+
+
+def _moment(spark: SparkSession, clock: Clock) -> datetime:
+    """One time for both steps, whatever the clock would say later."""
+    if isinstance(clock, Column):
+        return spark.range(1).select(clock).first()[0]
+    return clock or datetime.now(timezone.utc)
 
 
 def _create_and_append(df: DataFrame, name: str, provider: str) -> None:

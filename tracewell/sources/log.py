@@ -1,13 +1,17 @@
-"""The lineage log: processes, runs, events with links, catalog entries.
-
-Stored as Parquet, one directory per record kind. Processes, runs and events
-are partitioned by location, so a query on some locations reads only those.
-An event carries its links as a bounded array; parents of a record are part of
-its name, so no parent columns are stored.
+"""The lineage log: processes, runs, events, their links, catalog entries.
+
+Stored as Parquet, one directory per record kind and below it one per append, so
+jobs that record at the same time do not meet. An append is written aside and
+becomes visible by one rename. All kinds but entries are partitioned by location
+and sorted by name, so a query on some locations or processes reads only those.
+Links are rows of their own: an event has as many as it declares, at the positions
+it gives them. Parents of a record are part of its name, so no parent columns are
+stored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import instant, link_level
+from tracewell.sources.workspace import make_dirs, move
 
 PROCESS_SCHEMA = (
     "name string, display_name string, attributes map<string,string>, "
@@ -25,8 +30,11 @@ RUN_SCHEMA = (
     "state string, location string"
 )
 EVENT_SCHEMA = (
-    "name string, start_time timestamp_ntz, end_time timestamp_ntz, "
-    "links array<struct<source:string,target:string,level:string>>, location string"
+    "name string, start_time timestamp_ntz, end_time timestamp_ntz, location string"
+)
+LINK_SCHEMA = (
+    "event string, start_time timestamp_ntz, link_pos int, "
+    "source string, target string, level string, location string"
 )
 ENTRY_SCHEMA = (
     "entry_id string, entry_type string, fqn string, "
@@ -39,6 +47,7 @@ SCHEMAS = {
     "processes": PROCESS_SCHEMA,
     "runs": RUN_SCHEMA,
     "events": EVENT_SCHEMA,
+    "links": LINK_SCHEMA,
     "entries": ENTRY_SCHEMA,
 }
 
@@ -66,28 +75,38 @@ class LineageLog:
     processes: DataFrame
     runs: DataFrame
     events: DataFrame
+    links: DataFrame
     entries: DataFrame
 
     def only(self, locations: Sequence[str]) -> LineageLog:
         """The part of the log that lies in `locations`; entries have none."""
         here = F.col("location").isin(*locations)
         return LineageLog(
-            self.processes.where(here), self.runs.where(here), self.events.where(here), self.entries
+            self.processes.where(here),
+            self.runs.where(here),
+            self.events.where(here),
+            self.links.where(here),
+            self.entries,
         )
 
 
 def create_log(spark: SparkSession, root: str) -> None:
     """An empty log at `root`; a log that is there already stays as it is."""
-    for kind, schema in SCHEMAS.items():
-        append_records(spark.createDataFrame([], schema), root, kind)
+    for kind in SCHEMAS:
+        make_dirs(spark, f"{root}/{kind}")
 
 
 def append_records(df: DataFrame, root: str, kind: str) -> None:
-    """Append records of one kind to the stored log."""
-    writer = df.write.mode("append")
-    if kind != "entries":
-        writer = writer.partitionBy("location")
-    writer.parquet(f"{root}/{kind}")
+    """Append records of one kind to the stored log, all of them or none."""
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    # Readers skip names that begin with an underscore.
+    aside = f"{root}/{kind}/_{name}"
+    if kind == "entries":
+        df.write.parquet(aside)
+    else:
+        key = "event" if kind == "links" else "name"
+        df.sortWithinPartitions("location", key).write.partitionBy("location").parquet(aside)
+    move(spark, aside, f"{root}/{kind}/append=a{name}")
 
 
 def append_log(log: LineageLog, root: str) -> None:
@@ -95,13 +114,15 @@ def append_log(log: LineageLog, root: str) -> None:
     append_records(log.processes, root, "processes")
     append_records(log.runs, root, "runs")
     append_records(log.events, root, "events")
+    append_records(log.links, root, "links")
     append_records(log.entries, root, "entries")
 
 
 def read_log(spark: SparkSession, root: str) -> LineageLog:
-    return LineageLog(
-        **{kind: spark.read.schema(schema).parquet(f"{root}/{kind}") for kind, schema in SCHEMAS.items()}
-    )
+    def records(kind: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{root}/{kind}").drop("append")
+
+    return LineageLog(**{kind: records(kind, schema) for kind, schema in SCHEMAS.items()})
 
 
 def read_json_log(spark: SparkSession, root: str) -> LineageLog:
@@ -129,13 +150,17 @@ def read_json_log(spark: SparkSession, root: str) -> LineageLog:
         "state",
         location,
     )
-    events = lines("events", EVENT_JSON).select(
+    timed = lines("events", EVENT_JSON).select(
         "name",
         instant(F.col("startTime")).alias("start_time"),
         instant(F.col("endTime")).alias("end_time"),
-        F.transform("links", _stored_link).alias("links"),
+        "links",
         location,
     )
+    events = timed.drop("links")
+    links = timed.select(
+        F.col("name").alias("event"), "start_time", F.posexplode("links").alias("link_pos", "link"), "location"
+    ).select("event", "start_time", "link_pos", *_stored_link(F.col("link")), "location")
     entries = lines("entries", ENTRY_JSON).select(
         F.col("entryId").alias("entry_id"),
         F.col("entryType").alias("entry_type"),
@@ -155,14 +180,11 @@ def read_json_log(spark: SparkSession, root: str) -> LineageLog:
             ),
         ).alias("aspects"),
     )
-    return LineageLog(processes, runs, events, entries)
+    return LineageLog(processes, runs, events, links, entries)
 
 
 def _stored_link(link):
     source = link["source"]["fullyQualifiedName"]
     target = link["target"]["fullyQualifiedName"]
-    return F.struct(
-        source.alias("source"),
-        target.alias("target"),
-        F.coalesce(link["level"], link_level(source, target)).alias("level"),
-    )
+    level = F.coalesce(link["level"], link_level(source, target))
+    return source.alias("source"), target.alias("target"), level.alias("level")

@@ -6,11 +6,11 @@ catalog, V2 catalog, external connector) is a matter of configuration.
 
 from __future__ import annotations
 
+import json
 import re
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SESSION_CATALOG = "spark_catalog"
 
@@ -66,12 +66,19 @@ def load_table(spark: SparkSession, uri: str, name: str) -> None:
 
 def register_external(spark: SparkSession, name: str, location: str) -> None:
     """Give the Parquet files below `location` a table name."""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION '{location}'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION {_quoted(location)}")
+
+
+def _quoted(text: str) -> str:
+    """As a literal of SQL."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def table_location(spark: SparkSession, name: str) -> str:
-    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where(F.col("col_name") == "Location")
-    return rows.first()["data_type"]
+    """Where the files of a table lie; its columns may be called anything."""
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {name} AS JSON").first()[0]
+    return json.loads(described)["location"]
 
 
 def overwrite_external(df: DataFrame, name: str) -> None:
@@ -84,9 +91,9 @@ def overwrite_external(df: DataFrame, name: str) -> None:
 def ensure_namespace(
     spark: SparkSession, name: str, location: str, properties: dict[str, str] | None = None
 ) -> None:
-    statement = f"CREATE NAMESPACE IF NOT EXISTS {name} LOCATION '{location}'"
+    statement = f"CREATE NAMESPACE IF NOT EXISTS {name} LOCATION {_quoted(location)}"
     if properties:
-        pairs = ", ".join(f"'{key}' = '{value}'" for key, value in properties.items())
+        pairs = ", ".join(f"{_quoted(key)} = {_quoted(value)}" for key, value in properties.items())
         statement += f" WITH DBPROPERTIES ({pairs})"
     spark.sql(statement)
 

@@ -35,6 +35,29 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/tracewell/{app}/{label}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The store of a path, as the session's settings reach it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, at = _file_system(spark, path)
+    return store.exists(at)
+
+
+def make_dirs(spark: SparkSession, path: str) -> None:
+    store, at = _file_system(spark, path)
+    store.mkdirs(at)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a directory of one store; the target must not be there."""
+    store, at = _file_system(spark, source)
+    if not store.rename(at, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and go on from there.
 

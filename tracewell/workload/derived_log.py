@@ -4,8 +4,8 @@ A customer is a process, an order a run, a line an event. The links of an
 event follow a chain of datasets: part to supplier, supplier to the customer's
 mart, mart to the report of the nation, the last also as a column link. Parts
 and suppliers share one name space, so there are self-links and cycles.
-Details of customers far in debt, entries of large parts and the source of
-some links are missing on purpose.
+Details of customers far in debt, runs of customers far in credit, entries of
+large parts and the source of some links are missing on purpose.
 """
 
 from __future__ import annotations
@@ -97,14 +97,14 @@ def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orders_with_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.col("o_orderstatus")
-    return _orders_with_customer(spark, sf_dir).select(
+    return _orders_with_customer(spark, sf_dir).where(F.col("c_acctbal") <= 9000).select(
         run_name().alias("name"),
         F.lit(None).cast("string").alias("display_name"),
         F.col("o_orderdate").alias("start_time"),
@@ -114,7 +114,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their one to four links, made from one row each."""
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "l_shipdate",
@@ -147,12 +148,23 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.concat(run_name(), F.lit("/lineageEvents/e"), event).alias("name"),
         F.col("l_shipdate").alias("start_time"),
-        F.lit(None).cast("timestamp_ntz").alias("end_time"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_shipdate") + F.expr("INTERVAL 1 DAY")).alias("end_time"),
         chain.alias("links"),
         "location",
     )
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _declared(spark, sf_dir).drop("links")
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _declared(spark, sf_dir).select(
+        F.col("name").alias("event"), "start_time", F.posexplode("links").alias("link_pos", "link"), "location"
+    )
+    return rows.select("event", "start_time", "link_pos", "link.source", "link.target", "link.level", "location")
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").where(F.col("p_size") <= 45)
     marts = table(spark, sf_dir, "customer").where(F.col("c_acctbal") >= 0)
@@ -184,7 +196,11 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derive_log(spark: SparkSession, sf_dir: str) -> LineageLog:
     return LineageLog(
-        processes(spark, sf_dir), runs(spark, sf_dir), events(spark, sf_dir), entries(spark, sf_dir)
+        processes(spark, sf_dir),
+        runs(spark, sf_dir),
+        events(spark, sf_dir),
+        links(spark, sf_dir),
+        entries(spark, sf_dir),
     )
 
 

@@ -31,12 +31,13 @@ lin_process_all AS (
     FROM lin_customer
 ),
 lin_process AS (SELECT * FROM lin_process_all WHERE c_acctbal >= -900),
-lin_run AS (
+lin_order AS (
     SELECT p.process || '/runs/r' || CAST(o_orderkey AS VARCHAR) AS run, p.process, p.location, o_orderkey,
-           p.c_custkey, p.c_nationkey, o_orderdate AS start_time, o_orderdate AS end_time,
+           p.c_custkey, p.c_nationkey, p.c_acctbal, o_orderdate AS start_time, o_orderdate AS end_time,
            CASE WHEN o_orderstatus = 'F' THEN 'COMPLETED' ELSE o_orderstatus END AS state
     FROM orders JOIN lin_process_all p ON o_custkey = p.c_custkey
 ),
+lin_run AS (SELECT * FROM lin_order WHERE c_acctbal <= 9000),
 lin_event AS (
     SELECT run || '/lineageEvents/e' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR)
                || '-' || CAST(l_suppkey AS VARCHAR) || '-' || CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS event,
@@ -46,8 +47,9 @@ lin_event AS (
            'bigquery:demo.mart.t' || CAST(c_custkey AS VARCHAR) AS mart_fqn,
            'bigquery:demo.report.t' || CAST(c_nationkey AS VARCHAR) AS report_fqn,
            CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS finished,
-           CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS reported
-    FROM lineitem JOIN lin_run ON l_orderkey = o_orderkey
+           CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS reported,
+           CASE WHEN l_returnflag = 'R' THEN l_shipdate + INTERVAL 1 DAY END AS end_time
+    FROM lineitem JOIN lin_order ON l_orderkey = o_orderkey
 ),
 lin_link AS (
     SELECT record, event, run, process, start_time, 0 AS link_pos,
@@ -91,7 +93,7 @@ batch_process AS (
     ) hits WHERE n = 1
 ),
 lin_read AS (
-    SELECT DISTINCT record, source_fqn, event, run, process FROM lin_link WHERE source_fqn IS NOT NULL
+    SELECT DISTINCT source_fqn, event, run, process FROM lin_link WHERE source_fqn IS NOT NULL
 ),
 identity_of AS (
     SELECT p.process, p.spark_app_name, coalesce(ol_namespace, 'default') AS namespace,
@@ -120,8 +122,8 @@ FROM (
 
 def _identity(namespace: str) -> str:
     return _on_log(f"""
-SELECT i.{namespace} AS namespace, app_name, count(DISTINCT i.process) AS processes, count(*) AS runs
-FROM lin_run r JOIN identity_of i ON r.process = i.process
+SELECT i.{namespace} AS namespace, app_name, count(DISTINCT i.process) AS processes, count(r.run) AS runs
+FROM identity_of i LEFT JOIN lin_run r ON r.process = i.process
 GROUP BY i.{namespace}, app_name""")
 
 
@@ -188,11 +190,11 @@ SELECT DISTINCT e.run, r.state, r.start_time, r.end_time FROM lin_event e LEFT J
     "process_identity_cluster": _identity("cluster_namespace"),
     "uniqueness_verdict": _on_log("""
 , labelled AS (
-    SELECT i.*, first_value(namespace) OVER w AS base_namespace, first_value(app_name) OVER w AS base_app
-    FROM lin_run r JOIN identity_of i ON r.process = i.process
-    WINDOW w AS (PARTITION BY spark_app_name ORDER BY start_time, run)
+    SELECT i.*, r.run, first_value(namespace) OVER w AS base_namespace, first_value(app_name) OVER w AS base_app
+    FROM identity_of i LEFT JOIN lin_run r ON r.process = i.process
+    WINDOW w AS (PARTITION BY spark_app_name ORDER BY run IS NULL, start_time, run, namespace, app_name)
 )
-SELECT spark_app_name, namespace, app_name, count(*) AS runs,
+SELECT spark_app_name, namespace, app_name, count(run) AS runs,
        CASE WHEN namespace <> base_namespace THEN 'new_namespace'
             WHEN app_name <> base_app THEN 'new_app_name' ELSE 'consolidated' END AS verdict
 FROM labelled GROUP BY spark_app_name, namespace, app_name, base_namespace, base_app""").replace("\n\n,", ","),
@@ -221,7 +223,10 @@ SELECT location, 'run', run FROM lin_run r
 WHERE NOT EXISTS (SELECT 1 FROM lin_process p WHERE p.process = r.process AND p.location = 'us-east1')
 UNION ALL
 SELECT location, 'event', event FROM lin_event r
-WHERE NOT EXISTS (SELECT 1 FROM lin_process p WHERE p.process = r.process AND p.location = 'us-east1')"""),
+WHERE NOT EXISTS (SELECT 1 FROM lin_process p WHERE p.process = r.process AND p.location = 'us-east1')
+UNION ALL
+SELECT e.location, 'link', e.event FROM lin_link l JOIN lin_event e ON l.record = e.record
+WHERE NOT EXISTS (SELECT 1 FROM lin_process p WHERE p.process = e.process AND p.location = 'us-east1')"""),
     "purge_counts": _on_log("""
 SELECT location, 'process' AS kind, count(*) AS records FROM lin_process GROUP BY location
 UNION ALL
@@ -252,18 +257,42 @@ SELECT DISTINCT regexp_replace(fqn, '\\.[^.]*$', ''), fqn, 'contains' FROM (
     SELECT DISTINCT source_fqn, target_fqn FROM lin_link
     WHERE level = 'table' AND source_fqn IS NOT NULL AND source_fqn <> target_fqn
 ),
-walk(node, depth) AS (
+walk(node, depth) USING KEY (node) AS (
     SELECT DISTINCT source_fqn, 0 FROM edge
     WHERE source_fqn LIKE 'gcs:%' AND source_fqn NOT IN (SELECT target_fqn FROM edge)
     UNION
-    SELECT target_fqn, depth + 1 FROM walk JOIN edge ON node = source_fqn WHERE depth < 20
+    SELECT target_fqn, min(walk.depth + 1) FROM walk JOIN edge ON walk.node = source_fqn
+    WHERE target_fqn NOT IN (SELECT node FROM recurring.walk)
+    GROUP BY target_fqn
 )
-SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
+SELECT node, depth FROM walk""")
     .replace("\n\n,", ",")
     .replace("WITH", "WITH RECURSIVE", 1),
     "emit_links": _on_log("""
-SELECT event, link_pos, source_fqn, target_fqn, level
-FROM (SELECT DISTINCT event, start_time, link_pos, source_fqn, target_fqn, level FROM lin_link) delivered"""),
+SELECT DISTINCT l.event, link_pos, source_fqn, target_fqn, level, e.end_time
+FROM lin_link l JOIN lin_event e ON l.record = e.record"""),
+    "large_events": f"""
+WITH l AS (
+    SELECT DISTINCT l_suppkey, CAST(l_orderkey * 10 + l_linenumber AS INTEGER) AS pos, {_dataset("l_partkey")} AS source
+    FROM lineitem
+)
+SELECT 'projects/demo/locations/us/processes/supply/runs/r' || CAST(l_suppkey AS VARCHAR) || '/lineageEvents/e' AS event,
+       CAST(1 AS BIGINT) AS records, CAST('2026-01-02 00:00:00' AS TIMESTAMP) AS end_time, count(*) AS links,
+       min(pos) AS first_pos, max(pos) AS last_pos, CAST(sum(pos) AS BIGINT) AS sum_pos,
+       count(DISTINCT source) AS sources
+FROM l GROUP BY l_suppkey""",
+    "files_lineage": f"""
+SELECT *, CAST('2026-01-01 00:00:00' AS TIMESTAMP) AS processed_timestamp, 'second' AS pipeline_id,
+       CAST(2 AS BIGINT) AS processes, CAST(2 AS BIGINT) AS runs, CAST(2 AS BIGINT) AS events,
+       CAST(2 AS BIGINT) AS entries, CAST(1 AS BIGINT) AS edges
+FROM customer""",
+    "table_lineage": """
+SELECT s.*, CAST('2026-01-01 00:00:00' AS TIMESTAMP) AS processed_timestamp, 'suffixed' AS pipeline_id, app_name,
+       'default' AS namespace, CAST(n AS BIGINT) AS processes, CAST(n AS BIGINT) AS runs
+FROM supplier s CROSS JOIN (VALUES ('app', 2), ('other', 1)) AS apps(app_name, n)""",
+    "failed_lineage": """
+SELECT *, CAST('2026-01-01 00:00:00' AS TIMESTAMP) AS processed_timestamp, 'copy' AS pipeline_id, false AS recorded
+FROM customer""",
     "declared_chain": f"""WITH {PAGE}
 SELECT process || '/runs/' || md5('Page run') || '/lineageEvents/' || CAST(link_pos AS VARCHAR) AS event,
        process || '/runs/' || md5('Page run') AS run, process, 'COMPLETED' AS state, 0 AS link_pos,

@@ -25,9 +25,9 @@ from tracewell.operators import audit, graph, identity, inspect, links, record
 from tracewell.operators.stamp import stamp_pipeline
 from tracewell.plans import pipelines
 from tracewell.sources import discovery, tables
-from tracewell.sources.log import append_records, create_log, read_log
+from tracewell.sources.log import LineageLog, append_records, create_log, read_log
 from tracewell.sources.workspace import fresh_path
-from tracewell.workload.derived_log import batches, stored_log, table
+from tracewell.workload.derived_log import PROJECT, batches, dataset_fqn, stored_log, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -131,6 +131,76 @@ def two_step_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _two_steps(spark, sf_dir, incremental=True)
 
 
+# Pipelines with their lineage
+
+
+def _with_log(rows: DataFrame, log: LineageLog) -> DataFrame:
+    """Rows that a pipeline wrote, beside what the log says of it."""
+    counts = [
+        records.agg(F.count(F.lit(1)).alias(name))
+        for name, records in (
+            ("processes", log.processes), ("runs", log.runs), ("events", log.events), ("entries", log.entries)
+        )
+    ]
+    edges = links.table_edges(log.links).agg(F.count(F.lit(1)).alias("edges"))
+    for one in (*counts, edges):
+        rows = rows.withColumn(one.columns[0], one.scalar())
+    return rows
+
+
+def _job(spark: SparkSession, name: str, **properties: str) -> pipelines.Job:
+    root = fresh_path(spark, "job-log")
+    create_log(spark, root)
+    return pipelines.Job(PROJECT, name, name, "run", root, properties=properties)
+
+
+KIND = pipelines.EntryKind("copy-entry", "copy-aspect", "copy-aspect-type")
+
+
+def files_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to files with registered ends and a declared link, run twice."""
+    dest, job = fresh_path(spark, "files"), _job(spark, "copy")
+    for run in ("first", "second"):
+        done = pipelines.files_with_lineage(
+            spark, f"{sf_dir}/customer.parquet", dest, run, job, "demo", KIND, moment(1)
+        )
+        if not done.ok:
+            raise RuntimeError(done.error)
+    return _with_log(tables.read_dir(spark, dest), read_log(spark, job.log_root))
+
+
+def table_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table to suffixed tables under several identities; each row with the identity of its run."""
+    namespace, _ = fresh_namespace(spark)
+    tables.register_external(spark, f"{namespace}.source", f"{sf_dir}/supplier.parquet")
+    root = _job(spark, "suffixed").log_root
+    for number, (suffix, app) in enumerate((("_baseline", "app"), ("_baseline", "app"), ("_v2", "other"))):
+        job = pipelines.Job(
+            PROJECT, f"suffixed-{number}", "Suffixed", "run", root, properties={V.APP_NAME_PROPERTY: app}
+        )
+        done = pipelines.table_with_lineage(
+            spark, f"{namespace}.source", f"{namespace}.dest", "suffixed", job, moment(1), suffix
+        )
+        if not done.ok:
+            raise RuntimeError(done.error)
+    written = [
+        tables.read_table(spark, f"{namespace}.dest{suffix}").withColumn("app_name", F.lit(app))
+        for suffix, app in (("_baseline", "app"), ("_v2", "other"))
+    ]
+    found = identity.process_identity(read_log(spark, root)).select("app_name", "namespace", "processes", "runs")
+    return written[0].unionByName(written[1]).join(found, "app_name")
+
+
+def failed_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log cannot be written; the data stands and the failure is told."""
+    dest = fresh_path(spark, "files")
+    job = pipelines.Job(PROJECT, "copy", "copy", "run", "nowhere://log")
+    done = pipelines.files_with_lineage(
+        spark, f"{sf_dir}/customer.parquet", dest, "copy", job, "demo", KIND, moment(1)
+    )
+    return tables.read_dir(spark, dest).withColumn("recorded", F.lit(done.ok))
+
+
 def discover_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.discover(spark, sf_dir).select("dataset", "files", "bytes")
 
@@ -167,7 +237,7 @@ def fqn_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fqn_to_path_of_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = links.flatten_links(stored_log(spark, sf_dir).events)
+    names = links.flatten_links(stored_log(spark, sf_dir).links)
     fqns = names.select(F.explode(F.array("source_fqn", "target_fqn")).alias("fqn")).distinct()
     return fqns.withColumn("path", fqn_to_path(F.col("fqn")))
 
@@ -190,13 +260,51 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def emit_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Link rows to event records, appended to a new log, read back as link rows."""
-    events = stored_log(spark, sf_dir).events
-    rows = links.declared_links(events, "start_time", "location")
+    """Link rows to event and link records, appended to a new log, read back as link rows."""
+    log = stored_log(spark, sf_dir)
+    ends = log.events.select(F.col("name").alias("event"), "end_time")
+    rows = links.declared_links(log.links, "start_time", "location").join(ends, "event")
+    emitted = _emitted(spark, rows)
+    found = links.declared_links(emitted.links)
+    return found.join(emitted.events.select(F.col("name").alias("event"), "end_time"), "event")
+
+
+def _emitted(spark: SparkSession, rows: DataFrame) -> LineageLog:
     root = fresh_path(spark, "emitted")
     create_log(spark, root)
-    append_records(record.events_from_links(rows), root, "events")
-    return links.declared_links(read_log(spark, root).events)
+    events, declared = record.events_from_links(rows)
+    append_records(events, root, "events")
+    append_records(declared, root, "links")
+    return read_log(spark, root)
+
+
+def large_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event per supplier with a link per line, at positions with gaps; what is read back of each."""
+    supplier = F.col("l_suppkey").cast("string")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat(
+            F.lit(f"projects/{PROJECT}/locations/us/processes/supply/runs/r"), supplier, F.lit("/lineageEvents/e")
+        ).alias("event"),
+        moment(1).alias("start_time"),
+        moment(2).alias("end_time"),
+        F.lit("us").alias("location"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("int").alias("link_pos"),
+        dataset_fqn(F.col("l_partkey")).alias("source_fqn"),
+        dataset_fqn(F.col("l_suppkey")).alias("target_fqn"),
+        F.lit(V.TABLE_LEVEL).alias("level"),
+    )
+    log = _emitted(spark, rows)
+    found = log.links.groupBy("event").agg(
+        F.count(F.lit(1)).alias("links"),
+        F.min("link_pos").alias("first_pos"),
+        F.max("link_pos").alias("last_pos"),
+        F.sum("link_pos").alias("sum_pos"),
+    )
+    reads = inspect.events_by_source(log.links).groupBy("event").agg(F.count(F.lit(1)).alias("sources"))
+    events = log.events.groupBy(F.col("name").alias("event")).agg(
+        F.count(F.lit(1)).alias("records"), F.max("end_time").alias("end_time")
+    )
+    return events.join(found, "event").join(reads, "event")
 
 
 def _page_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +332,7 @@ def declared_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     pipelines.append_jobs(pipelines.two_step_links(_page_jobs(spark, sf_dir)), root)
     log = read_log(spark, root)
     context = inspect.events_in_context(log).select("event", "run", "process", "state")
-    return links.declared_links(log.events).join(context, "event")
+    return links.declared_links(log.links).join(context, "event")
 
 
 def registered_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +369,7 @@ def registered_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("entry").alias("target_entry"),
         F.col("path").alias("target_path"),
     )
-    edges = links.declared_links(log.events).select("source_fqn", "target_fqn")
+    edges = links.declared_links(log.links).select("source_fqn", "target_fqn")
     return edges.join(sources, "source_fqn", "left").join(targets, "target_fqn", "left")
 
 
@@ -286,15 +394,15 @@ def entry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges_per_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.edges_per_process(stored_log(spark, sf_dir).events)
+    return links.edges_per_process(stored_log(spark, sf_dir).links)
 
 
 def edges_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.edges_first_seen(stored_log(spark, sf_dir).events)
+    return links.edges_first_seen(stored_log(spark, sf_dir).links)
 
 
 def links_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.upstream_links(stored_log(spark, sf_dir).events)
+    return links.upstream_links(stored_log(spark, sf_dir).links)
 
 
 def process_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,7 +461,8 @@ def purge_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
         records.select("location", F.lit(kind).alias("kind"), "name")
         for kind, records in (("process", log.processes), ("run", log.runs), ("event", log.events))
     ]
-    return records[0].unionByName(records[1]).unionByName(records[2])
+    left = log.links.select("location", F.lit("link").alias("kind"), F.col("event").alias("name"))
+    return records[0].unionByName(records[1]).unionByName(records[2]).unionByName(left)
 
 
 def purge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,15 +470,15 @@ def purge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.graph_nodes(stored_log(spark, sf_dir).events)
+    return graph.graph_nodes(stored_log(spark, sf_dir).links)
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.graph_edges(stored_log(spark, sf_dir).events)
+    return graph.graph_edges(stored_log(spark, sf_dir).links)
 
 
 def reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reach(links.table_edges(stored_log(spark, sf_dir).events))
+    return graph.reach(links.table_edges(stored_log(spark, sf_dir).links))
 
 
 QUERIES: dict[str, Query] = {
@@ -394,6 +503,10 @@ QUERIES: dict[str, Query] = {
     "graph_edges": graph_edges,
     "reach": reach,
     "emit_links": emit_links,
+    "large_events": large_events,
+    "files_lineage": files_lineage,
+    "table_lineage": table_lineage,
+    "failed_lineage": failed_lineage,
     "declared_chain": declared_chain,
     "registered_copies": registered_copies,
     "entry_upsert": entry_upsert,
