@@ -1,0 +1,107 @@
+from __future__ import annotations
+
+import heapq
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tracewell.llm import huffman_ids
+from tracewell.llm.files import opened
+from tracewell.sources.workspace import fresh_path
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+def best_size(counts):
+    heap, total = [int(c) for c in counts if c], 0
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        heapq.heappush(heap, both := heapq.heappop(heap) + heapq.heappop(heap))
+        total += both
+    return total
+
+
+@pytest.mark.parametrize("n", [2, 3, 17, 300])
+def test_lengths_are_best_and_limited(n):
+    counts = np.random.RandomState(n).zipf(1.4, n).clip(0, 10**7)
+    free = huffman_ids.code_lengths(counts, 40)
+    assert (counts * free).sum() == best_size(counts)
+    short = huffman_ids.code_lengths(counts, 9)
+    assert short.max() <= 9 and sum(2.0**-length for length in short.tolist()) == 1
+
+
+def test_one_id_and_none():
+    assert huffman_ids.code_lengths(np.array([0, 5])).tolist() == [0, 1]
+    assert huffman_ids.code_lengths(np.zeros(0, int)).tolist() == []
+
+
+def test_codes_come_back():
+    rng = np.random.RandomState(5)
+    counts = rng.zipf(1.3, 500).clip(0, 10**6)
+    coder = huffman_ids.Coder(huffman_ids.code_lengths(counts, 11))
+    ids, bounds = rng.choice(500, 6000, p=counts / counts.sum()), np.array([0, 0, 1, 64, 65, 193, 5000, 6000])
+    words, starts, lanes, _ = coder.encode(ids, bounds)
+    assert (coder.decode(words.tobytes(), starts[:-1], np.diff(bounds), lanes) == ids).all()
+
+
+def written(spark, df, **options):
+    root = fresh_path(spark, "ids")
+    tokens = huffman_ids.tokenised(df, PATH, "doc_id", "text")
+    return huffman_ids.write_ids(tokens, root, **options), root
+
+
+def expected(df):
+    library = Tokenizer.from_file(PATH)
+    rows = sorted(((row.doc_id, row.text) for row in df.collect()), key=lambda r: r[0])
+    return [(key, library.encode(text or "", add_special_tokens=False).ids + [1]) for key, text in rows]
+
+
+def test_many_files_in_order(spark, docs, monkeypatch):
+    monkeypatch.setattr(huffman_ids, "BLOCK_IDS", 3000)
+    files, root = written(spark, docs, file_ids=20_000)
+    assert files.count() > 3
+    found = sorted(map(tuple, huffman_ids.read_ids(files, root).collect()))
+    start, rows = 0, []
+    for key, ids in expected(docs):
+        rows.append((key, start, ids))
+        start += len(ids)
+    assert found == rows
+
+
+def test_odd_rows(spark, odd):
+    files, root = written(spark, odd)
+    found = huffman_ids.read_ids(files, root).orderBy("start").collect()
+    assert found[0].doc_id is None and found[0].ids == [1]
+    known = expected(odd.where("doc_id IS NOT NULL"))
+    assert sorted((row.doc_id, row.ids) for row in found[1:]) == sorted(known)
+    assert [row.start for row in found] == np.cumsum([0, *[len(row.ids) for row in found]])[:-1].tolist()
+
+
+def test_nothing(spark, odd):
+    files, root = written(spark, odd.limit(0))
+    assert files.count() == 0 and huffman_ids.read_ids(files, root).count() == 0
+
+
+def test_a_cut_file_is_refused(spark, docs):
+    files, root = written(spark, docs.limit(5))
+    name = files.first().name
+    with opened(root, name) as file:
+        data = file.read()
+    plain = root.removeprefix("file:")
+    with open(f"{plain}/{name}", "wb") as file:
+        file.write(data[:-9])
+    with pytest.raises(ValueError, match="no file of ids"):
+        list(huffman_ids.read_file(root, name))
+
+
+def test_query(spark, docs, sf_dir):
+    found = {row.doc_id: row for row in huffman_ids.op1_huffman_ids(spark, sf_dir).collect()}
+    start = 0
+    for key, ids in expected(docs):
+        row = found[key]
+        assert (row.start, row.n_tokens) == (start, len(ids))
+        assert row.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)

@@ -7,9 +7,10 @@ signatures differ in one symbol or none: under the keys of a chunk, each with on
 symbol left out, they meet. All pairs within distance t are found so.
 
 Documents with equal shingle sets are one class and are compared once. Classes that
-meet under a key are first laid beside one of them only, and beside all others only
-where that left them in different components, so a group of near copies costs about
-its size and not its square. Every link is confirmed on the full sets, as sorted
+meet under a key are first laid beside one of them only. Where that left them in
+different components, what they share with the hub and what no other set has bound
+what two sets can have in common, and only classes that may still be similar are
+paired: a group of near copies costs about its size and not its square. Every link is confirmed on the full sets, as sorted
 64-bit hashes of shingles. Components come from label propagation with shortcuts.
 
 Words are `[^\x20\x09-\x0D]+`, A-Z as a-z. A document's set has its distinct
@@ -54,7 +55,7 @@ _ROWS = pa.schema(
 )
 _KEYS = pa.schema([("bucket", pa.int64()), ("node", pa.int64())])
 _SETS = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("shingles", pa.binary())])
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_COMPARED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("linked", pa.bool_())])
 
 
 @dataclass(frozen=True)
@@ -187,32 +188,67 @@ def shared_buckets(classes: DataFrame, scheme: Scheme) -> DataFrame:
     return found.join(several.where("low < high").select("bucket"), "bucket", "left_semi")
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _hubs(members: DataFrame, shareable: DataFrame) -> DataFrame:
+    """(bucket, hub): the class of each bucket that shares most of its own set."""
+    rank = F.struct((F.col("most") / F.col("n")).alias("share"), "node")
+    hubs = members.join(shareable, "node").groupBy("bucket").agg(F.max(rank).alias("hub"))
+    return hubs.select("bucket", F.col("hub.node").alias("hub"))
+
+
+def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members with their component, in buckets that have several."""
     if labels is None:
         return members.withColumn("label", F.col("node"))
     found = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = found.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    return found.join(open_.select("bucket"), "bucket", "left_semi")
+    several = found.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    return found.join(several.where("low < high").select("bucket"), "bucket", "left_semi")
+
+
+def _shareable(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, n, most): of how many shingles each set is, and how many of them another set has too.
+
+    Two sets have no more in common than the smaller of these numbers, which rules
+    out copies with too many changes of their own before they are paired.
+    """
 
+    def run(batches: Batches) -> Batches:
+        for batch in slices(batches, "shingles"):
+            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+            nodes = np.repeat(batch.column("node").to_numpy(), [len(x) for x in parts])
+            yield record_batch(_KEYS, np.concatenate(parts), nodes)
+
+    rows = map_batches(sets.select("node", "shingles"), run, "bucket long, node long")
+    once = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    own = once.groupBy("node").agg(F.count("*").alias("own"))
+    found = classes.select("node", "n").join(sets.select("node"), "node", "left_semi").join(own, "node", "left")
+    return found.select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
 
-def _beside_hub(members: DataFrame, labels: DataFrame | None, all_hubs: bool) -> DataFrame:
-    """Each class beside the first class of its buckets, or of one of them."""
-    found = _labelled(members, labels)
-    hubs = found.groupBy("bucket").agg(F.min(F.struct("label", "node")).alias("hub"))
-    pairs = found.join(hubs, "bucket").where("label <> hub.label").select("node", F.col("hub.node").alias("hub"))
-    if all_hubs:
-        return pairs.distinct().selectExpr("hub AS a", "node AS b")
-    return pairs.groupBy("node").agg(F.min("hub").alias("hub")).selectExpr("hub AS a", "node AS b")
 
+def _across(
+    open_: DataFrame, hubs: DataFrame, beside: DataFrame, shareable: DataFrame, similarity: int
+) -> DataFrame:
+    """All pairs of classes that share a bucket and not a component, and may be similar.
 
-def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of classes that share a bucket and not a component."""
-    found = _labelled(members, labels)
+    What two sets have in common is inside the hub of the bucket, at most what the
+    poorer of them has of it, or outside, at most what the poorer shares there.
+    """
+    inside = beside.selectExpr("a AS hub", "b AS node", "common AS inside")
+    found = open_.join(shareable, "node").join(hubs, "bucket").join(inside, ["hub", "node"], "left")
+    found = found.withColumn("inside", F.when(F.col("node") == F.col("hub"), F.col("n")).otherwise(F.col("inside")))
+    found = found.withColumn("outside", F.col("most") - F.col("inside"))
+    found = found.withColumn("outside", F.greatest("outside", F.lit(0)))
     lowest = found.groupBy("bucket").agg(F.min("label").alias("low"))
-    # Beside the bucket's first component all others are few, as links were made with it first.
-    others = found.join(lowest, "bucket").where("label <> low").selectExpr("bucket", "node AS x", "label AS x_label")
-    pairs = others.join(found, "bucket").where("label < x_label")
+    # Beside the bucket's first component all others are few, as links were made with its hub first.
+    others = found.join(lowest, "bucket").where("label <> low").selectExpr(
+        "bucket", "node AS x", "label AS x_label", "n AS x_n", "most AS x_most", "inside AS x_in", "outside AS x_out"
+    )
+    common = F.expr(
+        "least(most, x_most, coalesce("
+        "if(inside IS NULL OR x_in IS NULL, NULL, least(inside, x_in) + least(outside, x_out)), most))"
+    )
+    may = 100 * common >= similarity * (F.col("n") + F.col("x_n") - common)
+    pair = (found["bucket"] == others["bucket"]) & (F.col("label") < F.col("x_label")) & may
+    pairs = others.join(found, pair)
     return pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
 
 
@@ -269,23 +305,24 @@ def sets_of(nodes: DataFrame, classes: DataFrame, texts: DataFrame, scheme: Sche
     return known.join(found, same).select("node", "shingles").dropDuplicates(["node"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs with 100 * intersection >= similarity * union."""
+def compared(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(a, b, common, linked): shingles in common, and whether 100 * intersection >= similarity * union."""
     joined = pairs.join(sets.selectExpr("node AS a", "shingles AS left"), "a")
     joined = joined.join(sets.selectExpr("node AS b", "shingles AS right"), "b").select("a", "b", "left", "right")
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            keep = []
+            commons, linked = [], []
             for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
                 x, y = (np.frombuffer(side.as_buffer(), np.uint64) for side in (left, right))
                 both = np.concatenate((x, y))
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= similarity * (len(both) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                commons.append(common)
+                linked.append(100 * common >= similarity * (len(both) - common))
+            yield record_batch(_COMPARED, batch.column("a"), batch.column("b"), commons, linked)
 
-    return map_batches(joined, run, "a long, b long")
+    return map_batches(joined, run, "a long, b long, common long, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -311,30 +348,25 @@ def components(links: DataFrame) -> DataFrame:
 def linked_classes(classes: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame | None:
     """(node, label) of all classes that are linked with another; None if there are none."""
     members = materialise(shared_buckets(classes, scheme), "members")
-    links = labels = sets = None
-    for step in range(3):
-        if step < 2:
-            pairs = _beside_hub(members, labels, all_hubs=step == 1)
-        else:
-            pairs = _across(members, labels) if labels is not None else _across(members, _own(members))
-        pairs = materialise(within_distance(pairs, classes, scheme), "pairs")
-        nodes = pairs.selectExpr("a AS node").unionByName(pairs.selectExpr("b AS node")).distinct()
-        if sets is not None:
-            nodes = nodes.join(sets, "node", "left_anti")
-        if not nodes.isEmpty():
-            more = materialise(sets_of(nodes, classes, texts, scheme), "sets")
-            sets = more if sets is None else sets.unionByName(more)
-        if sets is None:
-            return None
-        found = materialise(confirmed(pairs, sets, scheme.similarity), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-    return labels
-
-
-def _own(members: DataFrame) -> DataFrame:
-    return members.select("node", F.col("node").alias("label")).distinct()
+    nodes = members.select("node").distinct()
+    sets = materialise(sets_of(nodes, classes, texts, scheme), "sets")
+    shareable = materialise(_shareable(sets, classes), "shareable")
+
+    hubs = materialise(_hubs(members, shareable), "hubs")
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        near = within_distance(pairs, classes, scheme)
+        return materialise(compared(near, sets, scheme.similarity), "compared")
+
+    first = members.join(hubs, "bucket").where("node <> hub").selectExpr("hub AS a", "node AS b").distinct()
+    beside = compare(first)
+    links = beside.where("linked")
+    labels = None if links.isEmpty() else components(links)
+    open_ = materialise(_open(members, labels), "open")
+    more = compare(_across(open_, hubs, beside, shareable, scheme.similarity)).where("linked")
+    if more.isEmpty():
+        return labels
+    return components(links.unionByName(more))
 
 
 def near_duplicates(
