@@ -34,6 +34,5 @@ ORACLE: dict[str, str] = {
     "op4_minhash_hamming": near_duplicates_sql(),
     "op6_countmin_windows": repeated_sql(),
     "op7_line_spread": line_spread_sql(),
-    "op8_min_cost_reshard": op8_min_cost_reshard,
     "op9_quality_cascade": kept_sql(),
 }
