@@ -31,7 +31,8 @@ def test_the_listing_reads_no_content(spark, root):
 def test_columns_are_those_that_spark_reads(spark, root):
     got = discovery.discover_columns(spark, "file://" + root)
     assert rows(got, "dataset", "position", "column_name", "column_type") == [
-        ("deep", 0, "id", "bigint"), ("deep", 1, "name", "string"), ("numbers", 0, "id", "bigint"),
+        ("deep", 0, "id", "bigint"), ("deep", 1, "name", "string"), ("deep", 2, "year", "int"),
+        ("deep", 3, "month", "int"), ("numbers", 0, "id", "bigint"),
     ]
     sf_dir = "/root/testdata/sf0.001"
     found = rows(discovery.discover_columns(spark, sf_dir), "dataset", "position", "column_name", "column_type")
@@ -43,6 +44,13 @@ def test_columns_are_those_that_spark_reads(spark, root):
     assert found == sorted(expected, key=repr)
 
 
+def test_columns_of_files_that_changed(spark, path):
+    for day, name in ((1, "x_old"), (2, "y_new")):
+        spark.range(2).withColumnRenamed("id", name).write.parquet(f"{path('root')}/d/day={day}")
+    got = discovery.discover_columns(spark, path("root"))
+    assert rows(got, "position", "column_name") == [(0, "x_old"), (1, "y_new"), (2, "day")]
+
+
 def test_discovered_dataset_to_files(spark, root, path):
     pipelines.discovered_to_files(spark, root, "numbers", path("dest"), "p3")
     assert spark.read.parquet(path("dest")).where("pipeline_id = 'p3'").count() == 10

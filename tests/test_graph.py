@@ -6,6 +6,7 @@ import pytest
 from records import event, lineage_log, rows
 
 from tracewell.operators import graph
+from tracewell.sources.workspace import materialise_buckets
 
 CHAIN = [
     ("gcs:b.source", "bigquery:p.n.one"),
@@ -69,6 +70,14 @@ def test_long_chain_is_compacted_on_the_way(spark):
     assert got == [(f"n{i:02d}", i) for i in range(length + 1)]
 
 
+def test_rounds_do_not_move_the_edges(spark):
+    hops, forget = materialise_buckets(edges(spark, [(f"a{i}", f"b{i}") for i in range(50)]), "hops", "source_fqn")
+    frontier = nodes(spark, "a1").withColumnRenamed("node", "source_fqn").hint("merge")
+    plan = hops.join(frontier, "source_fqn", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    forget()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan
+
+
 def test_reach_against_brute_force(spark):
     random.seed(3)
     pairs = [(f"n{random.randint(0, 60)}", f"n{random.randint(0, 60)}") for _ in range(90)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell import fixed_values as V
 from tracewell.functions import parent_fqn
 from tracewell.operators.links import declared_links, without_self_links
-from tracewell.sources.workspace import materialise
+from tracewell.sources.workspace import materialise, materialise_buckets
 
 COMPACT_EVERY = 16
 
@@ -70,12 +70,19 @@ def reach(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     Without `starts` the walk begins at all storage roots. Breadth first over
     the whole start set: each round follows the edges of the nodes found in
     the round before and keeps those not seen yet, so cycles end and every
-    edge is followed once. Edges and rounds are written to the shared folder,
-    which bounds the plan and survives the loss of executors. The driver only
-    learns whether a round found anything.
+    edge is followed once. Edges are written once, in buckets by their source,
+    and a round shuffles only the nodes it starts from to them. Edges and rounds
+    lie in the shared folder, which bounds the plan and survives the loss of
+    executors. The driver only learns whether a round found anything.
     """
-    hops = materialise(edges.select("source_fqn", "target_fqn").distinct(), "hops")
-    starts = storage_roots(hops) if starts is None else starts.select("node").distinct()
+    hops, forget = materialise_buckets(edges.select("source_fqn", "target_fqn").distinct(), "hops", "source_fqn")
+    try:
+        return _rounds(hops, storage_roots(hops) if starts is None else starts.select("node").distinct())
+    finally:
+        forget()
+
+
+def _rounds(hops: DataFrame, starts: DataFrame) -> DataFrame:
     frontier = materialise(starts.withColumn("depth", F.lit(0)), "frontier")
     seen = frontier
     depth = 0

@@ -3,14 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema
 
 SUFFIX = ".parquet"
 SCHEME_AND_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
@@ -48,41 +43,28 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
             F.count(F.lit(1)).alias("files"),
             F.sum("length").alias("bytes"),
             F.max("modificationTime").alias("last_modified"),
-            F.max_by("path", F.struct("modificationTime", "path")).alias("newest"),
         )
     )
 
 
 def discover_columns(spark: SparkSession, root: str) -> DataFrame:
-    """Columns of every dataset below `root`, from the footer of its newest file.
+    """Columns of every dataset below `root`: those of all its files, then those of directory names.
 
-    Footers are read in tasks, over which the datasets are spread. Columns that only appear in
-    directory names (`column=value`) are not part of a footer.
+    Spark merges the footers of each dataset in tasks, through the file systems of
+    the session. Files whose types for a column cannot be merged are an error.
     """
-    datasets = discover(spark, root).select("dataset", "newest")
-    spread = datasets.repartition(spark.sparkContext.defaultParallelism, "dataset")
-    return spread.mapInPandas(_footers, COLUMN_SCHEMA)
-
-
-def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for dataset, path in zip(batch["dataset"], batch["newest"]):
-            filesystem, name = pafs.FileSystem.from_uri(path)
-            footer = pq.read_schema(name, filesystem=filesystem)
-            fields = from_arrow_schema(footer, prefer_timestamp_ntz=True).fields
-            yield pd.DataFrame(
-                {
-                    "dataset": dataset,
-                    "position": range(len(fields)),
-                    "column_name": [field.name for field in fields],
-                    "column_type": [field.dataType.simpleString() for field in fields],
-                }
-            )
+    rows = []
+    for dataset, location in discover(spark, root).select("dataset", "location").orderBy("location").collect():
+        fields = spark.read.option("mergeSchema", "true").parquet(location).schema.fields
+        rows += [(dataset, i, field.name, field.dataType.simpleString()) for i, field in enumerate(fields)]
+    return spark.createDataFrame(rows, COLUMN_SCHEMA)
 
 
 def dataset_location(spark: SparkSession, root: str, dataset: str) -> str:
     """Where a discovered dataset lies."""
-    row = discover(spark, root).where(F.col("dataset") == dataset).select("location").first()
+    found = discover(spark, root).where(F.col("dataset") == dataset)
+    # A directory and a file may share a name: the same one is taken each time.
+    row = found.select("location").orderBy("location").first()
     if row is None:
         raise LookupError(f"no dataset {dataset} below {root}")
     return row.location

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +69,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_buckets(df: DataFrame, label: str, key: str) -> tuple[DataFrame, Callable[[], None]]:
+    """As `materialise`, in buckets by a key, so that later joins on it leave the rows where they are.
+
+    Buckets need a table's metadata; the second result drops them, not the files.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    name = f"{label}_{path.rsplit('-', 1)[1]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(buckets, key)
+    dealt.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    return spark.table(name), lambda: spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -351,6 +351,14 @@ SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(pro
     "suffixed_destinations": f"""
 SELECT s.*, {STAMP.format(1)} AS processed_timestamp, 'suffixed' AS pipeline_id, suffix
 FROM supplier s CROSS JOIN (VALUES ('_baseline'), ('_v2'), ('_explicit')) AS runs(suffix)""",
+    "discover_columns": """
+SELECT table_name AS dataset, CAST(ordinal_position - 1 AS INTEGER) AS position, column_name,
+       CASE WHEN data_type LIKE '%[]' THEN 'array<' || lower(replace(data_type, '[]', '')) || '>'
+            WHEN data_type = 'INTEGER' THEN 'int' WHEN data_type = 'VARCHAR' THEN 'string'
+            WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp_ntz' ELSE lower(data_type) END AS column_type
+FROM information_schema.columns
+WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents',
+                     'embeddings', 'pages', 'benchmark', 'labels', 'conversations')""",
     "two_step_append": _steps("(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3)"),
     "two_step_incremental": _steps("(1, 1), (2, 2), (3, 3)"),
 }
