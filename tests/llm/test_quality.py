@@ -48,7 +48,7 @@ def test_rules_that_reject_more_per_second_come_first(docs):
     (" ".join(f"WORD{chr(65 + i)}" for i in range(20)), "upper_case"),
     (" ".join(f"wo{chr(97 + i)}!!" for i in range(20)), "shouting"),
     (" ".join(str(10**6 + i) for i in range(20)), "digits"),
-    ("\n".join(["line one", "line one"] + [f"l{i} x{i}" for i in range(1)] * 2 + ["a b c d e f g"]), "repeated_lines"),
+    ("\n".join(["line one"] * 4 + ["a b c d e f g"]), "repeated_lines"),
 ])
 def test_each_rule(spark, text, rule):
     df = spark.createDataFrame([(text,)], "text string")

@@ -32,9 +32,11 @@ def _histogram(rows: DataFrame, edges: np.ndarray) -> np.ndarray:
     return weights
 
 
-def range_bounds(df: DataFrame, key: Column, weight: Column, target: int) -> list[int]:
+def range_bounds(df: DataFrame, key: Column, weight: Column, target: int, most: int | None = None) -> list[int]:
     """First keys of ranges whose weights are near `target`; the first range is open below.
 
+    With `most`, ranges grow with the rows so that there are about so many at most.
+
     Equal keys stay in one range, so one of more than the target makes a larger
     range. Null keys belong to the first. Histograms come to the driver, with a
     few bins per range.
@@ -44,6 +46,7 @@ def range_bounds(df: DataFrame, key: Column, weight: Column, target: int) -> lis
     if known[0] is None:
         return [_LEAST]
     low, high = known[0], known[1]
+    target = max(target, known[2] // most) if most else target
     step = max(1, -(-(high - low + 1) // BINS))
     edges = np.array([_LEAST, *range(low, high + 1, step)], object)
     while True:

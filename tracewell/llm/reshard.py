@@ -25,8 +25,9 @@ from tracewell.llm.batches import documents
 from tracewell.llm.ranges import range_bounds, range_of
 from tracewell.sources.workspace import fresh_path
 
-#: Bytes of a range of keys; a block is what an old shard has in one. One row per block comes to the driver.
-RANGE_BYTES = 64 << 20
+#: Bytes of a range of keys, or more if there would be too many ranges. A block is what an old shard has in
+#: one; one row per block comes to the driver.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 4096
 OLD_SHARDS, NEW_SHARDS = 20, 16
 _LEAST = -(1 << 63)
 
@@ -108,7 +109,7 @@ def write_layout(df: DataFrame, old_shard: Column, path: str, key: str = "doc_id
         row_size(F.col(text)).alias("size"),
         old_shard.cast("int").alias("old_shard"),
     )
-    bounds = range_bounds(rows, F.col("key"), F.col("size"), RANGE_BYTES)
+    bounds = range_bounds(rows, F.col("key"), F.col("size"), RANGE_BYTES, MOST_RANGES)
     rows = rows.withColumn("block", range_of(F.col("key"), bounds))
     rows.write.partitionBy("old_shard", "block").parquet(path)
     return Layout(path, tuple(bounds), key, text)
@@ -195,15 +196,12 @@ class Resharded:
 def reshard(spark: SparkSession, layout: Layout, plan: Plan, path: str) -> Resharded:
     """Rewrite the blocks of which rows move, by shard, and leave the others where they are."""
     rows = layout.read(spark).withColumn("shard", plan.shard(F.col("old_shard"), F.col("key")))
-    moved = rows.groupBy("old_shard", "block").agg(F.max((F.col("shard") != F.col("old_shard")).cast("int")).alias("m"))
-    touched = [(r["old_shard"], r["block"]) for r in moved.where("m = 1").toArrow().to_pylist()]
-    # On partition columns, so untouched files are not opened for this.
-    blocks = {}
-    for old, block in touched:
-        blocks.setdefault(old, []).append(block)
+    # What stays comes first, so blocks are touched from one on.
+    moved = rows.where("shard <> old_shard").groupBy("old_shard").agg(F.min("block").alias("block"))
     affected = F.lit(False)
-    for old, numbers in blocks.items():
-        affected = affected | ((F.col("old_shard") == old) & F.col("block").isin(numbers))
+    for row in moved.toArrow().to_pylist():
+        # On partition columns, so untouched files are not opened for this.
+        affected = affected | ((F.col("old_shard") == row["old_shard"]) & (F.col("block") >= row["block"]))
     columns = ["row", "key", "size", "block", "shard"]
     rows.where(affected).select(columns).write.partitionBy("shard").parquet(path)
     schema = rows.select(columns).schema
