@@ -58,10 +58,11 @@ def test_each_rule(spark, text, rule):
 
 def test_odd_rows(odd):
     kept = q.keep_good(odd)
-    assert kept.columns == odd.columns and kept.count() == 0
+    # One of them has twelve words and nothing against it.
+    assert kept.columns == odd.columns and kept.count() == 1
     assert q.keep_good(odd.limit(0)).count() == 0
     found = q.measures(odd).collect()
-    assert len(found) == odd.count() and all(r.base_failed for r in found)
+    assert len(found) == odd.count() and sum(not r.base_failed for r in found) == 1
     assert [r.n_words for r in found if r.text == ""] == [0, 0]
 
 
