@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.batches import Batches, documents, keyed_texts, map_batches, record_batch, slices
@@ -55,7 +55,15 @@ _ROWS = pa.schema(
 )
 _KEYS = pa.schema([("bucket", pa.int64()), ("node", pa.int64())])
 _SETS = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("shingles", pa.binary())])
-_COMPARED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("linked", pa.bool_())])
+_COMPARED = pa.schema(
+    [
+        ("a", pa.int64()),
+        ("b", pa.int64()),
+        ("common", pa.int64()),
+        ("linked", pa.bool_()),
+        ("outside", pa.list_(pa.int64())),
+    ]
+)
 
 
 @dataclass(frozen=True)
@@ -229,27 +237,38 @@ def _across(
 ) -> DataFrame:
     """All pairs of classes that share a bucket and not a component, and may be similar.
 
-    What two sets have in common is inside the hub of the bucket, at most what the
-    poorer of them has of it, or outside, at most what the poorer shares there.
+    Classes of one bucket have the same hub, so pairs are made among those with a
+    common hub. What two sets have in common is inside the hub, at most what the
+    poorer of them has of it, or outside it.
     """
-    inside = beside.selectExpr("a AS hub", "b AS node", "common AS inside")
-    found = open_.join(shareable, "node").join(hubs, "bucket").join(inside, ["hub", "node"], "left")
-    found = found.withColumn("inside", F.when(F.col("node") == F.col("hub"), F.col("n")).otherwise(F.col("inside")))
-    found = found.withColumn("outside", F.col("most") - F.col("inside"))
-    found = found.withColumn("outside", F.greatest("outside", F.lit(0)))
-    lowest = found.groupBy("bucket").agg(F.min("label").alias("low"))
-    # Beside the bucket's first component all others are few, as links were made with its hub first.
-    others = found.join(lowest, "bucket").where("label <> low").selectExpr(
-        "bucket", "node AS x", "label AS x_label", "n AS x_n", "most AS x_most", "inside AS x_in", "outside AS x_out"
+    inside = beside.selectExpr("a AS hub", "b AS node", "common AS inside", "outside")
+    group = open_.join(hubs, "bucket").select("hub", "node", "label").distinct()
+    found = group.join(shareable, "node").join(inside, ["hub", "node"], "left")
+    is_hub = F.col("node") == F.col("hub")
+    found = found.withColumns(
+        {
+            "inside": F.when(is_hub, F.col("n")).otherwise(F.col("inside")),
+            "outside": F.when(is_hub, F.array().cast("array<long>")).otherwise(F.col("outside")),
+        }
     )
-    common = F.expr(
-        "least(most, x_most, coalesce("
-        "if(inside IS NULL OR x_in IS NULL, NULL, least(inside, x_in) + least(outside, x_out)), most))"
+    lowest = found.groupBy("hub").agg(F.min("label").alias("low"))
+    # Beside the hub's first component all others are few, as links were made with it first.
+    others = found.join(lowest, "hub").where("label <> low")
+    others = others.select("hub", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "n", "most", "inside", "outside")])
+
+    def may(common: Column) -> Column:
+        return 100 * common >= similarity * (F.col("n") + F.col("x_n") - common)
+
+    both = F.least("inside", "x_inside") + F.size(F.array_intersect("outside", "x_outside"))
+    known = F.col("inside").isNotNull() & F.col("x_inside").isNotNull()
+    pair = (
+        (found["hub"] == others["hub"])
+        & (F.col("label") < F.col("x_label"))
+        & may(F.least("most", "x_most"))
+        & F.when(known, may(both)).otherwise(True)
     )
-    may = 100 * common >= similarity * (F.col("n") + F.col("x_n") - common)
-    pair = (found["bucket"] == others["bucket"]) & (F.col("label") < F.col("x_label")) & may
     pairs = others.join(found, pair)
-    return pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    return pairs.select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b")).distinct()
 
 
 # Links
@@ -306,23 +325,27 @@ def sets_of(nodes: DataFrame, classes: DataFrame, texts: DataFrame, scheme: Sche
 
 
 def compared(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """(a, b, common, linked): shingles in common, and whether 100 * intersection >= similarity * union."""
+    """(a, b, common, linked, outside) of each pair.
+
+    These are the number of shingles in common, whether 100 * intersection is at least
+    similarity * union, and the shingles of b that a does not have.
+    """
     joined = pairs.join(sets.selectExpr("node AS a", "shingles AS left"), "a")
     joined = joined.join(sets.selectExpr("node AS b", "shingles AS right"), "b").select("a", "b", "left", "right")
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            commons, linked = [], []
+            commons, linked, outside = [], [], []
             for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
                 x, y = (np.frombuffer(side.as_buffer(), np.uint64) for side in (left, right))
-                both = np.concatenate((x, y))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
+                rest = np.setdiff1d(y, x, assume_unique=True)
+                common = len(y) - len(rest)
                 commons.append(common)
-                linked.append(100 * common >= similarity * (len(both) - common))
-            yield record_batch(_COMPARED, batch.column("a"), batch.column("b"), commons, linked)
+                linked.append(100 * common >= similarity * (len(x) + len(rest)))
+                outside.append(rest.view(np.int64))
+            yield record_batch(_COMPARED, batch.column("a"), batch.column("b"), commons, linked, outside)
 
-    return map_batches(joined, run, "a long, b long, common long, linked boolean")
+    return map_batches(joined, run, "a long, b long, common long, linked boolean, outside array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -360,10 +383,10 @@ def linked_classes(classes: DataFrame, texts: DataFrame, scheme: Scheme) -> Data
 
     first = members.join(hubs, "bucket").where("node <> hub").selectExpr("hub AS a", "node AS b").distinct()
     beside = compare(first)
-    links = beside.where("linked")
+    links = beside.where("linked").select("a", "b")
     labels = None if links.isEmpty() else components(links)
     open_ = materialise(_open(members, labels), "open")
-    more = compare(_across(open_, hubs, beside, shareable, scheme.similarity)).where("linked")
+    more = compare(_across(open_, hubs, beside, shareable, scheme.similarity)).where("linked").select("a", "b")
     if more.isEmpty():
         return labels
     return components(links.unionByName(more))
