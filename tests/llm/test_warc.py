@@ -70,7 +70,7 @@ def content(root, files):
 
 def test_the_same_bytes_however_pages_are_dealt(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    options = {"shard_bytes": 100_000, "roll_bytes": 20_000}
+    options = {"shard_bytes": 30_000, "roll_bytes": 5_000}
     one, root = stored(spark, df, **options)
     other, other_root = stored(spark, df.repartition(7), **options)
     assert one.select("shard").distinct().count() > 2
@@ -92,6 +92,13 @@ def test_damage_is_found(spark, pages):
         list(warc.members(file))
 
 
+def test_a_root_is_written_once_and_left_clean(spark, pages):
+    files, root = stored(spark, pages)
+    assert not Path(root.removeprefix("file:"), "temporary").exists() and files.count() == 1
+    with pytest.raises(ValueError, match="written before"):
+        warc.write_warc(pages, root)
+
+
 def test_nothing(spark, pages):
     files, root = stored(spark, pages.limit(0))
     assert files.count() == 0 and warc.read_warc(files, root).count() == 0

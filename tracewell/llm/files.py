@@ -16,6 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.batches import Batches, map_batches
+from tracewell.sources.workspace import exists
 
 #: What a task reports of a file; `number` counts the files of a shard.
 FILE_COLUMNS = (
@@ -75,8 +76,14 @@ def opened(root: str, name: str):
 
 
 def publish(written: DataFrame, root: str) -> DataFrame:
-    """Run the writing job, give its files their names, and return the manifest."""
+    """Run the writing job, give its files their names, and return the manifest.
+
+    A root that has a manifest is refused: its files would be replaced one by one.
+    """
     spark = written.sparkSession
+    if exists(spark, f"{root}/manifest"):
+        raise ValueError(f"{root} has been written before")
+    # A writing job that was cut off may have left these.
     written.write.mode("overwrite").parquet(f"{root}/reported")
     reported = spark.read.schema(FILE_COLUMNS).parquet(f"{root}/reported")
 
@@ -93,7 +100,11 @@ def publish(written: DataFrame, root: str) -> DataFrame:
                     raise OSError(f"{row['name']} has {size} bytes instead of {row['bytes']}")
             yield batch
 
-    map_batches(reported, rename, FILE_COLUMNS).write.mode("overwrite").parquet(f"{root}/manifest")
+    map_batches(reported, rename, FILE_COLUMNS).write.parquet(f"{root}/manifest")
+    # What is left under temporary names was written by attempts that do not count.
+    store, path = file_system(root)
+    if store.get_file_info(f"{path}/temporary").type != fs.FileType.NotFound:
+        store.delete_dir(f"{path}/temporary")
     return manifest(spark, root)
 
 

@@ -10,8 +10,9 @@ Documents with equal shingle sets are one class and are compared once. Classes t
 meet under a key are first laid beside one of them only. Where that left them in
 different components, what they share with the hub and what no other set has bound
 what two sets can have in common, and only classes that may still be similar are
-paired: a group of near copies costs about its size and not its square. Every link is confirmed on the full sets, as sorted
-64-bit hashes of shingles. Components come from label propagation with shortcuts.
+paired: a group of near copies costs about its size and not its square. Every link is
+confirmed on the full sets, as sorted 64-bit hashes of shingles. Components come from
+label propagation with shortcuts.
 
 Words are `[^\x20\x09-\x0D]+`, A-Z as a-z. A document's set has its distinct
 shingles of n words, or its whole sequence if it has fewer words. Null and empty
@@ -254,7 +255,8 @@ def _across(
     lowest = found.groupBy("hub").agg(F.min("label").alias("low"))
     # Beside the hub's first component all others are few, as links were made with it first.
     others = found.join(lowest, "hub").where("label <> low")
-    others = others.select("hub", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "n", "most", "inside", "outside")])
+    columns = ("node", "label", "n", "most", "inside", "outside")
+    others = others.select("hub", *[F.col(c).alias(f"x_{c}") for c in columns])
 
     def may(common: Column) -> Column:
         return 100 * common >= similarity * (F.col("n") + F.col("x_n") - common)
