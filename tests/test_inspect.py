@@ -3,7 +3,6 @@ from __future__ import annotations
 import random
 from datetime import datetime
 
-from pyspark.sql import functions as F
 from records import NOON, event, lineage_log, process, process_name, rows, run
 
 from tracewell.operators import inspect, links

@@ -2,7 +2,8 @@
 
 Jobs are rows: project, location, job_id, job_name, run_name, started_at
 (timestamp_ntz) and, where they declare lineage, links (array of source,
-target, level). Where there is a column `ended_at`, runs and events end then. Where there is a map column `properties`, processes keep it as
+target, level). Where there is a column `ended_at`, runs and events
+end then. Where there is a map column `properties`, processes keep it as
 further attributes. A single job is a frame of one row. Edges are what the job
 declares; nothing is derived from query plans.
 """
@@ -175,7 +176,8 @@ def missing_entries(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """
     record = F.struct(*wanted.columns)
     fresh = wanted.join(existing.select("entry_id"), "entry_id", "left_anti")
-    first = fresh.groupBy("entry_id").agg(F.min_by(record, F.struct("fqn", "entry_source.resource", F.to_json("aspects"))).alias("record"))
+    order = F.struct("fqn", "entry_source.resource", F.to_json("aspects"))
+    first = fresh.groupBy("entry_id").agg(F.min_by(record, order).alias("record"))
     return first.select("record.*")
 
 
