@@ -217,8 +217,25 @@ class Normaliser:
                 out[at[first] - lead + i] = byte
                 where[at[first] - lead + i] = source[first]
         lengths = np.bincount(owner, sizes + before, len(bounds) - 1).astype(np.int64)
+        if self.trim:
+            out, where, last, lengths = self._without_tails(out, where, last, lengths)
         return out, np.concatenate(([0], np.cumsum(lengths))), where, last
 
+    def _without_tails(self, out: np.ndarray, where: np.ndarray, last: np.ndarray, lengths: np.ndarray):
+        """Escapes that a text itself ends with are trimmed like white space."""
+        mark, ends = np.frombuffer(self.escaped, np.uint8), np.cumsum(lengths)
+        long = np.flatnonzero(lengths >= len(mark))
+        tails = out[ends[long][:, None] + np.arange(-len(mark), 0)] if len(long) else np.zeros((0, len(mark)), np.uint8)
+        keep, last, lengths = np.ones(len(out), bool), last.copy(), lengths.copy()
+        for i in long[(tails == mark).all(axis=1)].tolist():
+            start, end = int(ends[i] - lengths[i]), int(ends[i])
+            bare = end - start
+            while bare >= len(mark) and (out[start + bare - len(mark) : start + bare] == mark).all():
+                bare -= len(mark)
+            keep[start + bare : end] = False
+            last[i], lengths[i] = where[start + bare], bare
+        return out[keep], where[keep], last, lengths
+
 
 class Pieces:
     """Encodes batches with the model file at `path`."""
