@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.batches import documents
+from tracewell.sources.workspace import materialise
 
 MIN_SITES = 10
 #: 2**LG_REGISTERS registers a sketch; estimates are off by 1.04 / sqrt of that, times the count.
@@ -76,7 +77,8 @@ def remove_widespread(
         F.col(text).alias("text"),
         F.xxhash64(F.col(text)).alias("text_hash"),
     )
-    lines = widespread(line_sites(df, text, site), min_sites)
+    # Written, so that Spark knows its size: where it is small it is broadcast, and no line is shuffled again.
+    lines = materialise(widespread(line_sites(df, text, site), min_sites), "lines")
     held = rows.select("key", "text_hash", F.explode(_lines(F.col("text"))).alias("line"))
     held = held.select("key", "text_hash", _hash(F.col("line")).alias("line")).where("line IS NOT NULL")
     # The lines to remove from one text are no more than its distinct lines.
