@@ -26,7 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_widespread(docs)
+    # A group of near copies counts at one site, that of its document that stays.
+    return without_widespread(docs, counted=keep_one(docs, scheme=SCHEME), whole=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

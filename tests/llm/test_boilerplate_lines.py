@@ -38,3 +38,13 @@ def test_what_goes_and_what_stays(spark):
         + [(None, "", 0), (9, "x", 1), (9, "other", 0), (8, None, 0)],
         key=repr,
     )
+
+
+def test_sites_of_other_rows_and_whole_texts(spark):
+    rows = [(i, "copied\nfooter", f"s{i}", 0) for i in range(3)]
+    rows += [(i, f"own {i}\nfooter", f"s{i}", 0) for i in range(3, 6)] + [(6, " \nfooter", "s6", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    found = b.without_widespread(df, min_sites=3, counted=df.where("doc_id NOT IN (1, 2)"), whole=True)
+    assert sorted((r.doc_id, r.text) for r in found.collect()) == [
+        (0, "copied"), (1, "copied"), (2, "copied"), (3, "own 3"), (4, "own 4"), (5, "own 5"), (6, " \nfooter"),
+    ]

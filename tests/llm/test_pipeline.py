@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import public_tokenizers
@@ -90,6 +91,32 @@ def test_run(spark, sf_dir, expected):
         assert got.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
 
 
+def test_copies_on_many_sites_keep_one_text(spark, sf_dir):
+    rng = random.Random(5)
+
+    def lines(n):
+        return [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(12)) for _ in range(n)]
+
+    exact, near, footer = lines(20), lines(40), "a footer that many sites have"
+    rows = [(i, "\n".join([*exact, footer]), f"s{i}") for i in range(MIN_SITES + 2)]
+    for i in range(MIN_SITES + 2):
+        changed = [*near]
+        changed[3 * i] = f"{near[3 * i]} changed{'x' * i}"
+        rows.append((100 + i, "\n".join([*changed, footer]), f"s{i}"))
+    own = {200 + i: "\n".join(lines(5)) for i in range(MIN_SITES)}
+    rows += [(key, f"{text}\n{footer}", f"s{key}") for key, text in own.items()]
+    rows += [(300 + i, f"{footer}\n", f"s{i}") for i in range(3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    df = spark.createDataFrame([(key, text, "en", site, len(text)) for key, text, site in rows], schema)
+    for stage in (corpus_pipeline.lines, corpus_pipeline.near_copies):
+        df = stage(spark, df, sf_dir)
+    found = {row.doc_id: row.text for row in df.collect()}
+    assert set(found) == {0, 100, 300, *own}
+    assert found[0] == "\n".join(exact)
+    assert found[100] == "\n".join([f"{near[0]} changed", *near[1:]])
+    assert {key: found[key] for key in own} == own
+
+
 def test_odd_rows_pass_all_stages(spark, odd, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         odd_left = stage(spark, odd.withColumnRenamed("n_tokens", "n_chars"), sf_dir)

@@ -11,6 +11,11 @@ are never removed. A line is known by a 64-bit hash and its length. Null and emp
 texts stay as they are; a null site counts for no line; rows with equal keys and
 different texts are treated apart, repeated rows alike; an empty table stays empty.
 Other columns keep their values, whatever their names.
+
+Copies of a document make all its lines widespread where they lie on enough sites.
+So sites can be counted over other rows than are cleaned, such as the one that stays
+of each group of copies, and texts that would keep no line with a word can be left
+as they are.
 """
 
 from __future__ import annotations
@@ -69,8 +74,14 @@ def remove_widespread(
     text: str = "text",
     site: str = "source",
     min_sites: int = MIN_SITES,
+    counted: DataFrame | None = None,
+    whole: bool = False,
 ) -> DataFrame:
-    """(row, cleaned, n_lines, n_removed): each input row, its text without widespread lines, and counts."""
+    """(row, cleaned, n_lines, n_removed): each input row, its text without widespread lines, and counts.
+
+    Sites are counted over `counted`, else over all rows; with `whole`, a text stays
+    as it is if no line with a word would be left.
+    """
     rows = df.select(
         F.struct("*").alias("row"),
         F.col(key).alias("key"),
@@ -78,7 +89,12 @@ def remove_widespread(
         F.xxhash64(F.col(text)).alias("text_hash"),
     )
     # Written, so that Spark knows its size: where it is small it is broadcast, and no line is shuffled again.
-    lines = materialise(widespread(line_sites(df, text, site), min_sites), "lines")
+    if counted is None:
+        sites = line_sites(df, text, site)
+    else:
+        # Written, since it is read twice.
+        sites = materialise(line_sites(counted, text, site), "sites")
+    lines = materialise(widespread(sites, min_sites), "lines")
     held = rows.select("key", "text_hash", F.explode(_lines(F.col("text"))).alias("line"))
     held = held.select("key", "text_hash", _hash(F.col("line")).alias("line")).where("line IS NOT NULL")
     # The lines to remove from one text are no more than its distinct lines.
@@ -89,6 +105,9 @@ def remove_widespread(
     )
     left = F.filter(_lines(F.col("text")), lambda line: ~F.coalesce(F.array_contains("gone", _hash(line)), F.lit(False)))
     cleaned = joined.select("row", "text", F.when(F.col("gone").isNotNull(), left).alias("left"))
+    if whole:
+        some = F.exists("left", lambda line: _hash(line).isNotNull())
+        cleaned = cleaned.withColumn("left", F.when(some, F.col("left")))
     n_lines = F.coalesce(F.size(_lines(F.col("text"))), F.lit(0)).cast("long")
     return cleaned.select(
         "row",
@@ -105,9 +124,11 @@ def without_widespread(
     site: str = "source",
     size: str | None = "n_chars",
     min_sites: int = MIN_SITES,
+    counted: DataFrame | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """The rows with their texts cleaned; `size`, if named, is the length of a text that changed."""
-    found = remove_widespread(df, key, text, site, min_sites)
+    found = remove_widespread(df, key, text, site, min_sites, counted, whole)
     columns = {name: F.col(f"row.`{name}`") for name in df.columns}
     columns[text] = F.col("cleaned")
     if size:
