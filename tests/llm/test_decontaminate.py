@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from conftest import TEXTS
 
 from tracewell.llm import decontaminate as d
@@ -19,6 +20,36 @@ def test_masks_bear_any_two_replaced_words():
         )
 
 
+def test_masks_bear_all_that_the_rule_accepts():
+    kept = [(sum(1 << i for i, k in enumerate(mask) if k == "1"), len(mask)) for mask in d.MASKS]
+    for size in range(d.MIN_WORDS, 2 * d.MIN_WORDS):
+        gone = np.array([sum(1 << i for i in at) for at in itertools.combinations(range(size), size // 5)])
+        hit = np.zeros(len(gone), bool)
+        for bits, span in kept:
+            for start in range(size - span + 1):
+                hit |= gone & (bits << start) == 0
+        assert hit.all(), size
+
+
+def test_replaced_words_of_longer_items():
+    text = [f"w{i}" for i in range(25)]
+    missed = []
+    for size, number in ((15, 3), (16, 3), (20, 4), (25, 5)):
+        for at in itertools.combinations(range(1, size - 1), number):
+            if not any(
+                all(start + i not in at for i, k in enumerate(mask) if k == "1")
+                for mask in ("11110001011", "11011111", "101111011")
+                for start in range(size - len(mask) + 1)
+            ):
+                missed.append((size, at))
+    assert {size for size, _ in missed} == {15, 16, 20, 25}
+    index = d.Index([1], [" ".join(text)])
+    for size, at in missed:
+        doc = " ".join("x" if i in at else word for i, word in enumerate(text[:size]))
+        words_ = d._words(pa.array([doc]))
+        assert [(m[4], m[5]) for m in d.matches_in(index, words_.hashes, words_.bounds)] == [(size, size - len(at))]
+
+
 def stretches(equal):
     for i in range(len(equal)):
         for j in range(i + 1, len(equal) + 1):

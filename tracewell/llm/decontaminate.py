@@ -1,8 +1,9 @@
 """Benchmark passages in documents, found by spaced seeds.
 
 A seed is the hash of the words under a mask; words under its gaps may differ. The
-masks are fixed and chosen so that any 13 words of which two were replaced still
-agree under one of them. Seeds of the benchmark are joined with those of every
+masks are fixed and chosen so that any 13 to 25 words of which at least four of five
+are equal agree under one of them; longer stretches hold such a part, as one of two
+halves has no lower share of equal words. Every match so has a seed. Seeds of the benchmark are joined with those of every
 document inside the tasks that read the documents: the benchmark goes out in blocks
 of at most `BLOCK_WORDS` words, each block a broadcast of bounded size and one pass
 over the documents. Around each hit, document and item are laid along each other
@@ -29,7 +30,7 @@ from tracewell.llm.batches import Batches, documents, keyed_texts, map_batches,
 from tracewell.llm.chunk_cache import HashTable
 from tracewell.llm.words import Splitter, Words, mix, odd_numbers
 
-MASKS = ("11110001011", "11011111", "101111011")
+MASKS = ("11110001011", "11011111", "101111011", "1110111", "11000100000111")
 MIN_WORDS = 13
 #: Items of fewer words than MIN_WORDS are looked up by so many at their beginning.
 SHORT_SEED = 5
