@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -104,3 +105,10 @@ def test_one_of_each_group_stays(spark):
     assert left == {(3, near), (3, "short"), (4, ""), (5, None), (6, "a b"), (8, "b a")}
     found = {(r.doc_id, r.component_id) for r in m.near_duplicates(df, scheme=m.Scheme(5, 80)).collect()}
     assert found == {(None, 3), (7, 3), (3, 3), (9, 3), (4, 4), (5, 5), (6, 6), (8, 8)}
+
+
+@pytest.mark.parametrize("similarity", [70, 80, 85, 90, 95])
+def test_chance_to_lose_a_pair(similarity):
+    scheme = m.Scheme(similarity=similarity)
+    n, miss = scheme.symbols, 1 - similarity / 100
+    assert sum(math.comb(n, i) * miss**i * (1 - miss) ** (n - i) for i in range(scheme.distance + 1, n + 1)) <= 1e-6

@@ -40,8 +40,8 @@ from tracewell.sources.workspace import materialise
 SHINGLE, SIMILARITY = 3, 85
 #: Symbols of a chunk; one of them may differ.
 CHUNK = 5
-#: Standard deviations of the number of differing symbols that are allowed for.
-SPREAD = 5
+#: Chance that a pair exactly at the similarity differs in more symbols than allowed for, at most.
+LOST = 1e-6
 #: 64-bit words of the filter by which texts are looked up again, at most (8 MB).
 FILTER_WORDS = 1 << 20
 
@@ -67,6 +67,15 @@ _COMPARED = pa.schema(
 )
 
 
+def more_than(most: int, n: int, chance: float) -> float:
+    """Chance that more than `most` of n symbols differ, each by `chance`."""
+    if chance == 0:
+        return 0.0
+    differ, agree = math.log(chance), math.log1p(-chance)
+    ways = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(n + 1)]
+    return sum(math.exp(ways[i] + i * differ + (n - i) * agree) for i in range(most + 1, n + 1))
+
+
 @dataclass(frozen=True)
 class Scheme:
     """How long signatures are for a similarity, and how far linked ones may differ."""
@@ -78,11 +87,9 @@ class Scheme:
     @property
     def chunks(self) -> int:
         miss, m = 1 - self.similarity / 100, 1
-        while True:
-            k = m * self.chunk
-            if 2 * m - 1 >= k * miss + SPREAD * math.sqrt(k * miss * (1 - miss)):
-                return m
+        while more_than(2 * m - 1, m * self.chunk, miss) > LOST:
             m += 1
+        return m
 
     @property
     def symbols(self) -> int:
