@@ -1,0 +1,102 @@
+from __future__ import annotations
+
+import hashlib
+import random
+
+import pytest
+from compare import raw_tables, spark_rows, sql_rows
+from pyspark.sql import functions as F
+
+from tracewell.llm import merkle_manifest as m
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(values):
+    return h(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in values])
+
+
+def tree(nodes, fanout):
+    """The root, and for each leaf what lies before and after it, level by level."""
+    steps = [[] for _ in nodes]
+    level, size = nodes, 1
+    while len(level) > 1:
+        for i in range(len(nodes)):
+            at = i // size
+            first = at - at % fanout
+            steps[i].append(("".join(level[first:at]), "".join(level[at + 1 : first + fanout])))
+        level = [h(*level[i : i + fanout]) for i in range(0, len(level), fanout)]
+        size *= fanout
+    return level[0], steps
+
+
+def brute(rows, fanout=2):
+    """(doc_id, leaf, subroot, root, proof, steps) of rows (doc_id, text, lang, source, n_chars), sorted."""
+    groups = {}
+    for row in rows:
+        node = leaf([row["doc_id"], row["source"], row["lang"], row["n_chars"], row["text"]])
+        groups.setdefault(row["lang"], []).append((row["doc_id"], node))
+    names = sorted(groups, key=lambda name: (name is not None, (name or "").encode()))
+    made = {}
+    for name in names:
+        groups[name].sort(key=lambda pair: (pair[0] is not None, pair[0] or 0, pair[1]))
+        made[name] = tree([node for _, node in groups[name]], fanout)
+    if not names:
+        return []
+    root, tops = tree([made[name][0] for name in names], fanout)
+    found = []
+    for name, top in zip(names, tops, strict=True):
+        subroot, steps = made[name]
+        for (key, node), own in zip(groups[name], steps, strict=True):
+            path = own + top
+            found.append((key, node, subroot, root, h(*[x for step in path for x in step]), path))
+    return sorted(found, key=repr)
+
+
+def result(df, fanout=2):
+    found = m.manifest(df, fanout=fanout).withColumn("proof", m.proof(F.col("steps")))
+    rows = found.select("doc_id", "leaf", "subroot", "root", "proof", "steps").collect()
+    return sorted(((*row[:5], [tuple(step) for step in row.steps]) for row in rows), key=repr)
+
+
+def test_same_as_sql(spark, sf_dir):
+    expected = sql_rows(raw_tables(sf_dir), m.manifest_sql())
+    assert spark_rows(m.op11_merkle_manifest(spark, sf_dir)) == expected
+
+
+def test_only_tampered_rows_fail(spark, sf_dir):
+    import zlib
+
+    for row in m.op11_merkle_manifest(spark, sf_dir).collect():
+        assert row.verified == (zlib.crc32(str(row.doc_id).encode()) % 7 != 0)
+
+
+@pytest.mark.parametrize("fanout", [2, 3, 16])
+def test_groups_of_many_sizes(spark, monkeypatch, fanout):
+    """Several ranges and passes; one group has most of the rows, and one key is repeated often."""
+    monkeypatch.setattr(m, "RANGE_ROWS", 50)
+    sizes = {"hot": 300, None: 17, "a": 1, "é": 2, "z": 33, "": 16}
+    rows = [
+        {"doc_id": 7 if i % 3 == 0 else i, "text": f"{name} {i // 2}", "lang": name, "source": "s", "n_chars": i // 2}
+        for name, n in sizes.items()
+        for i in range(n)
+    ]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    assert result(df.repartition(5), fanout) == brute(rows, fanout)
+
+
+def test_odd_texts(spark, odd):
+    """Columns of the input called key, row and n_tokens do not matter."""
+    df = odd.withColumn("lang", F.when(F.col("doc_id") > 5, "x")).withColumn("n_chars", F.length("text"))
+    assert result(df) == brute([row.asDict() for row in df.collect()])
+    assert result(df.limit(0)) == []
+
+
+def test_one_row_is_the_root(spark):
+    df = spark.createDataFrame([(None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars int")
+    [row] = result(df)
+    assert row[1] == row[2] == row[3] == h("-----")
+    assert (row[4], row[5]) == (h(), [])

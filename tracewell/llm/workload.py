@@ -10,6 +10,7 @@ from tracewell.llm.boilerplate_lines import line_spread_sql, op7_line_spread
 from tracewell.llm.content_sort import exact_copies_sql, op13_content_sort
 from tracewell.llm.decontaminate import op2_spaced_seeds
 from tracewell.llm.huffman_ids import op1_huffman_ids
+from tracewell.llm.merkle_manifest import manifest_sql, op11_merkle_manifest
 from tracewell.llm.minhash_dedup import near_duplicates_sql, op4_minhash_hamming
 from tracewell.llm.quality import kept_sql, op9_quality_cascade
 from tracewell.llm.reshard import op8_min_cost_reshard
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_min_cost_reshard": op8_min_cost_reshard,
     "op9_quality_cascade": op9_quality_cascade,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_content_sort": op13_content_sort,
 }
 
@@ -37,5 +39,6 @@ ORACLE: dict[str, str] = {
     "op6_countmin_windows": repeated_sql(),
     "op7_line_spread": line_spread_sql(),
     "op9_quality_cascade": kept_sql(),
+    "op11_merkle_manifest": manifest_sql(),
     "op13_content_sort": exact_copies_sql(),
 }
