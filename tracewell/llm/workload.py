@@ -18,6 +18,7 @@ from tracewell.llm.sentence_pieces import op5_sentencepiece
 from tracewell.llm.substring_dedup import op6_countmin_windows, repeated_sql
 from tracewell.llm.token_counts import op10_token_counts
 from tracewell.llm.warc import op3_warc
+from tracewell.llm.whitening import op12_bit_sliced_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_huffman_ids": op1_huffman_ids,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_cascade": op9_quality_cascade,
     "op10_token_counts": op10_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_bit_sliced_whitening": op12_bit_sliced_whitening,
     "op13_content_sort": op13_content_sort,
 }
 
