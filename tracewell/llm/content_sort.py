@@ -33,8 +33,8 @@ from tracewell.sources.workspace import materialise
 HEAD = 64
 #: Bytes of texts in a range, unless that made more than `MOST_RANGES`.
 RANGE_BYTES, MOST_RANGES = 64 << 20, 1 << 13
-#: Rows sampled per range; that many short keys come to the driver.
-SAMPLED = 24
+#: Rows sampled per range, about; that many short keys come to the driver.
+SAMPLED = 48
 #: What a row weighs beside its text.
 ROW_BYTES = 100
 BOUND = "struct<order_key:string,no_key:boolean,key:bigint>"
@@ -57,13 +57,15 @@ def splitters(df: DataFrame, key: Column, text: Column) -> list[dict]:
     ranges = min(MOST_RANGES, -(-size // RANGE_BYTES))
     if ranges < 2:
         return []
-    rate = min(1.0, SAMPLED * ranges / known["n"])
-    sample = rows.sample(rate, 1).select("key", normalised(F.col("text")).alias("norm"))
+    # A row is taken with a chance in proportion to its bytes, and stands for so many.
+    each = size // (SAMPLED * ranges) + 1
+    weight = F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES
+    sample = rows.withColumn("bytes", F.greatest(weight, F.lit(each))).where(F.rand(1) * each < weight)
     sample = sample.select(
-        _order_key(F.col("norm")).alias("order_key"),
+        _order_key(normalised(F.col("text"))).alias("order_key"),
         F.col("key").isNull().alias("no_key"),
         "key",
-        (F.octet_length("norm") + ROW_BYTES).alias("bytes"),
+        "bytes",
     )
     # Strings and longs in the order that Spark gives them; a null key is behind `no_key`.
     sampled = sample.orderBy("order_key", "no_key", "key").collect()
