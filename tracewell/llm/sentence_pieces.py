@@ -27,7 +27,7 @@ from sentencepiece import SentencePieceProcessor
 
 from tracewell.llm.batches import Batches, documents, keyed_texts, map_batches, record_batch, slices
 from tracewell.llm.chunk_cache import ChunkCache
-from tracewell.llm.words import Words, byte_values, stretch_hashes, text_bytes
+from tracewell.llm.words import Words, stretch_hashes, text_bytes
 
 _ESCAPED = "▁".encode()
 _INT_LIST = pa.list_(pa.int32())
@@ -247,7 +247,6 @@ class Pieces:
         self.processor = SentencePieceProcessor(model_proto=model)
         self.core = SentencePieceProcessor(model_proto=with_normaliser(model, "identity", b"", False, False, False))
         self.normalise = Normaliser(model)
-        self.values = byte_values()
         core = self.core
         n = core.vocab_size()
         self.lengths = np.zeros(n, np.int64)
@@ -282,9 +281,7 @@ class Pieces:
         if not len(data):
             edges = np.zeros(1, np.int64)
         starts, ends = edges[:-1], edges[1:]
-        return Words(
-            data, offsets, starts, ends, stretch_hashes(data, starts, ends, self.values), np.searchsorted(starts, offsets)
-        )
+        return Words(data, offsets, starts, ends, stretch_hashes(data, starts, ends), np.searchsorted(starts, offsets))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids, the bytes of the source where each begins and ends, and the bounds of the texts."""
