@@ -39,17 +39,31 @@ def good(text):
     )
 
 
-def without_wide_lines(rows):
+def bare_lines(text):
+    return {bare for line in (text or "").split("\n") if (bare := line.strip(" \t\x0b\x0c\r"))}
+
+
+def wide_lines(rows):
     sites = {}
     for row in rows:
-        for line in row["text"].split("\n"):
-            if bare := line.strip(" \t\x0b\x0c\r"):
-                sites.setdefault(bare, set()).add(row["source"])
-    wide = {line for line, held in sites.items() if len(held) >= MIN_SITES}
+        for line in bare_lines(row["text"]):
+            sites.setdefault(line, set()).add(row["source"])
+    return {line for line, held in sites.items() if len(held - {None}) >= MIN_SITES}
+
+
+def without_wide_lines(rows):
+    """Lines of many sites go, sites counted over texts that do not mostly consist of such lines."""
+    wide = wide_lines(rows)
+
+    def is_copy(text):
+        lines = bare_lines(text)
+        return 2 * sum(map(len, lines & wide)) > sum(map(len, lines))
+
+    wide = wide_lines([row for row in rows if not is_copy(row["text"])])
     for row in rows:
-        lines = row["text"].split("\n")
+        lines = (row["text"] or "").split("\n")
         left = [line for line in lines if line.strip(" \t\x0b\x0c\r") not in wide]
-        if len(left) < len(lines):
+        if len(left) < len(lines) and bare_lines("\n".join(left)):
             row["text"] = "\n".join(left)
             row["n_chars"] = len(row["text"])
     return rows
@@ -117,11 +131,49 @@ def test_copies_on_many_sites_keep_one_text(spark, sf_dir):
     assert {key: found[key] for key in own} == own
 
 
+def test_lines_of_copies_and_of_many_sites(spark):
+    """The rule of the stage in plain Python, on near copies, a shared block and a line in every row."""
+    rng = random.Random(8)
+
+    def line():
+        return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(12))
+
+    block, rows = [line() for _ in range(3)], []
+    for group in range(4):
+        near = [line() for _ in range(12)]
+        for i in range(8 * group + 2):
+            changed = [*near]
+            changed[rng.randrange(12)] = line()
+            rows.append(changed + (block if i % 2 else []))
+    rows += [[line() for _ in range(rng.randint(4, 9))] + block[: rng.randint(0, 3)] for _ in range(60)]
+    rows += [block, block, [], [""]]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    dicts = []
+    for i, lines in enumerate(rows):
+        text = "\n".join([*lines, "every row has this"])
+        dicts.append({"doc_id": i, "text": text, "lang": "en", "source": f"s{i % 25}", "n_chars": len(text)})
+    dicts.append({"doc_id": None, "text": None, "lang": None, "source": None, "n_chars": None})
+    df = spark.createDataFrame([tuple(d.values()) for d in dicts], schema).repartition(5)
+    found = sorted((row.asDict() for row in corpus_pipeline.lines(spark, df, "").collect()), key=repr)
+    changed = sum(row["text"] != d["text"] for row, d in zip(without_wide_lines([dict(d) for d in dicts]), dicts))
+    assert found == sorted(without_wide_lines(dicts), key=repr)
+    assert changed > 100
+
+
 def test_odd_rows_pass_all_stages(spark, odd, sf_dir):
-    for _, stage in corpus_pipeline.STAGES:
-        odd_left = stage(spark, odd.withColumnRenamed("n_tokens", "n_chars"), sf_dir)
-        assert odd_left.count() >= 0
-    empty = odd.withColumnRenamed("n_tokens", "n_chars").limit(0)
+    df = odd.withColumnRenamed("n_tokens", "n_chars")
+    rows = sorted(df.collect(), key=repr)
+    assert [row.doc_id for row in corpus_pipeline.quality(spark, df, sf_dir).collect()] == [
+        row.doc_id for row in rows if good(row.text or "")
+    ]
+    for stage in (corpus_pipeline.lines, corpus_pipeline.benchmark):
+        assert sorted(stage(spark, df, sf_dir).collect(), key=repr) == rows
+    kept = sorted(corpus_pipeline.near_copies(spark, df, sf_dir).collect(), key=repr)
+    assert kept == sorted(set(rows), key=repr) and len(kept) == len(rows) - 1
+    encoded = corpus_pipeline.pieces(spark, df, sf_dir).collect()
+    assert sorted((row.doc_id for row in encoded), key=repr) == sorted((row.doc_id for row in rows), key=repr)
+    assert {row.n_tokens for row in encoded if row.doc_id in (None, 1)} == {1}
+    empty = df.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf_dir)
     assert empty.count() == 0

@@ -13,9 +13,15 @@ different texts are treated apart, repeated rows alike; an empty table stays emp
 Other columns keep their values, whatever their names.
 
 Copies of a document make all its lines widespread where they lie on enough sites.
-So sites can be counted over other rows than are cleaned, such as the one that stays
-of each group of copies, and texts that would keep no line with a word can be left
-as they are.
+With `copies`, texts of which widespread lines hold more than half the characters, each
+line of a text counted once, are taken for such copies: only lines that the other texts
+have on enough sites are taken out, of all texts. Sites can also be counted over other
+rows than are cleaned, and texts that would keep no line with a word can be left as they
+are.
+
+Tasks put equal lines of a site together before anything is shuffled. Lines that make up
+more than 1 / `HOT_PARTS` of what widespread lines occur are fewer than that; where texts
+meet the set of widespread lines, each of these is dealt over `SALTS` keys.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ MIN_SITES = 10
 LG_REGISTERS = 12
 #: Standard errors about the threshold within which a line is counted exactly.
 NEAR = 4
+#: Which lines are hot, and over how many keys each is dealt.
+HOT_PARTS, SALTS = 1000, 256
 
 _SPACES = " \t\x0b\x0c\r"
 
@@ -45,27 +53,57 @@ def _hash(line: Column) -> Column:
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("h"), F.length(bare).alias("n")))
 
 
+def _distinct_lines(text: Column) -> Column:
+    hashes = F.transform(_lines(text), _hash)
+    return F.array_distinct(F.filter(hashes, lambda line: line.isNotNull()))
+
+
 def line_sites(df: DataFrame, text: str, site: str) -> DataFrame:
-    """(line, site) of every line with a word; line is a hash and a length."""
-    rows = df.select(F.col(site).cast("string").alias("site"), F.explode(_lines(F.col(text))).alias("line"))
-    return rows.select("site", _hash(F.col("line")).alias("line")).where("line IS NOT NULL")
+    """(line, site) of every line with a word, once per text; line is a hash and a length."""
+    lines = _distinct_lines(F.col(text).cast("string"))
+    return df.select(F.col(site).cast("string").alias("site"), F.explode(lines).alias("line"))
 
 
 def line_spread(lines: DataFrame, lg_registers: int = LG_REGISTERS) -> DataFrame:
-    """(line, spread): the estimated number of distinct sites of each line."""
-    sketch = F.hll_sketch_agg("site", lg_registers)
-    return lines.groupBy("line").agg(F.hll_sketch_estimate(sketch).alias("spread"))
+    """(line, spread, rows): the estimated number of distinct sites of each line, and how many rows have it."""
+    spread = F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_registers))
+    return lines.groupBy("line").agg(spread.alias("spread"), F.count("*").alias("rows"))
 
 
 def widespread(lines: DataFrame, min_sites: int = MIN_SITES, lg_registers: int = LG_REGISTERS) -> DataFrame:
-    """(line) of all lines with at least `min_sites` sites."""
+    """(line, rows) of all lines with at least `min_sites` sites."""
     margin = max(1, round(NEAR * 1.04 / 2 ** (lg_registers / 2) * min_sites + 0.5))
     spread = line_spread(lines, lg_registers).where(F.col("spread") >= min_sites - margin)
-    far = spread.where(F.col("spread") > min_sites + margin).select("line")
-    near = spread.where(F.col("spread") <= min_sites + margin).select("line")
-    sites = lines.join(near, "line", "left_semi").groupBy("line", "site").agg(F.lit(1).alias("one"))
-    exact = sites.groupBy("line").agg(F.count("site").alias("sites")).where(F.col("sites") >= min_sites)
-    return far.unionByName(exact.select("line"))
+    spread = materialise(spread, "spread")
+    far = spread.where(F.col("spread") > min_sites + margin).select("line", "rows")
+    near = spread.where(F.col("spread") <= min_sites + margin).select("line", "rows")
+    # A hot line leaves a task with one row per site.
+    exact = lines.distinct().join(near, "line").groupBy("line", "rows").agg(F.count("site").alias("sites"))
+    return far.unionByName(exact.where(F.col("sites") >= min_sites).select("line", "rows"))
+
+
+def _held(held: DataFrame, lines: DataFrame) -> DataFrame:
+    """The rows of `held` whose line is in `lines`(line, rows)."""
+    total = lines.agg(F.sum("rows")).first()[0] or 0
+    is_hot = F.col("rows") * HOT_PARTS > total
+    hot = lines.where(is_hot).select("line", F.lit(True).alias("hot"))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    wanted = lines.select("line", F.explode(salts).alias("salt"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("key", "text_hash"), F.lit(SALTS))).otherwise(0)
+    # At most HOT_PARTS lines are hot.
+    salted = held.join(F.broadcast(hot), "line", "left").withColumn("salt", salt.cast("int")).drop("hot")
+    return salted.join(wanted, ["line", "salt"], "left_semi").drop("salt")
+
+
+def _apart_from_copies(hits: DataFrame, min_sites: int) -> DataFrame:
+    """(line) of those in `hits` that texts which do not consist of such lines have on enough sites."""
+    texts = hits.select("key", "text_hash", "size", "line").distinct().groupBy("key", "text_hash", "size")
+    copies = texts.agg(F.sum("line.n").alias("wide")).where(2 * F.col("wide") > F.col("size"))
+    copies = copies.select(F.col("key").alias("copy_key"), F.col("text_hash").alias("copy_hash"))
+    same = F.col("key").eqNullSafe(F.col("copy_key")) & (F.col("text_hash") == F.col("copy_hash"))
+    others = hits.join(copies, same, "left_anti").select("line", "site").distinct()
+    sites = others.groupBy("line").agg(F.count("site").alias("sites"))
+    return sites.where(F.col("sites") >= min_sites).select("line")
 
 
 def remove_widespread(
@@ -76,29 +114,37 @@ def remove_widespread(
     min_sites: int = MIN_SITES,
     counted: DataFrame | None = None,
     whole: bool = False,
+    copies: bool = False,
 ) -> DataFrame:
     """(row, cleaned, n_lines, n_removed): each input row, its text without widespread lines, and counts.
 
-    Sites are counted over `counted`, else over all rows; with `whole`, a text stays
-    as it is if no line with a word would be left.
+    Sites are counted over `counted`, else over all rows, with `copies` over those that
+    are not copies; with `whole`, a text stays as it is if no line with a word would be left.
     """
     rows = df.select(
         F.struct("*").alias("row"),
         F.col(key).alias("key"),
         F.col(text).alias("text"),
+        F.col(site).cast("string").alias("site"),
         F.xxhash64(F.col(text)).alias("text_hash"),
     )
-    # Written, so that Spark knows its size: where it is small it is broadcast, and no line is shuffled again.
     if counted is None:
         sites = line_sites(df, text, site)
     else:
         # Written, since it is read twice.
         sites = materialise(line_sites(counted, text, site), "sites")
+    # Written, so that Spark knows its size: where it is small it is broadcast, and no line is shuffled again.
     lines = materialise(widespread(sites, min_sites), "lines")
-    held = rows.select("key", "text_hash", F.explode(_lines(F.col("text"))).alias("line"))
-    held = held.select("key", "text_hash", _hash(F.col("line")).alias("line")).where("line IS NOT NULL")
+    split = rows.select("key", "text_hash", "site", _distinct_lines(F.col("text")).alias("lines"))
+    size = F.aggregate("lines", F.lit(0).cast("long"), lambda total, line: total + line["n"])
+    held = split.select("key", "text_hash", "site", size.alias("size"), F.explode("lines").alias("line"))
+    if copies:
+        hits = materialise(_held(held, lines).select("key", "text_hash", "site", "size", "line"), "hits")
+        hits = hits.join(materialise(_apart_from_copies(hits, min_sites), "lines"), "line", "left_semi")
+    else:
+        hits = _held(held.drop("site", "size"), lines)
     # The lines to remove from one text are no more than its distinct lines.
-    found = held.join(lines, "line", "left_semi").groupBy("key", "text_hash").agg(F.collect_set("line").alias("gone"))
+    found = hits.groupBy("key", "text_hash").agg(F.collect_set("line").alias("gone"))
     found = found.select(F.col("key").alias("found_key"), F.col("text_hash").alias("found_hash"), "gone")
     joined = rows.join(
         found, F.col("key").eqNullSafe(F.col("found_key")) & (F.col("text_hash") == F.col("found_hash")), "left"
@@ -126,9 +172,10 @@ def without_widespread(
     min_sites: int = MIN_SITES,
     counted: DataFrame | None = None,
     whole: bool = False,
+    copies: bool = False,
 ) -> DataFrame:
     """The rows with their texts cleaned; `size`, if named, is the length of a text that changed."""
-    found = remove_widespread(df, key, text, site, min_sites, counted, whole)
+    found = remove_widespread(df, key, text, site, min_sites, counted, whole, copies)
     columns = {name: F.col(f"row.`{name}`") for name in df.columns}
     columns[text] = F.col("cleaned")
     if size:
