@@ -2,6 +2,13 @@
 
 Each stage takes what the one before kept, and all but the last return the columns
 of `documents`. The last gives (doc_id, n_tokens, ids_sha256, decoded_sha256, ids).
+
+Null and empty texts fail the quality rules for having too few words; a stage that gets
+them all the same leaves them as they are, and the last one encodes them as the end id
+alone. A null doc_id stays null, and comes last where one of a group stays; a null source
+counts for no site. Of rows with equal doc_id and text one stays. Of copies the one with
+the smallest doc_id stays. An empty table gives an empty one. Further columns keep their
+values in all stages but the last, which drops them, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # A group of near copies counts at one site, that of its document that stays.
-    return without_widespread(docs, counted=keep_one(docs, scheme=SCHEME), whole=True)
+    # Copies are left to the next stage: they neither make a line widespread nor lose their text.
+    return without_widespread(docs, copies=True, whole=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
