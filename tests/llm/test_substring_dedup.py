@@ -24,11 +24,58 @@ def test_a_full_sketch_loses_nothing(docs, expected):
     assert rows_of(s.remove_repeated(docs, bits=10)) == expected
 
 
-def test_hot_windows_are_looked_up(docs, expected, monkeypatch):
-    monkeypatch.setattr(s.frequent_windows, "__defaults__", (s.WINDOW, 3, 50))
-    texts = s.keyed_texts(docs, "doc_id", "text")
-    assert s.candidates(texts).where("first IS NOT NULL").count() > 0
-    assert rows_of(s.remove_repeated(docs)) == expected
+@pytest.mark.parametrize("classes, task_windows", [(0, 0), (3, 40), (1 << 17, 1 << 17)])
+def test_any_number_of_classes_and_kept_windows(docs, expected, monkeypatch, classes, task_windows):
+    monkeypatch.setattr(s.copies, "__defaults__", (s.WINDOW, classes))
+    monkeypatch.setattr(s, "TASK_WINDOWS", task_windows)
+    assert rows_of(s.remove_repeated(docs.repartition(3))) == expected
+
+
+def brute(rows, n=s.WINDOW):
+    words = [(text or "").split() for _, text in rows]
+    first = {}
+    for (key, _), ws in zip(rows, words, strict=True):
+        for i in range(len(ws) - n + 1):
+            window = tuple(ws[i : i + n])
+            first[window] = min(first.get(window, key), key)
+    found = []
+    for (key, _), ws in zip(rows, words, strict=True):
+        gone = {i + j for i in range(len(ws) - n + 1) if first[tuple(ws[i : i + n])] < key for j in range(n)}
+        found.append((key, " ".join(w for i, w in enumerate(ws) if i not in gone), len(ws), len(gone)))
+    return sorted(found)
+
+
+def test_a_text_copied_by_a_third_of_the_rows(spark):
+    """Exact and near copies: far more hot windows, and groups, than a task's rows of one window."""
+    rng = np.random.RandomState(4)
+    long = [f"w{i}" for i in rng.randint(0, 10**6, 600)]
+    rows = []
+    for i in range(300):
+        words = [f"o{j}" for j in rng.randint(0, 10**6, 30)]
+        if i % 3 == 0:
+            words = list(long)
+        elif i % 3 == 1:
+            words = list(long)
+            words[rng.randint(0, 600)] = f"changed{i}"
+        rows.append((int(rng.permutation(1000)[0]) * 1000 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = s.remove_repeated(df).select("doc_id", "kept", "n_words", "n_removed")
+    assert sorted(map(tuple, found.collect())) == brute(rows)
+    texts = s.keyed_texts(df, "doc_id", "text")
+    known = s.copies(texts)
+    assert len(known.first) == 1
+    left = s.candidates(texts, s.WINDOW, None, known).where("NOT repeats")
+    # Of the hundred near copies and the first copy, tasks send few to the group of a window.
+    assert max(row["count"] for row in left.groupBy("k1").count().collect()) <= 4 * 12
+
+
+def test_only_texts_that_lose_words_are_joined(spark, docs):
+    texts = s.hashed(s.keyed_texts(docs, "doc_id", "text"), "key")
+    lose = s.remove_repeated(docs).where("n_removed > 0 AND n_removed < n_words").select("doc_id")
+    shared = spark.sparkContext.broadcast((None, s.key_filter(lose, "doc_id")))
+    kept = s.map_batches(texts, s._filtered(shared, True), "key long, text string")
+    assert lose.join(kept, lose.doc_id == kept.key, "left_anti").count() == 0
+    assert lose.count() <= kept.count() < docs.count()
 
 
 def test_estimates_are_never_below_the_count():

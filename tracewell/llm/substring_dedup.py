@@ -1,13 +1,18 @@
 r"""Removal of passages that an earlier document has, by windows of words.
 
+Copies of a whole text are told by a digest of its words first: all windows of a copy
+are those of the document with the smallest key, so the classes of copies that hold most
+words, at most `COPY_CLASSES` of them, need no windows but those of one document. Copies
+in further classes go the way of all texts.
+
 First pass: each task counts the hashes of its windows in a count-min sketch of
 saturating counters (none, one, more), and the sketches are merged slice by slice.
 An estimate is never below the count, so a window estimated to occur once does occur
-once. Second pass: only windows estimated repeated are shuffled, by 96 bits of hash
-with the key of their document, and exactly grouped: those whose group begins with a
-smaller key are removed. Windows so frequent that their group would burden one task
-are found in the first pass; their smallest keys, at most `HOT_WINDOWS` of them,
-are looked up beforehand, and their rows are spread over all tasks.
+once. Second pass: windows estimated repeated are exactly grouped by 96 bits of hash.
+A task keeps the smallest key it has seen of windows that recur in it; a document that
+has such a window after a smaller key is known to repeat it and needs no group. So
+however many documents have a window, its group gets about one row from each task.
+Only texts that lose words are shuffled, to meet their windows.
 
 The sketch has a few counters per window up to `SKETCH_BITS`; beyond that more
 windows pass it, but none is lost. A window is `n` consecutive words
@@ -19,6 +24,7 @@ gives an empty one. Further columns are not looked at.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from functools import partial
 
@@ -28,7 +34,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.batches import Batches, documents, keyed_texts, map_batches, record_batch, slices
-from tracewell.llm.words import Splitter, Words, odd_numbers
+from tracewell.llm.chunk_cache import HashTable
+from tracewell.llm.key_filter import hashed, key_filter, may_hold
+from tracewell.llm.words import Splitter, Words, mix, odd_numbers
+from tracewell.sources.workspace import materialise
 
 WINDOW = 13
 #: Rows of counters, and the log of their number in a row, at most: 64 MB are broadcast then.
@@ -37,12 +46,14 @@ ROWS, SKETCH_BITS = 2, 28
 COUNTERS_PER_WINDOW = 2
 #: Slices of a row that are merged apart.
 SLICES = 64
-#: A window in more documents than this is spread, if it is among the most frequent ones.
-HOT_ROWS, HOT_WINDOWS = 1 << 14, 1 << 12
+#: Classes of copies that are known to all tasks, 24 bytes each.
+COPY_CLASSES = 1 << 17
+#: Recurring windows whose smallest key a task keeps; beyond them it starts afresh, which costs rows only.
+TASK_WINDOWS = 1 << 17
 
 _SLICE = pa.schema([("slot", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
-_COUNT = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
-_CANDIDATES = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("key", pa.int64()), ("first", pa.int64())])
+_DIGESTS = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+_CANDIDATES = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("key", pa.int64()), ("repeats", pa.bool_())])
 _KEPT = pa.schema([("key", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
 
 
@@ -100,17 +111,69 @@ class Sketch:
             _set(self.once[row], at)
 
 
-def _windows(batch: pa.RecordBatch, n: int) -> tuple[Words, np.ndarray, np.ndarray]:
+# Copies of whole texts
+
+
+def _digests(words: Words, n: int) -> np.ndarray:
+    """128 bits for each text of at least n words, and zeros for others."""
+    found = np.zeros((len(words.counts), 2), np.int64)
+    for i in np.flatnonzero(words.counts >= n).tolist():
+        held = words.hashes[words.bounds[i] : words.bounds[i + 1]]
+        found[i] = np.frombuffer(hashlib.blake2b(held, digest_size=16).digest(), np.int64)
+    return found
+
+
+class Copies:
+    """The digests of some classes of copies, and the smallest key of each."""
+
+    def __init__(self, d1: np.ndarray, d2: np.ndarray, first: np.ndarray):
+        order = np.argsort(d1, kind="stable")
+        self.d1, self.d2, self.first = d1[order], d2[order], first[order]
+
+    def among(self, words: Words, keys: pa.Array, n: int) -> np.ndarray:
+        """Which texts are copies of one with a smaller key."""
+        found = np.zeros(len(words.counts), bool)
+        if len(self.d1):
+            digests = _digests(words, n)
+            at = np.minimum(np.searchsorted(self.d1, digests[:, 0]), len(self.d1) - 1)
+            same = (self.d1[at] == digests[:, 0]) & (self.d2[at] == digests[:, 1]) & (words.counts >= n)
+            key = keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+            found = same & (key > self.first[at])
+        return found
+
+
+def copies(texts: DataFrame, n: int = WINDOW, most: int = COPY_CLASSES) -> Copies:
+    """The classes of copies whose windows are most."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in slices(batches):
+            words = Splitter()(batch.column("text"))
+            digests, long = _digests(words, n), pa.array(words.counts >= n)
+            rows = record_batch(_DIGESTS, digests[:, 0], digests[:, 1], batch.column("key"), words.counts)
+            yield rows.filter(long)
+
+    rows = map_batches(texts.where("key IS NOT NULL"), run, "d1 long, d2 long, key long, n long")
+    classes = rows.groupBy("d1", "d2").agg(F.min("key").alias("first"), (F.sum("n") - F.min("n")).alias("spared"))
+    top = classes.where("spared > 0").orderBy(F.desc("spared"), "d1", "d2").limit(most).toArrow()
+    return Copies(*[top.column(name).to_numpy() for name in ("d1", "d2", "first")])
+
+
+def _windows(batch: pa.RecordBatch, n: int, known: Copies) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Words, window hashes, and where windows begin in texts that are no copies."""
     words = Splitter()(batch.column("text"))
     hashes, whole = words.windows(n)
+    whole &= ~np.repeat(known.among(words, batch.column("key"), n), words.counts)
     return words, hashes, np.flatnonzero(whole)
 
 
-def _sketched(n: int, bits: int):
+# Windows that may be repeated
+
+
+def _sketched(n: int, bits: int, known: Copies):
     def run(batches: Batches) -> Batches:
         sketch = Sketch(bits)
         for batch in slices(batches):
-            _, hashes, at = _windows(batch, n)
+            _, hashes, at = _windows(batch, n, known)
             sketch.add(*np.unique(hashes[at], return_counts=True))
         size = max(1, (1 << bits - 3) // SLICES)
         for row in range(ROWS):
@@ -149,10 +212,10 @@ def sketch_bits(texts: DataFrame) -> int:
     return min(SKETCH_BITS, max(16, int(size * COUNTERS_PER_WINDOW // 6).bit_length()))
 
 
-def repeated_counters(texts: DataFrame, n: int = WINDOW, bits: int | None = None) -> tuple[int, bytes]:
+def repeated_counters(texts: DataFrame, n: int, bits: int | None, known: Copies) -> tuple[int, bytes]:
     """Log of the counters in a row, and a bit for each counter that says it counted two or more."""
     bits = bits or sketch_bits(texts)
-    sketches = map_batches(texts, _sketched(n, bits), "slot int, once binary, more binary")
+    sketches = map_batches(texts, _sketched(n, bits, known), "slot int, once binary, more binary")
     dealt = sketches.repartitionById(ROWS * SLICES, "slot").sortWithinPartitions("slot")
     size = max(1, (1 << bits - 3) // SLICES)
     merge = partial(_merged, size)
@@ -164,111 +227,94 @@ def repeated_counters(texts: DataFrame, n: int = WINDOW, bits: int | None = None
     return bits, found.tobytes()
 
 
-def frequent_windows(texts: DataFrame, n: int = WINDOW, rows: int = HOT_ROWS, most: int = HOT_WINDOWS) -> list[int]:
-    """Hashes of windows that probably have more than `rows` rows; some may be missed, which costs time only."""
-
-    def run(batches: Batches) -> Batches:
-        kept_hashes, kept_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in slices(batches):
-            _, hashes, at = _windows(batch, n)
-            found, counts = np.unique(hashes[at], return_counts=True)
-            often = counts > 2
-            kept_hashes = np.concatenate((kept_hashes, found[often]))
-            kept_counts = np.concatenate((kept_counts, counts[often]))
-            if len(kept_hashes) > 16 * most:
-                kept_hashes, kept_counts = _summed(kept_hashes, kept_counts, 4 * most)
-        kept_hashes, kept_counts = _summed(kept_hashes, kept_counts, most)
-        yield record_batch(_COUNT, kept_hashes.view(np.int64), kept_counts)
-
-    totals = map_batches(texts, run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    top = totals.where(F.col("n") > rows).orderBy(F.desc("n"), "hash").limit(most)
-    return top.toArrow().column("hash").to_pylist()
+class SmallestKeys:
+    """The smallest key that a task has seen of each of some windows."""
 
+    def __init__(self, most: int = TASK_WINDOWS):
+        self.most = most
+        self._clear()
 
-def _summed(hashes: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    known, place = np.unique(hashes, return_inverse=True)
-    totals = np.bincount(place, counts, len(known)).astype(np.int64)
-    top = np.argsort(-totals, kind="stable")[:most]
-    return known[top], totals[top]
+    def _clear(self) -> None:
+        self.table, self.keys = HashTable(12), np.zeros(0, np.int64)
 
+    def seen(self, hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Whether a smaller key is known for each window; windows given twice are kept from now on.
 
-def _first_keys(texts: DataFrame, n: int, hashes: list[int]) -> DataFrame:
-    """(hash, key): the smallest key that has each window."""
-    wanted = np.sort(np.array(hashes, np.int64).view(np.uint64))
-
-    def run(batches: Batches) -> Batches:
-        least = np.full(len(wanted), np.iinfo(np.int64).max)
-        for batch in slices(batches):
-            words, found, at = _windows(batch, n)
-            at = at[np.isin(found[at], wanted)]
-            owner = np.searchsorted(words.bounds, at, "right") - 1
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            np.minimum.at(least, np.searchsorted(wanted, found[at]), keys[owner].astype(np.int64))
-        used = least < np.iinfo(np.int64).max
-        yield record_batch(_COUNT, wanted[used].view(np.int64), least[used])
+        Rows are in the order of hashes and then keys.
+        """
+        first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, int)
+        counts = np.diff(np.append(first, len(hashes)))
+        places = self.table.find(hashes[first])
+        old = places >= 0
+        least = keys[first].copy()
+        least[old] = np.minimum(least[old], self.keys[places[old]])
+        self.keys[places[old]] = least[old]
+        found = keys > np.repeat(least, counts)
+        new = ~old & (counts > 1)
+        if len(self.keys) + new.sum() > self.most:
+            self._clear()
+        start = len(self.keys)
+        self.keys = np.concatenate((self.keys, least[new]))
+        self.table.add(hashes[first[new]], np.arange(start, len(self.keys), dtype=np.int32))
+        return found
 
-    return map_batches(texts, run, "hash long, n long").groupBy("hash").agg(F.min("n").alias("key"))
 
+def candidates(texts: DataFrame, n: int, bits: int | None, known: Copies) -> DataFrame:
+    """(k1, k2, key, repeats) of windows that may be repeated, once per document.
 
-def candidates(texts: DataFrame, n: int = WINDOW, bits: int | None = None) -> DataFrame:
-    """(k1, k2, key, first) of windows that may be repeated, once per document; `first` where it is known."""
-    sketch = repeated_counters(texts, n, bits)
-    hot = frequent_windows(texts, n)
-    firsts = _first_keys(texts, n, hot).toArrow().to_pylist() if hot else []
-    firsts.sort(key=lambda row: row["hash"])
-    hot_keys = [row["hash"] for row in firsts], [row["key"] for row in firsts]
-    shared = texts.sparkSession.sparkContext.broadcast((*sketch, hot_keys))
+    `repeats` says that a smaller key is known to have the window.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((*repeated_counters(texts, n, bits, known), known))
 
     def run(batches: Batches) -> Batches:
-        bits, packed, (hot_hashes, hot_firsts) = shared.value
+        bits, packed, known = shared.value
         more = np.frombuffer(packed, np.uint8).reshape(ROWS, -1)
-        hot_hashes, hot_firsts = np.array(hot_hashes, np.int64), np.array(hot_firsts, np.int64)
         weights = odd_numbers(n, 99)
+        smallest = SmallestKeys(TASK_WINDOWS)
         for batch in slices(batches):
-            words, hashes, at = _windows(batch, n)
+            words, hashes, at = _windows(batch, n, known)
             for row in range(ROWS):
                 at = at[_get(more[row], _counter(hashes[at], row, bits))]
-            owner = np.searchsorted(words.bounds, at, "right") - 1
-            order = np.lexsort((hashes[at], owner))
-            at, owner = at[order], owner[order]
+            keys = batch.column("key").to_numpy()[np.searchsorted(words.bounds, at, "right") - 1]
+            order = np.lexsort((keys, hashes[at]))
+            at, keys = at[order], keys[order]
             new = np.ones(len(at), bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (hashes[at[1:]] != hashes[at[:-1]])
-            at, owner = at[new], owner[new]
+            new[1:] = (keys[1:] != keys[:-1]) | (hashes[at[1:]] != hashes[at[:-1]])
+            at, keys = at[new], keys[new]
             other = np.zeros(len(at), np.uint64)
             for i in range(n):
                 other += words.hashes[at + i] * weights[i]
-            k1 = hashes[at].view(np.int64)
-            place = np.searchsorted(hot_hashes, k1)
-            known = np.zeros(len(at), bool)
-            if len(hot_hashes):
-                known = hot_hashes[np.minimum(place, len(hot_hashes) - 1)] == k1
-            first = np.where(known, hot_firsts[np.minimum(place, len(hot_hashes) - 1)] if len(hot_hashes) else 0, 0)
-            yield record_batch(
-                _CANDIDATES,
-                k1,
-                (other >> np.uint64(32)).astype(np.uint32).view(np.int32),
-                batch.column("key").take(pa.array(owner)),
-                pa.array(first, pa.int64(), mask=~known),
-            )
-
-    return map_batches(texts, run, "k1 long, k2 int, key long, first long")
-
-
-def repeated_windows(texts: DataFrame, n: int = WINDOW, bits: int | None = None) -> DataFrame:
-    """(key, k1): windows of each document that one with a smaller key has too."""
-    found = candidates(texts, n, bits)
-    # Rows whose first key is known need no group; their own key spreads them.
-    spread = found.withColumn("salt", F.when(F.col("first").isNotNull(), F.col("key")))
+            k2 = (other >> np.uint64(32)).astype(np.uint32)
+            # A mix of all 96 bits that the groups go by.
+            repeats = smallest.seen(mix(hashes[at] ^ (k2.astype(np.uint64) << np.uint64(32))), keys)
+            yield record_batch(_CANDIDATES, hashes[at].view(np.int64), k2.view(np.int32), keys, repeats)
+
+    return map_batches(texts, run, "k1 long, k2 int, key long, repeats boolean")
+
+
+def repeated_windows(
+    texts: DataFrame, n: int = WINDOW, bits: int | None = None, known: Copies | None = None
+) -> DataFrame:
+    """(key, k1): windows of each document that one with a smaller key has too, but for those of copies."""
+    texts = texts.where("key IS NOT NULL")
+    found = candidates(texts, n, bits, copies(texts, n) if known is None else known)
+    # Rows that are known to repeat a window need no group; their own key spreads them.
+    spread = found.withColumn("salt", F.when(F.col("repeats"), F.col("key")))
     group = Window.partitionBy("k1", "k2", "salt").orderBy("key")
     first = F.first("key").over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    marked = spread.select("key", "k1", F.coalesce("first", first).alias("first"))
-    return marked.where(F.col("key") > F.col("first")).select("key", "k1")
+    marked = spread.select("key", "k1", "repeats", first.alias("first"))
+    return marked.where(F.col("repeats") | (F.col("key") > F.col("first"))).select("key", "k1")
+
 
+def _without(n: int, shared):
+    """Texts without the words of the windows in `gone`; copies lose all words."""
 
-def _without(n: int):
     def run(batches: Batches) -> Batches:
+        known = shared.value[0]
         for batch in slices(batches):
-            words, hashes, at = _windows(batch, n)
+            words = Splitter()(batch.column("text"))
+            hashes, whole = words.windows(n)
+            at = np.flatnonzero(whole)
             gone = batch.column("gone")
             counts = np.diff(gone.offsets.to_numpy())
             counts[np.asarray(gone.is_null())] = 0
@@ -279,11 +325,24 @@ def _without(n: int):
             edges[at[hit]] += 1
             np.subtract.at(edges, at[hit] + n, 1)
             covered = np.cumsum(edges[:-1]) > 0
+            covered |= np.repeat(known.among(words, batch.column("key"), n), words.counts)
             yield record_batch(_KEPT, batch.column("key"), *_joined(words, ~covered))
 
     return run
 
 
+def _filtered(shared, meet: bool):
+    """The rows that may lose words by windows of theirs, or the others."""
+
+    def run(batches: Batches) -> Batches:
+        _, wanted = shared.value
+        for batch in batches:
+            may = may_hold(wanted, batch.column("hash")) & np.asarray(batch.column("key").is_valid())
+            yield batch.select(["key", "text"]).filter(pa.array(may == meet))
+
+    return run
+
+
 def _in_sets(values: np.ndarray, owner: np.ndarray, sets: np.ndarray, set_owner: np.ndarray) -> np.ndarray:
     """Whether each value is in its owner's set."""
     order = np.lexsort((sets, set_owner))
@@ -324,12 +383,18 @@ def remove_repeated(
 ) -> DataFrame:
     """(key, kept, n_words, n_removed): each text without the words of windows that an earlier one has."""
     texts = keyed_texts(df, key, text)
-    hits = repeated_windows(texts.where("key IS NOT NULL"), n, bits)
-    # No more of them than the document has windows.
-    sets = hits.groupBy("key").agg(F.collect_list("k1").alias("gone"))
-    joined = texts.join(sets, "key", "left").select("key", "text", "gone")
+    known = copies(texts, n)
+    # No more windows than the document has.
+    sets = repeated_windows(texts, n, bits, known).groupBy("key").agg(F.collect_list("k1").alias("gone"))
+    sets = materialise(sets, "windows")
+    shared = df.sparkSession.sparkContext.broadcast((known, key_filter(sets, "key")))
+    rows = hashed(texts, "key")
+    touched = map_batches(rows, _filtered(shared, True), "key long, text string").join(sets, "key", "left")
+    others = map_batches(rows, _filtered(shared, False), "key long, text string")
+    others = others.withColumn("gone", F.lit(None).cast("array<long>"))
     schema = "key long, kept string, n_words long, n_removed long"
-    return map_batches(joined, _without(n), schema).withColumnRenamed("key", key)
+    parts = [map_batches(part.select("key", "text", "gone"), _without(n, shared), schema) for part in (touched, others)]
+    return parts[0].unionByName(parts[1]).withColumnRenamed("key", key)
 
 
 def op6_countmin_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
