@@ -78,23 +78,30 @@ def test_only_texts_that_lose_words_are_joined(spark, docs):
     assert lose.count() <= kept.count() < docs.count()
 
 
-def test_estimates_are_never_below_the_count():
+@pytest.mark.parametrize("row", range(s.ROWS))
+def test_estimates_are_never_below_the_count(row):
     rng = np.random.RandomState(3)
-    hashes = rng.randint(0, 1 << 62, 4000).astype(np.uint64)
+    hashes = np.unique(rng.randint(0, 1 << 62, 4000).astype(np.uint64))
     twice = np.concatenate((hashes, hashes[:500]))
-    one, two = s.Sketch(16), s.Sketch(16)
-    one.add(*np.unique(twice[:2300], return_counts=True))
-    two.add(*np.unique(twice[2300:], return_counts=True))
-    more = one.more | two.more | (one.once & two.once)
-    for row in range(s.ROWS):
-        assert s._get(more[row], s._counter(hashes[:500], row, 16)).all()
-
-
-def test_packed_bits_come_back():
-    bitmap = np.zeros(4000, np.uint8)
-    bitmap[[0, 3, 3999]] = 1, 128, 255
-    assert (s._unpacked(s._packed(bitmap), 4000) == bitmap).all()
-    assert not s._unpacked(s._packed(np.zeros(8, np.uint8)), 8).any()
+    merged = []
+    for part in (twice[:2300], twice[2300:]):
+        once, more = s.counted(*np.unique(part, return_counts=True), row, 16)
+        assert (np.diff(once) > 0).all() and np.isin(more, once).all()
+        merged.append([s._unpacked(s._packed(at), 1 << 13) for at in (once, more)])
+    more = merged[0][1] | merged[1][1] | (merged[0][0] & merged[1][0])
+    assert s._get(more, s._counter(hashes[:500], row, 16)).all()
+    assert not s._get(more, s._counter(hashes[500:], row, 16)).all()
+
+
+def test_packed_places_come_back():
+    for at in ([], [0], [0, 3, 255, 256, 510, 31999], [31000]):
+        bitmap = s._unpacked(s._packed(np.array(at, np.int64)), 4000)
+        assert np.flatnonzero(np.unpackbits(bitmap, bitorder="little")).tolist() == at
+
+
+def test_parts_of_a_sketch_give_the_same(docs, expected, monkeypatch):
+    monkeypatch.setattr(s, "PART_WINDOWS", 1000)
+    assert rows_of(s.remove_repeated(docs)) == expected
 
 
 def test_odd_rows(spark, odd):

@@ -5,8 +5,8 @@ are those of the document with the smallest key, so the classes of copies that h
 words, at most `COPY_CLASSES` of them, need no windows but those of one document. Copies
 in further classes go the way of all texts.
 
-First pass: each task counts the hashes of its windows in a count-min sketch of
-saturating counters (none, one, more), and the sketches are merged slice by slice.
+First pass: each task counts the hashes of its windows, some at a time, in count-min
+sketches of saturating counters (none, one, more), which are merged slice by slice.
 An estimate is never below the count, so a window estimated to occur once does occur
 once. Second pass: windows estimated repeated are exactly grouped by 96 bits of hash.
 A task keeps the smallest key it has seen of windows that recur in it; a document that
@@ -44,8 +44,8 @@ WINDOW = 13
 ROWS, SKETCH_BITS = 2, 28
 #: Counters per row for each window there may be.
 COUNTERS_PER_WINDOW = 2
-#: Slices of a row that are merged apart.
-SLICES = 64
+#: Slices of a row that are merged apart, and windows of a part that a task sends to them.
+SLICES, PART_WINDOWS = 64, 1 << 21
 #: Classes of copies that are known to all tasks, 24 bytes each.
 COPY_CLASSES = 1 << 17
 #: Recurring windows whose smallest key a task keeps; beyond them it starts afresh, which costs rows only.
@@ -74,9 +74,8 @@ def _get(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def _packed(bitmap: np.ndarray) -> bytes:
-    """The gaps between set bits, a byte each; 255 says that the gap goes on."""
-    at = np.flatnonzero(np.unpackbits(bitmap, bitorder="little"))
+def _packed(at: np.ndarray) -> bytes:
+    """The gaps between sorted, distinct places, a byte each; 255 says that the gap goes on."""
     gaps = np.diff(at, prepend=0)
     more = gaps // 255
     out = np.full(len(gaps) + int(more.sum()), 255, np.uint8)
@@ -85,30 +84,22 @@ def _packed(bitmap: np.ndarray) -> bytes:
 
 
 def _unpacked(data: bytes, size: int) -> np.ndarray:
+    """A bitmap of `size` bytes with the bits set at the packed places."""
     gaps = np.frombuffer(data, np.uint8)
     bitmap = np.zeros(size, np.uint8)
     _set(bitmap, np.cumsum(gaps, dtype=np.int64)[gaps < 255])
     return bitmap
 
 
-class Sketch:
-    """Counters that stop at two, as bits for `once` and for `more`."""
-
-    def __init__(self, bits: int):
-        self.bits = bits
-        self.once = np.zeros((ROWS, 1 << bits - 3), np.uint8)
-        self.more = np.zeros((ROWS, 1 << bits - 3), np.uint8)
-
-    def add(self, hashes: np.ndarray, counts: np.ndarray) -> None:
-        for row in range(ROWS):
-            at = _counter(hashes, row, self.bits)
-            order = np.argsort(at, kind="stable")
-            at, n = at[order], counts[order]
-            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else at
-            totals = np.add.reduceat(n, first) if len(first) else n
-            at = at[first]
-            _set(self.more[row], at[(totals > 1) | _get(self.once[row], at)])
-            _set(self.once[row], at)
+def counted(hashes: np.ndarray, counts: np.ndarray, row: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counters that some windows reach, and those that count more than one."""
+    at = _counter(hashes, row, bits)
+    if row:
+        order = np.argsort(at)
+        at, counts = at[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
+    totals = np.add.reduceat(counts, first) if len(first) else counts
+    return at[first], at[first[totals > 1]]
 
 
 # Copies of whole texts
@@ -170,17 +161,33 @@ def _windows(batch: pa.RecordBatch, n: int, known: Copies) -> tuple[Words, np.nd
 
 
 def _sketched(n: int, bits: int, known: Copies):
+    """Sparse parts of the sketch, each of some windows, slice by slice."""
+    slot_bits = bits - SLICES.bit_length() + 1
+
+    def part(hashes: list[np.ndarray]) -> Batches:
+        found, counts = np.unique(np.concatenate(hashes), return_counts=True)
+        for row in range(ROWS):
+            once, more = counted(found, counts, row, bits)
+            edges = np.arange(SLICES + 1) << slot_bits
+            once_at, more_at = np.searchsorted(once, edges), np.searchsorted(more, edges)
+            columns = [], [], []
+            for i in np.flatnonzero(np.diff(once_at)).tolist():
+                columns[0].append(row * SLICES + i)
+                columns[1].append(_packed(once[once_at[i] : once_at[i + 1]] - edges[i]))
+                columns[2].append(_packed(more[more_at[i] : more_at[i + 1]] - edges[i]))
+            yield record_batch(_SLICE, *columns)
+
     def run(batches: Batches) -> Batches:
-        sketch = Sketch(bits)
+        held, size = [], 0
         for batch in slices(batches):
             _, hashes, at = _windows(batch, n, known)
-            sketch.add(*np.unique(hashes[at], return_counts=True))
-        size = max(1, (1 << bits - 3) // SLICES)
-        for row in range(ROWS):
-            for number, start in enumerate(range(0, 1 << bits - 3, size)):
-                once, more = sketch.once[row, start : start + size], sketch.more[row, start : start + size]
-                if once.any():
-                    yield record_batch(_SLICE, [row * SLICES + number], [_packed(once)], [_packed(more)])
+            held.append(hashes[at])
+            size += len(at)
+            if size > PART_WINDOWS:
+                yield from part(held)
+                held, size = [], 0
+        if size:
+            yield from part(held)
 
     return run
 
