@@ -112,3 +112,32 @@ def test_chance_to_lose_a_pair(similarity):
     scheme = m.Scheme(similarity=similarity)
     n, miss = scheme.symbols, 1 - similarity / 100
     assert sum(math.comb(n, i) * miss**i * (1 - miss) ** (n - i) for i in range(scheme.distance + 1, n + 1)) <= 1e-6
+
+
+@pytest.mark.parametrize("stray", [-1, 10**6])
+@pytest.mark.parametrize("group_rows", [7, 512])
+def test_one_stray_beside_a_large_group(spark, monkeypatch, stray, group_rows):
+    """Whether its label is below or above the group's, only the stray is laid beside the others."""
+    monkeypatch.setattr(m, "GROUP_ROWS", group_rows)
+    rng = np.random.RandomState(6)
+    hub = set(range(1000))
+    sets = {0: hub}
+    for node in range(1, 60):
+        sets[node] = hub - set(rng.choice(1000, 5, False).tolist()) | {10**4 + node}
+    gone = list(range(130))
+    # Similar to one member of the group only, which is itself linked with the hub.
+    sets[7] = hub - set(gone[:100])
+    sets[stray] = hub - set(gone)
+    nodes = sorted(sets)
+    open_ = spark.createDataFrame([(1, n, n if n == stray else 0) for n in nodes], "bucket long, node long, label long")
+    hubs = spark.createDataFrame([(1, 0)], "bucket long, hub long")
+    shareable = spark.createDataFrame([(n, len(sets[n]), len(sets[n] & hub)) for n in nodes], "node long, n long, most long")
+    beside = [(0, n, sorted(sets[n] ^ hub)) for n in nodes if n]
+    beside = spark.createDataFrame(beside, "a long, b long, differs array<long>")
+    found = m._across(open_, hubs, beside, shareable, 88).collect()
+    expected = {
+        (min(a, stray), max(a, stray))
+        for a in nodes
+        if a != stray and 100 * len(sets[a] & sets[stray]) >= 88 * len(sets[a] | sets[stray])
+    }
+    assert {(r.a, r.b) for r in found} == expected == {(min(7, stray), max(7, stray))}

@@ -7,12 +7,12 @@ signatures differ in one symbol or none: under the keys of a chunk, each with on
 symbol left out, they meet. All pairs within distance t are found so.
 
 Documents with equal shingle sets are one class and are compared once. Classes that
-meet under a key are first laid beside one of them only. Where that left them in
-different components, what they share with the hub and what no other set has bound
-what two sets can have in common, and only classes that may still be similar are
-paired: a group of near copies costs about its size and not its square. Every link is
-confirmed on the full sets, as sorted 64-bit hashes of shingles. Components come from
-label propagation with shortcuts.
+meet under a key are first laid beside one of them only, the hub, on the full sets, and
+most links of a group are found so. Two sets differ where exactly one of them differs
+from the hub, so how similar any two of a group are follows from their differences. Only
+classes left outside the hub's component are laid beside others in this way, dealt over
+tasks where the group is large. Every link is confirmed on the full sets, as sorted
+64-bit hashes of shingles. Components come from label propagation with shortcuts.
 
 Words are `[^\x20\x09-\x0D]+`, A-Z as a-z. A document's set has its distinct
 shingles of n words, or its whole sequence if it has fewer words. Null and empty
@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.batches import Batches, documents, keyed_texts, map_batches, record_batch, slices
@@ -42,6 +42,8 @@ SHINGLE, SIMILARITY = 3, 85
 CHUNK = 5
 #: Chance that a pair exactly at the similarity differs in more symbols than allowed for, at most.
 LOST = 1e-6
+#: Classes of a hub that one task lays beside those of other components.
+GROUP_ROWS = 512
 #: 64-bit words of the filter by which texts are looked up again, at most (8 MB).
 FILTER_WORDS = 1 << 20
 
@@ -62,7 +64,7 @@ _COMPARED = pa.schema(
         ("b", pa.int64()),
         ("common", pa.int64()),
         ("linked", pa.bool_()),
-        ("outside", pa.list_(pa.int64())),
+        ("differs", pa.list_(pa.int64())),
     ]
 )
 
@@ -240,43 +242,52 @@ def _shareable(sets: DataFrame, classes: DataFrame) -> DataFrame:
     return found.select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
 
 
-def _across(
-    open_: DataFrame, hubs: DataFrame, beside: DataFrame, shareable: DataFrame, similarity: int
-) -> DataFrame:
-    """All pairs of classes that share a bucket and not a component, and may be similar.
+def _across(open_: DataFrame, hubs: DataFrame, beside: DataFrame, shareable: DataFrame, similarity: int) -> DataFrame:
+    """All linked pairs of classes that share a bucket and not a component.
 
-    Classes of one bucket have the same hub, so pairs are made among those with a
-    common hub. What two sets have in common is inside the hub, at most what the
-    poorer of them has of it, or outside it.
+    Classes of one bucket have the same hub. With D the shingles in which a class differs from
+    it, two classes differ in |D| + |D'| - 2 |D and D'| shingles, and they are linked where that
+    is at most (1 - similarity) / (1 + similarity) of their sizes. Pairs inside the hub's component
+    need no look, and the others are few, as links were made with the hub first.
     """
-    inside = beside.selectExpr("a AS hub", "b AS node", "common AS inside", "outside")
+    labels = open_.select("node", "label").distinct()
+    of_hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
     group = open_.join(hubs, "bucket").select("hub", "node", "label").distinct()
-    found = group.join(shareable, "node").join(inside, ["hub", "node"], "left")
-    is_hub = F.col("node") == F.col("hub")
-    found = found.withColumns(
-        {
-            "inside": F.when(is_hub, F.col("n")).otherwise(F.col("inside")),
-            "outside": F.when(is_hub, F.array().cast("array<long>")).otherwise(F.col("outside")),
-        }
+    differs = beside.selectExpr("a AS hub", "b AS node", "differs")
+    # A hub differs from itself in nothing.
+    group = group.join(of_hub, "hub").join(shareable, "node").join(differs, ["hub", "node"], "left")
+    group = group.select(
+        "hub",
+        "node",
+        "label",
+        (F.col("label") != F.col("hub_label")).alias("other"),
+        "n",
+        "most",
+        F.coalesce("differs", F.array().cast("array<long>")).alias("differs"),
+    )
+    # Written, since it is read several times.
+    group = materialise(group, "group")
+    sizes = group.groupBy("hub").agg(F.count("*").alias("rows"), F.count_if("other").alias("others"))
+    parts = F.ceil(F.col("rows") / GROUP_ROWS).cast("int")
+    sizes = sizes.where("others > 0").select(F.col("hub").alias("of_hub"), parts.alias("parts"))
+    group = group.join(sizes, F.col("hub") == F.col("of_hub")).drop("of_hub")
+    columns = ("node", "label", "n", "most", "differs")
+    others = group.where("other").select(
+        "hub", F.explode(F.sequence(F.lit(1), "parts")).alias("part"), *[F.col(c).alias(f"x_{c}") for c in columns]
     )
-    lowest = found.groupBy("hub").agg(F.min("label").alias("low"))
-    # Beside the hub's first component all others are few, as links were made with it first.
-    others = found.join(lowest, "hub").where("label <> low")
-    columns = ("node", "label", "n", "most", "inside", "outside")
-    others = others.select("hub", *[F.col(c).alias(f"x_{c}") for c in columns])
-
-    def may(common: Column) -> Column:
-        return 100 * common >= similarity * (F.col("n") + F.col("x_n") - common)
-
-    both = F.least("inside", "x_inside") + F.size(F.array_intersect("outside", "x_outside"))
-    known = F.col("inside").isNotNull() & F.col("x_inside").isNotNull()
-    pair = (
-        (found["hub"] == others["hub"])
-        & (F.col("label") < F.col("x_label"))
-        & may(F.least("most", "x_most"))
-        & F.when(known, may(both)).otherwise(True)
+    group = group.withColumn("part", (F.pmod(F.xxhash64("node"), F.col("parts")) + 1).cast("int"))
+    size, apart = F.col("n") + F.col("x_n"), F.size("differs") + F.size("x_differs")
+    # 2 |D and D'| is at least this where the two are linked.
+    needed = (100 + similarity) * apart - (100 - similarity) * size
+    common = F.least("most", "x_most")
+    may = (
+        (F.col("label") != F.col("x_label"))
+        & (~F.col("other") | (F.col("label") < F.col("x_label")))
+        & (100 * common >= similarity * (size - common))
+        & (2 * (100 + similarity) * F.least(F.size("differs"), F.size("x_differs")) >= needed)
     )
-    pairs = others.join(found, pair)
+    both = F.size(F.array_intersect("differs", "x_differs"))
+    pairs = group.join(others, ["hub", "part"]).where(may & (2 * (100 + similarity) * both >= needed))
     return pairs.select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b")).distinct()
 
 
@@ -334,27 +345,27 @@ def sets_of(nodes: DataFrame, classes: DataFrame, texts: DataFrame, scheme: Sche
 
 
 def compared(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """(a, b, common, linked, outside) of each pair.
+    """(a, b, common, linked, differs) of each pair.
 
     These are the number of shingles in common, whether 100 * intersection is at least
-    similarity * union, and the shingles of b that a does not have.
+    similarity * union, and the shingles that one of them has and the other has not.
     """
     joined = pairs.join(sets.selectExpr("node AS a", "shingles AS left"), "a")
     joined = joined.join(sets.selectExpr("node AS b", "shingles AS right"), "b").select("a", "b", "left", "right")
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            commons, linked, outside = [], [], []
+            commons, linked, differs = [], [], []
             for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
                 x, y = (np.frombuffer(side.as_buffer(), np.uint64) for side in (left, right))
-                rest = np.setdiff1d(y, x, assume_unique=True)
-                common = len(y) - len(rest)
+                one = np.setxor1d(x, y, assume_unique=True)
+                common = (len(x) + len(y) - len(one)) // 2
                 commons.append(common)
-                linked.append(100 * common >= similarity * (len(x) + len(rest)))
-                outside.append(rest.view(np.int64))
-            yield record_batch(_COMPARED, batch.column("a"), batch.column("b"), commons, linked, outside)
+                linked.append(100 * common >= similarity * (common + len(one)))
+                differs.append(one.view(np.int64))
+            yield record_batch(_COMPARED, batch.column("a"), batch.column("b"), commons, linked, differs)
 
-    return map_batches(joined, run, "a long, b long, common long, linked boolean, outside array<long>")
+    return map_batches(joined, run, "a long, b long, common long, linked boolean, differs array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -387,15 +398,15 @@ def linked_classes(classes: DataFrame, texts: DataFrame, scheme: Scheme) -> Data
     hubs = materialise(_hubs(members, shareable), "hubs")
 
     def compare(pairs: DataFrame) -> DataFrame:
-        near = within_distance(pairs, classes, scheme)
-        return materialise(compared(near, sets, scheme.similarity), "compared")
+        return materialise(compared(pairs, sets, scheme.similarity), "compared")
 
     first = members.join(hubs, "bucket").where("node <> hub").selectExpr("hub AS a", "node AS b").distinct()
     beside = compare(first)
     links = beside.where("linked").select("a", "b")
     labels = None if links.isEmpty() else components(links)
     open_ = materialise(_open(members, labels), "open")
-    more = compare(_across(open_, hubs, beside, shareable, scheme.similarity)).where("linked").select("a", "b")
+    pairs = _across(open_, hubs, beside, shareable, scheme.similarity)
+    more = compare(within_distance(pairs, classes, scheme)).where("linked").select("a", "b")
     if more.isEmpty():
         return labels
     return components(links.unionByName(more))
