@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 from records import NOON, entry, rows
 
@@ -47,16 +49,32 @@ def jobs(spark, *rows):
     return spark.createDataFrame(list(rows), record.JOB_SCHEMA)
 
 
+def event_of(run, source, target, level="table"):
+    return f"{run}/lineageEvents/{hashlib.md5(chr(10).join([level, source, target]).encode()).hexdigest()}"
+
+
 def test_one_event_per_declared_link(spark):
     job = ("p", "us", "j", "Job", "Run", NOON, [("a", "b", "table"), ("a.x", "b.y", "column")])
     df = jobs(spark, job)
-    events = record.event_records(df)
-    run = record.run_records(df).first()
-    assert rows(events, "name") == [(f"{run.name}/lineageEvents/{i}",) for i in range(2)]
-    links = record.link_records(df)
-    assert rows(links, "event", "link_pos", "source") == [
-        (f"{run.name}/lineageEvents/0", 0, "a"), (f"{run.name}/lineageEvents/1", 0, "a.x"),
-    ]
+    run = record.run_records(df).first().name
+    expected = sorted([(event_of(run, "a", "b"), 0, "a"), (event_of(run, "a.x", "b.y", "column"), 0, "a.x")])
+    assert rows(record.event_records(df), "name") == [(event,) for event, *_ in expected]
+    assert rows(record.link_records(df), "event", "link_pos", "source") == expected
+
+
+def test_a_run_delivered_in_parts_keeps_all_links(spark):
+    head = ("p", "us", "j", "Job", "Run", NOON)
+    parts = jobs(
+        spark,
+        (*head, [("a", "b", "table")]),
+        (*head, [("c", "d", "table"), ("a", "b", "table")]),
+        (*head, [("c", "d", "table")]),
+        (*head, [(None, "d", "table")]),
+    )
+    assert rows(record.link_records(parts), "source", "target") == [("a", "b"), ("c", "d"), (None, "d")]
+    assert record.event_records(parts).count() == 3
+    one_by_one = [record.link_records(parts.limit(n)).select("event") for n in (1, 2, 4)]
+    assert one_by_one[0].exceptAll(one_by_one[1]).isEmpty() and one_by_one[1].exceptAll(one_by_one[2]).isEmpty()
 
 
 def test_two_runs_of_a_job_at_one_time_are_one_process(spark):

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell import fixed_values as V
 from tracewell.functions import process_of
 from tracewell.operators.links import declared_links, without_self_links
-from tracewell.sources.log import LineageLog, append_log
+from tracewell.sources import commits
+from tracewell.sources.commits import DataFile
+from tracewell.sources.log import LineageLog, append_log, key_of, read_files, read_log, write_files
 from tracewell.sources.workspace import exists
 
 
@@ -111,3 +114,63 @@ def purge_to(log: LineageLog, root: str, locations: Sequence[str] = V.LOCATIONS)
     if exists(log.processes.sparkSession, root):
         raise ValueError(f"cannot write a purged log to {root}: it is there already")
     append_log(purge(log, locations), root)
+
+
+@dataclass(frozen=True)
+class Purged:
+    """What a purge did to the files of a log."""
+
+    commit: int
+    dropped: int
+    rewritten: int
+    kept: int
+
+
+def purge_log(
+    spark: SparkSession, root: str, locations: Sequence[str] = V.LOCATIONS, token: str | None = None
+) -> Purged:
+    """Purge a stored log by one commit that touches only files with records to remove.
+
+    Files of other locations, entries, and files without such records stay as they are, those
+    with no others go, and the rest are written again with their survivors. Which is which
+    follows from counts per file, made from names alone. The state before the purge stays
+    readable. Records that are appended meanwhile are not purged; files that another purge
+    or compaction has replaced meanwhile are a Conflict.
+    """
+    before = commits.state(spark, root)
+    listed_in = read_log(spark, root, before.number).processes.where(F.col("location").isin(*locations))
+    listed = listed_in.select(F.col("name").alias("process"))
+    here = {kind: [f for f in before.of(kind) if f.location in locations] for kind in ("processes", "runs", "events", "links")}
+    hits = _records_to_remove(spark, before, here, listed)
+    gone = [file for files in here.values() for file in files if hits.get(file.path, 0) == file.rows]
+    mixed = {kind: [f for f in files if 0 < hits.get(f.path, 0) < f.rows] for kind, files in here.items()}
+    survivors = {}
+    for kind, files in mixed.items():
+        if files:
+            rows = read_files(spark, before, kind, files).withColumn("process", process_of(F.col(key_of(kind))))
+            survivors[kind] = rows.join(listed, "process", "left_anti").drop("process")
+    again = [file for files in mixed.values() for file in files]
+    written = write_files(survivors, root)
+    number = commits.commit(spark, root, written, [file.path for file in gone + again], token)
+    return Purged(number, len(gone), len(again), len(before.files) - len(gone) - len(again))
+
+
+def _records_to_remove(
+    spark: SparkSession, state: commits.State, files: dict[str, list[DataFile]], listed: DataFrame
+) -> dict[str, int]:
+    """Number of records of listed processes in each file that has some."""
+    parts = []
+    for kind, chosen in files.items():
+        if chosen:
+            rows = read_files(spark, state, kind, chosen)
+            process = process_of(F.col(key_of(kind))).alias("process")
+            parts.append(rows.select(F.col("_metadata.file_path").alias("path"), process))
+    if not parts:
+        return {}
+    names = parts[0]
+    for part in parts[1:]:
+        names = names.unionByName(part)
+    # One row per file and process before the join.
+    counted = names.groupBy("path", "process").agg(F.count(F.lit(1)).alias("rows"))
+    found = counted.join(listed, "process", "left_semi").groupBy("path").agg(F.sum("rows").alias("rows"))
+    return {row["path"]: row["rows"] for row in found.collect()}

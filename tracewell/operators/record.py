@@ -87,41 +87,40 @@ def run_records(jobs: DataFrame) -> DataFrame:
     return _one_per_name(runs, "display_name", "end_time")
 
 
-def _event_name(run: Column, pos: Column) -> Column:
-    return F.concat(run, F.lit("/lineageEvents/"), pos.cast("string"))
+def _declared(jobs: DataFrame) -> DataFrame:
+    """Each link that a run declares, once, with the event that records it.
+
+    The event is named by its link, so a run that is delivered in parts, or twice, has
+    each of its links once, whatever their order.
+    """
+    parts = [F.coalesce(F.col(f"link.{name}"), F.lit("\\N")) for name in ("level", "source", "target")]
+    named = F.md5(F.concat_ws("\n", *parts))
+    declared = jobs.select(
+        _run_name().alias("run"), "started_at", _ended(jobs).alias("end_time"), "location", F.explode("links").alias("link")
+    )
+    events = declared.withColumn("event", F.concat("run", F.lit("/lineageEvents/"), named))
+    first = F.min_by(F.struct("started_at", "end_time", "location", "link"), F.struct("end_time")).alias("first")
+    return events.groupBy("event").agg(first).select("event", "first.*")
 
 
 def event_records(jobs: DataFrame) -> DataFrame:
     """One event per declared link."""
-    declared = jobs.select(
-        _run_name().alias("run"),
-        "started_at",
-        _ended(jobs).alias("end_time"),
-        "location",
-        F.posexplode("links").alias("pos", "link"),
+    return _declared(jobs).select(
+        F.col("event").alias("name"), F.col("started_at").alias("start_time"), "end_time", "location"
     )
-    return declared.select(
-        _event_name(F.col("run"), F.col("pos")).alias("name"),
-        F.col("started_at").alias("start_time"),
-        "end_time",
-        "location",
-    ).dropDuplicates(["name"])
 
 
 def link_records(jobs: DataFrame) -> DataFrame:
     """The one link of each event of `event_records`."""
-    declared = jobs.select(
-        _run_name().alias("run"), "started_at", "location", F.posexplode("links").alias("pos", "link")
-    )
-    return declared.select(
-        _event_name(F.col("run"), F.col("pos")).alias("event"),
+    return _declared(jobs).select(
+        "event",
         F.col("started_at").alias("start_time"),
         F.lit(0).alias("link_pos"),
         "link.source",
         "link.target",
         "link.level",
         "location",
-    ).dropDuplicates(["event"])
+    )
 
 
 def events_from_links(links: DataFrame) -> tuple[DataFrame, DataFrame]:

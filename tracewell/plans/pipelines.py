@@ -58,6 +58,26 @@ def discovered_to_files(
     files_to_files(spark, discovery.dataset_location(spark, root, dataset), dest, pipeline_id, as_of)
 
 
+def register_discovered(
+    spark: SparkSession, root: str, store: str, namespace: str, log_root: str, kind: EntryKind
+) -> discovery.Crawl:
+    """Crawl a storage root and register what changed: external tables, and entries of datasets.
+
+    Tables of changed datasets get the columns that their files have now, those of datasets
+    that are gone are dropped; files are never touched. An entry that is there stays as it is.
+    """
+    found = discovery.crawl(spark, root, store)
+    for dataset, location in found.changed:
+        tables.replace_external(spark, f"{namespace}.`{dataset}`", location)
+    for dataset, _ in found.removed:
+        spark.sql(f"DROP TABLE IF EXISTS {namespace}.`{dataset}`")
+    if found.changed:
+        paths = [(f"{namespace}.{dataset}", namespace, location, dataset) for dataset, location in found.changed]
+        schema = "entry_id string, namespace string, path string, display_name string"
+        register_paths(spark.createDataFrame(paths, schema), kind, log_root)
+    return found
+
+
 @dataclass(frozen=True)
 class Job:
     """What a pipeline says about itself in the lineage log."""
@@ -88,12 +108,19 @@ def _job_row(spark: SparkSession, job: Job, **paths: str) -> DataFrame:
     return spark.createDataFrame([(*fixed.values(), now, properties)], schema)
 
 
-def append_jobs(jobs: DataFrame, log_root: str) -> None:
-    """Append process, run and event records of jobs with declared links."""
-    log.append_records(record.process_records(jobs), log_root, "processes")
-    log.append_records(record.run_records(jobs), log_root, "runs")
-    log.append_records(record.event_records(jobs), log_root, "events")
-    log.append_records(record.link_records(jobs), log_root, "links")
+def job_records(jobs: DataFrame) -> dict[str, DataFrame]:
+    """Process, run, event and link records of jobs with declared links."""
+    return {
+        "processes": record.process_records(jobs),
+        "runs": record.run_records(jobs),
+        "events": record.event_records(jobs),
+        "links": record.link_records(jobs),
+    }
+
+
+def append_jobs(jobs: DataFrame, log_root: str, token: str | None = None) -> int:
+    """Append the records of jobs with declared links as one commit; a token counts once."""
+    return log.append(log_root, job_records(jobs), token)
 
 
 def copy_links(jobs: DataFrame) -> DataFrame:
@@ -139,12 +166,13 @@ class EntryKind:
     aspect_type: str
 
 
-def register_paths(paths: DataFrame, kind: EntryKind, log_root: str) -> None:
-    """Create catalog entries for paths that have none yet."""
-    spark = paths.sparkSession
-    wanted = record.entry_records(paths, kind.entry_type, kind.aspect, kind.aspect_type)
-    wanted = record.missing_entries(wanted, log.read_log(spark, log_root).entries)
-    log.append_records(wanted, log_root, "entries")
+def path_entries(paths: DataFrame, kind: EntryKind) -> DataFrame:
+    return record.entry_records(paths, kind.entry_type, kind.aspect, kind.aspect_type)
+
+
+def register_paths(paths: DataFrame, kind: EntryKind, log_root: str, token: str | None = None) -> int:
+    """Create catalog entries for paths that have none yet, whoever else registers at the same time."""
+    return log.append(log_root, {"entries": path_entries(paths, kind)}, token)
 
 
 def files_with_lineage(
@@ -168,9 +196,8 @@ def files_with_lineage(
             ],
             "entry_id string, namespace string, path string, display_name string",
         )
-        register_paths(entries, kind, job.log_root)
         row = _job_row(spark, job, namespace=namespace, source_path=source, dest_path=dest)
-        append_jobs(copy_links(row), job.log_root)
+        log.append(job.log_root, {**job_records(copy_links(row)), "entries": path_entries(entries, kind)})
 
     return record.best_effort(emit)
 

@@ -69,6 +69,12 @@ def register_external(spark: SparkSession, name: str, location: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION {_quoted(location)}")
 
 
+def replace_external(spark: SparkSession, name: str, location: str) -> None:
+    """As `register_external`, with the columns that the files have now; no file is touched."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    register_external(spark, name, location)
+
+
 def _quoted(text: str) -> str:
     """As a literal of SQL."""
     escaped = text.replace("\\", "\\\\").replace("'", "\\'")

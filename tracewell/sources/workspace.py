@@ -52,6 +52,36 @@ def make_dirs(spark: SparkSession, path: str) -> None:
     store.mkdirs(at)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it is not there."""
+    store, at = _file_system(spark, path)
+    return [status.getPath().getName() for status in store.listStatus(at)] if store.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    store, at = _file_system(spark, path)
+    stream = store.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new file; its folders are made."""
+    store, at = _file_system(spark, path)
+    stream = store.create(at, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def rename(spark: SparkSession, source: str, target: str) -> bool:
+    store, at = _file_system(spark, source)
+    return store.rename(at, spark._jvm.org.apache.hadoop.fs.Path(target))
+
+
 def move(spark: SparkSession, source: str, target: str) -> None:
     """Rename a directory of one store; the target must not be there."""
     store, at = _file_system(spark, source)

@@ -204,14 +204,18 @@ def derive_log(spark: SparkSession, sf_dir: str) -> LineageLog:
     )
 
 
-def stored_log(spark: SparkSession, sf_dir: str) -> LineageLog:
-    """The derived log, recorded once per application and read from there."""
+def stored_root(spark: SparkSession, sf_dir: str) -> str:
+    """Where the derived log is, recorded once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
         root = fresh_path(spark, "log")
         append_log(derive_log(spark, sf_dir), root)
         _stored[key] = root
-    return read_log(spark, _stored[key])
+    return _stored[key]
+
+
+def stored_log(spark: SparkSession, sf_dir: str) -> LineageLog:
+    return read_log(spark, stored_root(spark, sf_dir))
 
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,6 +153,37 @@ page_job AS (
 )"""
 
 
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+)
+
+_NAMES = """
+SELECT location, 'process' AS kind, process AS name FROM lin_process
+UNION ALL
+SELECT location, 'run', run FROM lin_run
+UNION ALL
+SELECT location, 'event', event FROM lin_event
+UNION ALL
+SELECT e.location, 'link', e.event FROM lin_link l JOIN lin_event e ON l.record = e.record"""
+
+_CHAIN = f"""WITH {PAGE}
+SELECT process || '/runs/' || md5('Page run') || '/lineageEvents/'
+       || md5(concat_ws(chr(10), level, source_fqn, target_fqn)) AS event,
+       process || '/runs/' || md5('Page run') AS run, process, 'COMPLETED' AS state, 0 AS link_pos,
+       source_fqn, target_fqn, level
+FROM (
+    SELECT process, 0 AS link_pos, 'gcs:' || replace(replace(stripped, 'gs://', ''), '/', '.') AS source_fqn,
+           'bigquery:demo.pages.step1_' || CAST(page_id AS VARCHAR) AS target_fqn, 'table' AS level FROM page_job
+    UNION ALL
+    SELECT process, 1, 'bigquery:demo.pages.step1_' || CAST(page_id AS VARCHAR),
+           'bigquery:demo.pages.step2_' || CAST(page_id AS VARCHAR), 'table' FROM page_job
+    UNION ALL
+    SELECT process, 2, 'bigquery:demo.pages.step1_' || CAST(page_id AS VARCHAR) || '.pipeline_id',
+           'bigquery:demo.pages.step2_' || CAST(page_id AS VARCHAR) || '.processing_step', 'column' FROM page_job
+) declared"""
+
+
 ORACLE: dict[str, str] = {
     "edges_per_batch": _first_seen("process, source_fqn, target_fqn"),
     "edges_first_seen": _first_seen("source_fqn, target_fqn"),
@@ -227,6 +258,25 @@ WHERE NOT EXISTS (SELECT 1 FROM lin_process p WHERE p.process = r.process AND p.
 UNION ALL
 SELECT e.location, 'link', e.event FROM lin_link l JOIN lin_event e ON l.record = e.record
 WHERE NOT EXISTS (SELECT 1 FROM lin_process p WHERE p.process = e.process AND p.location = 'us-east1')"""),
+    "log_before_purge": _on_log(_NAMES),
+    "compacted_log": _on_log(
+        _NAMES
+        + """
+UNION ALL
+SELECT e.location, 'link', e.event FROM lin_link l JOIN lin_event e ON l.record = e.record
+WHERE e.location = 'us-east1'"""
+    ),
+    "concurrent_entries": """
+SELECT 'part-' || CAST(p_partkey AS VARCHAR) AS entry_id, CAST(1 AS BIGINT) AS entries,
+       'custom:demo.bkt.parts.' || CAST(p_partkey AS VARCHAR) AS fqn, p_name AS name
+FROM part""",
+    "registered_datasets": f"""
+WITH c AS (
+    SELECT table_name AS dataset, CAST(count(*) AS BIGINT) AS columns FROM information_schema.columns
+    WHERE table_name IN ({", ".join(f"'{name}'" for name in TABLES)}) GROUP BY table_name
+),
+r AS ({" UNION ALL ".join(f"SELECT '{name}' AS dataset, count(*) AS rows FROM {name}" for name in TABLES)})
+SELECT dataset, rows, columns, CAST(1 AS BIGINT) AS entries FROM r JOIN c USING (dataset)""",
     "purge_counts": _on_log("""
 SELECT location, 'process' AS kind, count(*) AS records FROM lin_process GROUP BY location
 UNION ALL
@@ -293,20 +343,8 @@ FROM supplier s CROSS JOIN (VALUES ('app', 2), ('other', 1)) AS apps(app_name, n
     "failed_lineage": """
 SELECT *, CAST('2026-01-01 00:00:00' AS TIMESTAMP) AS processed_timestamp, 'copy' AS pipeline_id, false AS recorded
 FROM customer""",
-    "declared_chain": f"""WITH {PAGE}
-SELECT process || '/runs/' || md5('Page run') || '/lineageEvents/' || CAST(link_pos AS VARCHAR) AS event,
-       process || '/runs/' || md5('Page run') AS run, process, 'COMPLETED' AS state, 0 AS link_pos,
-       source_fqn, target_fqn, level
-FROM (
-    SELECT process, 0 AS link_pos, 'gcs:' || replace(replace(stripped, 'gs://', ''), '/', '.') AS source_fqn,
-           'bigquery:demo.pages.step1_' || CAST(page_id AS VARCHAR) AS target_fqn, 'table' AS level FROM page_job
-    UNION ALL
-    SELECT process, 1, 'bigquery:demo.pages.step1_' || CAST(page_id AS VARCHAR),
-           'bigquery:demo.pages.step2_' || CAST(page_id AS VARCHAR), 'table' FROM page_job
-    UNION ALL
-    SELECT process, 2, 'bigquery:demo.pages.step1_' || CAST(page_id AS VARCHAR) || '.pipeline_id',
-           'bigquery:demo.pages.step2_' || CAST(page_id AS VARCHAR) || '.processing_step', 'column' FROM page_job
-) declared""",
+    "declared_chain": _CHAIN,
+    "delivered_in_parts": _CHAIN,
     "registered_copies": f"""WITH {PAGE},
 copied AS (
     SELECT *, 'custom:pages.' || replace(replace(stripped, 'gs://', ''), '/', '.') AS source_fqn,

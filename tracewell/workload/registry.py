@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +25,10 @@ from tracewell.functions import (
 from tracewell.operators import audit, graph, identity, inspect, links, record
 from tracewell.operators.stamp import stamp_pipeline
 from tracewell.plans import pipelines
-from tracewell.sources import discovery, tables
-from tracewell.sources.log import LineageLog, append_records, create_log, read_log
+from tracewell.sources import commits, discovery, tables
+from tracewell.sources.log import LineageLog, append, append_records, compact, create_log, read_log
 from tracewell.sources.workspace import fresh_path
-from tracewell.workload.derived_log import PROJECT, batches, dataset_fqn, stored_log, table
+from tracewell.workload.derived_log import PROJECT, batches, dataset_fqn, stored_log, stored_root, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -273,8 +274,7 @@ def _emitted(spark: SparkSession, rows: DataFrame) -> LineageLog:
     root = fresh_path(spark, "emitted")
     create_log(spark, root)
     events, declared = record.events_from_links(rows)
-    append_records(events, root, "events")
-    append_records(declared, root, "links")
+    append(root, {"events": events, "links": declared})
     return read_log(spark, root)
 
 
@@ -335,6 +335,65 @@ def declared_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.declared_links(log.links).join(context, "event")
 
 
+def delivered_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two-step jobs whose links come in overlapping deliveries, some of them twice."""
+    root = fresh_path(spark, "parts")
+    jobs = pipelines.two_step_links(_page_jobs(spark, sf_dir))
+    parts = [jobs.withColumn("links", F.slice("links", first, 2)) for first in (2, 1, 2)]
+    delivered = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    for _ in range(2):
+        pipelines.append_jobs(delivered, root, token="delivery")
+    log = read_log(spark, root)
+    context = inspect.events_in_context(log).select("event", "run", "process", "state")
+    return links.declared_links(log.links).join(context, "event")
+
+
+def concurrent_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of all parts, registered by three jobs at once, each part by two of them."""
+    root = fresh_path(spark, "shared-entries")
+    create_log(spark, root)
+    part = F.col("p_partkey").cast("string")
+    paths = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("part-"), part).alias("entry_id"),
+        F.lit("demo").alias("namespace"),
+        F.concat(F.lit("gs://bkt/parts/"), part).alias("path"),
+        F.col("p_name").alias("display_name"),
+        "p_partkey",
+    )
+    kind = pipelines.EntryKind("part-entry", "part-aspect", "part-aspect-type")
+
+    def register(job: int) -> int:
+        wanted = paths.where(F.col("p_partkey") % 3 != job).drop("p_partkey")
+        return pipelines.register_paths(wanted, kind, root)
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(register, range(3)))
+    return read_log(spark, root).entries.groupBy("entry_id").agg(
+        F.count(F.lit(1)).alias("entries"), F.min("fqn").alias("fqn"), F.min("entry_source.display_name").alias("name")
+    )
+
+
+def registered_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets below the root, crawled and registered twice: rows, columns and entries of their tables."""
+    namespace, location = fresh_namespace(spark)
+    root = f"{location}-log"
+    kind = pipelines.EntryKind("dataset-entry", "dataset-aspect", "dataset-aspect-type")
+    first, second = [
+        pipelines.register_discovered(spark, sf_dir, f"{location}-crawls", namespace, root, kind) for _ in range(2)
+    ]
+    if second.changed:
+        raise RuntimeError(f"read again though nothing changed: {second.changed}")
+    entries = read_log(spark, root).entries.groupBy(F.col("entry_source.display_name").alias("dataset"))
+    columns = second.columns(spark).groupBy("dataset").agg(F.count(F.lit(1)).alias("columns"))
+    rows = None
+    for dataset, _ in first.changed:
+        name = F.lit(dataset).alias("dataset")
+        one = tables.read_table(spark, f"{namespace}.`{dataset}`").select(name).groupBy("dataset")
+        one = one.agg(F.count(F.lit(1)).alias("rows"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.join(columns, "dataset").join(entries.agg(F.count(F.lit(1)).alias("entries")), "dataset")
+
+
 def registered_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table-level links of many copy jobs, with the catalog entries of both ends."""
     root = fresh_path(spark, "copies")
@@ -453,10 +512,8 @@ def edge_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.edge_visibility(stored_log(spark, sf_dir))
 
 
-def purge_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = fresh_path(spark, "purged")
-    audit.purge_to(stored_log(spark, sf_dir), root, PURGED)
-    log = read_log(spark, root)
+def _names(log: LineageLog) -> DataFrame:
+    """(location, kind, name) of all records but entries."""
     records = [
         records.select("location", F.lit(kind).alias("kind"), "name")
         for kind, records in (("process", log.processes), ("run", log.runs), ("event", log.events))
@@ -465,6 +522,36 @@ def purge_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records[0].unionByName(records[1]).unionByName(records[2]).unionByName(left)
 
 
+def _cloned(spark: SparkSession, sf_dir: str, label: str) -> str:
+    """A log of its own that begins as the derived one, sharing its files."""
+    root = fresh_path(spark, label)
+    commits.clone(spark, stored_root(spark, sf_dir), root)
+    return root
+
+
+def purge_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _cloned(spark, sf_dir, "purged")
+    audit.purge_log(spark, root, PURGED)
+    return _names(read_log(spark, root))
+
+
+def log_before_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as it was before it was purged, read back after that."""
+    root = _cloned(spark, sf_dir, "earlier")
+    number = audit.purge_log(spark, root, PURGED).commit
+    return _names(read_log(spark, root, number - 1))
+
+
+def compacted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with its small files packed, one location of its links appended once more before."""
+    root = _cloned(spark, sf_dir, "compacted")
+    again = read_log(spark, root).only(PURGED)
+    append(root, {"links": again.links}, token="again")
+    append(root, {"links": again.links}, token="again")
+    compact(spark, root)
+    return _names(read_log(spark, root))
+
+
 def purge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.purge_counts(stored_log(spark, sf_dir))
 
@@ -499,6 +586,11 @@ QUERIES: dict[str, Query] = {
     "edge_visibility": edge_visibility,
     "purge_survivors": purge_survivors,
     "purge_counts": purge_counts,
+    "log_before_purge": log_before_purge,
+    "compacted_log": compacted_log,
+    "delivered_in_parts": delivered_in_parts,
+    "concurrent_entries": concurrent_entries,
+    "registered_datasets": registered_datasets,
     "graph_nodes": graph_nodes,
     "graph_edges": graph_edges,
     "reach": reach,
