@@ -85,7 +85,11 @@ def test_estimates_are_never_below_the_count(row):
     twice = np.concatenate((hashes, hashes[:500]))
     merged = []
     for part in (twice[:2300], twice[2300:]):
-        once, more = s.counted(*np.unique(part, return_counts=True), row, 16)
+        found, counts = np.unique(part, return_counts=True)
+        once, more = s.counted(found, counts > 1, row, 16)
+        at = np.sort(np.repeat(s._counter(found, row, 16), counts))
+        assert once.tolist() == sorted(set(at.tolist()))
+        assert more.tolist() == sorted(set(at[1:][at[1:] == at[:-1]].tolist()))
         assert (np.diff(once) > 0).all() and np.isin(more, once).all()
         merged.append([s._unpacked(s._packed(at), 1 << 13) for at in (once, more)])
     more = merged[0][1] | merged[1][1] | (merged[0][0] & merged[1][0])

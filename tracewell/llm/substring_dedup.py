@@ -45,7 +45,7 @@ ROWS, SKETCH_BITS = 2, 28
 #: Counters per row for each window there may be.
 COUNTERS_PER_WINDOW = 2
 #: Slices of a row that are merged apart, and windows of a part that a task sends to them.
-SLICES, PART_WINDOWS = 64, 1 << 21
+SLICES, PART_WINDOWS = 64, 3 << 19
 #: Classes of copies that are known to all tasks, 24 bytes each.
 COPY_CLASSES = 1 << 17
 #: Recurring windows whose smallest key a task keeps; beyond them it starts afresh, which costs rows only.
@@ -91,15 +91,19 @@ def _unpacked(data: bytes, size: int) -> np.ndarray:
     return bitmap
 
 
-def counted(hashes: np.ndarray, counts: np.ndarray, row: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The counters that some windows reach, and those that count more than one."""
-    at = _counter(hashes, row, bits)
-    if row:
-        order = np.argsort(at)
-        at, counts = at[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
-    totals = np.add.reduceat(counts, first) if len(first) else counts
-    return at[first], at[first[totals > 1]]
+def counted(hashes: np.ndarray, several: np.ndarray, row: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counters that some windows reach, and those that count more than one; `several` says which windows do."""
+    at = (_counter(hashes, row, bits) << 1) | several
+    at.sort()
+    several = (at & 1).astype(bool)
+    at >>= 1
+    first = np.ones(len(at), bool)
+    first[1:] = at[1:] != at[:-1]
+    # Of equal counters the windows that count several come last.
+    last = np.append(first[1:], True)
+    more = several[last] | ~first[last]
+    once = at[first]
+    return once, once[more]
 
 
 # Copies of whole texts
@@ -165,9 +169,15 @@ def _sketched(n: int, bits: int, known: Copies):
     slot_bits = bits - SLICES.bit_length() + 1
 
     def part(hashes: list[np.ndarray]) -> Batches:
-        found, counts = np.unique(np.concatenate(hashes), return_counts=True)
+        found = np.concatenate(hashes)
+        hashes.clear()
+        found.sort()
+        new = np.ones(len(found), bool)
+        new[1:] = found[1:] != found[:-1]
+        several = ~np.append(new[1:], True)[new]
+        found = found[new]
         for row in range(ROWS):
-            once, more = counted(found, counts, row, bits)
+            once, more = counted(found, several, row, bits)
             edges = np.arange(SLICES + 1) << slot_bits
             once_at, more_at = np.searchsorted(once, edges), np.searchsorted(more, edges)
             columns = [], [], []
