@@ -92,3 +92,41 @@ def test_reach_against_brute_force(spark):
                 queue.append(target)
     got = rows(graph.reach(edges(spark, pairs), nodes(spark, *starts)), "node", "depth")
     assert got == sorted(depth.items(), key=repr)
+
+
+def shortest(pairs, starts):
+    depth, queue = dict.fromkeys(starts, 0), list(starts)
+    while queue:
+        node = queue.pop(0)
+        for source, target in pairs:
+            if source == node and target not in depth:
+                depth[target] = depth[node] + 1
+                queue.append(target)
+    before = {}
+    for source, target in pairs:
+        if depth.get(target) == depth.get(source, -9) + 1:
+            before[target] = min(source, before.get(target, source))
+    return sorted(((n, d, before.get(n)) for n, d in depth.items()), key=repr)
+
+
+@pytest.mark.parametrize("upstream", [False, True])
+@pytest.mark.parametrize("seed, nodes_, n", [(3, 60, 90), (4, 200, 190), (5, 12, 40)])
+def test_paths_against_brute_force(spark, upstream, seed, nodes_, n):
+    """Sparse graphs have long stretches, self-links and circles, some of them with a start inside."""
+    random.seed(seed)
+    pairs = sorted({(f"n{random.randint(0, nodes_)}", f"n{random.randint(0, nodes_)}") for _ in range(n)})
+    pairs += [("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("d1", "d2"), ("d2", "d1"), ("n1", "d1"), ("z", "z")]
+    starts = ["n1", "n2", "c2", "nowhere"]
+    got = rows(graph.reach_paths(edges(spark, pairs), nodes(spark, *starts), upstream), "node", "depth", "predecessor")
+    turned = [(b, a) for a, b in pairs] if upstream else pairs
+    assert got == shortest(turned, starts)
+
+
+def test_a_chain_of_a_thousand_hops_takes_few_rounds(spark, monkeypatch):
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(1000)] + [("n400", "n700"), ("n1000", "n400")]
+    written = []
+    real = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, label: written.append(label) or real(df, label))
+    got = rows(graph.reach_paths(edges(spark, pairs), nodes(spark, "n0")), "node", "depth", "predecessor")
+    assert got == shortest(pairs, ["n0"])
+    assert written.count("jumps") <= 24 and written.count("frontier") <= 8

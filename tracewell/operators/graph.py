@@ -99,3 +99,83 @@ def _rounds(hops: DataFrame, starts: DataFrame) -> DataFrame:
         if depth % COMPACT_EVERY == 0:
             seen = materialise(seen, "seen")
     return seen
+
+
+def reach_paths(edges: DataFrame, starts: DataFrame | None = None, upstream: bool = False) -> DataFrame:
+    """Nodes reachable from `starts` with their least number of hops and the node before them on such a way.
+
+    `predecessor` is null for starts; of several nodes that may come before one, it is that with
+    the least name, so following predecessors gives one shortest path. With `upstream` edges are
+    walked backwards, from what is read to what it is made of. Without `starts` the walk begins
+    where `reach` begins, upstream at all nodes that edges enter but none leaves.
+
+    Stretches of nodes with one edge in and one out are jumped over: pointers along them are doubled
+    until they reach their ends, so rounds are about the logarithm of the longest stretch and the
+    number of branchings on the longest way. All rounds lie in the shared folder.
+    """
+    ends = [F.col("target_fqn"), F.col("source_fqn")] if upstream else [F.col("source_fqn"), F.col("target_fqn")]
+    hops = materialise(edges.select(ends[0].alias("a"), ends[1].alias("b")).distinct(), "hops")
+    if starts is None and upstream:
+        starts = hops.select(F.col("a").alias("node")).distinct().join(hops.selectExpr("b AS node"), "node", "left_anti")
+    elif starts is None:
+        starts = storage_roots(edges)
+    starts = materialise(starts.select("node").distinct(), "starts")
+
+    inner = _inner_nodes(hops, starts)
+    onward = _jumps(hops.join(inner.selectExpr("node AS a"), "a", "left_semi").selectExpr("a AS node", "b AS at"), inner)
+    back = _jumps(hops.join(inner.selectExpr("node AS b"), "b", "left_semi").selectExpr("b AS node", "a AS at"), inner)
+    leaving = hops.join(inner.selectExpr("node AS a"), "a", "left_anti")
+    over = leaving.join(onward.selectExpr("node AS b", "at", "hops"), "b", "left")
+    ways = over.select("a", F.coalesce("at", "b").alias("b"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops"))
+    ways = materialise(ways.groupBy("a", "b").agg(F.min("hops").alias("hops")), "ways")
+
+    depths = _least_depths(ways, starts)
+    along = back.join(depths.selectExpr("node AS at", "depth"), "at").select("node", (F.col("depth") + F.col("hops")).alias("depth"))
+    # Onward jumps that end nowhere stand for inner nodes all the same: they have a way in.
+    found = materialise(depths.unionByName(along), "depths")
+    before = hops.join(found.selectExpr("node AS a", "depth AS a_depth"), "a").join(found.selectExpr("node AS b", "depth"), "b")
+    before = before.where("a_depth + 1 = depth").groupBy("b").agg(F.min("a").alias("predecessor"))
+    return found.join(before.withColumnRenamed("b", "node"), "node", "left").select("node", "depth", "predecessor")
+
+
+def _inner_nodes(hops: DataFrame, starts: DataFrame) -> DataFrame:
+    """Nodes with one edge in and one out, from and to other nodes, that no walk starts from."""
+    ways_in = hops.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("ins"), F.min("a").alias("from"))
+    ways_out = hops.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("outs"))
+    found = ways_in.join(ways_out, "node").where("ins = 1 AND outs = 1 AND `from` <> node")
+    return materialise(found.select("node").join(starts, "node", "left_anti"), "inner")
+
+
+def _jumps(pointers: DataFrame, inner: DataFrame) -> DataFrame:
+    """(node, at, hops): for each inner node the first node along its pointers that is none, if there is one."""
+    ahead = pointers.join(inner.select(F.col("node").alias("at"), F.lit(True).alias("on")), "at", "left")
+    ahead = materialise(ahead.select("node", "at", F.lit(1).alias("hops"), F.coalesce("on", F.lit(False)).alias("on")), "jumps")
+    left = ahead.where("on").count()
+    while left:
+        # A pointer to an inner node takes over where that one's pointer leads.
+        further = ahead.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("hops").alias("more"), F.col("on").alias("still"))
+        on = ahead.where("on").drop("on").join(further, "at").selectExpr("node", "to AS at", "hops + more AS hops", "still AS on")
+        ahead = materialise(ahead.where("NOT on").unionByName(on), "jumps")
+        still = ahead.where("on").count()
+        if still == left:
+            # What is left runs in circles that nothing enters.
+            break
+        left = still
+    return ahead.where("NOT on").drop("on")
+
+
+def _least_depths(ways: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, depth) over ways of several hops: a node is taken up again where a shorter way to it is found."""
+    depths = frontier = materialise(starts.withColumn("depth", F.lit(0)), "depths")
+    while not frontier.isEmpty():
+        reached = frontier.join(ways, F.col("node") == F.col("a")).select(
+            F.col("b").alias("node"), (F.col("depth") + F.col("hops")).alias("depth")
+        )
+        nearest = reached.groupBy("node").agg(F.min("depth").alias("depth"))
+        known = depths.select("node", F.col("depth").alias("known"))
+        better = nearest.join(known, "node", "left").where("known IS NULL OR depth < known").select("node", "depth")
+        frontier = materialise(better, "frontier")
+        depths = materialise(
+            depths.unionByName(frontier).groupBy("node").agg(F.min("depth").alias("depth")), "depths"
+        )
+    return depths

@@ -184,6 +184,31 @@ FROM (
 ) declared"""
 
 
+def _paths(start: str, of: str, to: str) -> str:
+    """Least depth and least predecessor of all nodes reached along edges from column `of` to column `to`."""
+    return (
+        _on_log(f"""
+, edge AS (
+    SELECT DISTINCT {of} AS a, {to} AS b FROM lin_link
+    WHERE level = 'table' AND source_fqn IS NOT NULL AND source_fqn <> target_fqn
+),
+walk(node, depth) USING KEY (node) AS (
+    SELECT DISTINCT node, 0 FROM ({start})
+    UNION
+    SELECT b, min(walk.depth + 1) FROM walk JOIN edge ON walk.node = a
+    WHERE b NOT IN (SELECT node FROM recurring.walk)
+    GROUP BY b
+),
+before AS (
+    SELECT b, min(a) AS predecessor FROM edge JOIN walk AS x ON x.node = a JOIN walk AS y ON y.node = b
+    WHERE x.depth + 1 = y.depth GROUP BY b
+)
+SELECT node, depth, predecessor FROM walk LEFT JOIN before ON b = node""")
+        .replace("\n\n,", ",")
+        .replace("WITH", "WITH RECURSIVE", 1)
+    )
+
+
 ORACLE: dict[str, str] = {
     "edges_per_batch": _first_seen("process, source_fqn, target_fqn"),
     "edges_first_seen": _first_seen("source_fqn, target_fqn"),
@@ -318,6 +343,12 @@ walk(node, depth) USING KEY (node) AS (
 SELECT node, depth FROM walk""")
     .replace("\n\n,", ",")
     .replace("WITH", "WITH RECURSIVE", 1),
+    "reach_paths": _paths(
+        "SELECT a AS node FROM edge WHERE a LIKE 'gcs:%' AND a NOT IN (SELECT b FROM edge)", "source_fqn", "target_fqn"
+    ),
+    "reach_upstream": _paths(
+        "SELECT a AS node FROM edge WHERE a LIKE 'bigquery:demo.report.%'", "target_fqn", "source_fqn"
+    ),
     "emit_links": _on_log("""
 SELECT DISTINCT l.event, link_pos, source_fqn, target_fqn, level, e.end_time
 FROM lin_link l JOIN lin_event e ON l.record = e.record"""),

@@ -568,6 +568,17 @@ def reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reach(links.table_edges(stored_log(spark, sf_dir).links))
 
 
+def reach_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reach_paths(links.table_edges(stored_log(spark, sf_dir).links))
+
+
+def reach_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the reports are made of, over all hops."""
+    edges = links.table_edges(stored_log(spark, sf_dir).links)
+    reports = edges.select(F.col("target_fqn").alias("node")).where(F.col("node").startswith("bigquery:demo.report."))
+    return graph.reach_paths(edges, reports, upstream=True)
+
+
 QUERIES: dict[str, Query] = {
     "edges_per_batch": edges_per_batch,
     "edges_first_seen": edges_first_seen,
@@ -594,6 +605,8 @@ QUERIES: dict[str, Query] = {
     "graph_nodes": graph_nodes,
     "graph_edges": graph_edges,
     "reach": reach,
+    "reach_paths": reach_paths,
+    "reach_upstream": reach_upstream,
     "emit_links": emit_links,
     "large_events": large_events,
     "files_lineage": files_lineage,
