@@ -336,3 +336,24 @@ def test_tables_of_an_external_connector(spark, path):
     )
     got = tables.read_table(spark, path("out"), "foldertables")
     assert rows(got, "id", "name") == [(1, "p0"), (2, "p0")]
+
+
+def test_runs_by_id_replace_themselves(spark, source, namespace, path):
+    steps, count = chain(namespace, path), tables.read_dir(spark, source).count()
+    as_of = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+
+    def counts(name):
+        rows = spark.table(steps.table(name)).groupBy("run_id").count().collect()
+        return {row.run_id: row["count"] for row in rows}
+
+    # One clock for all runs, and each run given twice.
+    for run in ("a", "b", "a", "b"):
+        pipelines.two_step(spark, source, steps, as_of=as_of, run_id=run)
+    assert counts(steps.table_1) == counts(steps.table_2) == {"a": count, "b": count}
+    assert "processing_step" in spark.table(steps.table(steps.table_2)).columns
+    one = spark.table(steps.table(steps.table_1)).where("run_id = 'a'")
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    # The condition is met by the choice of files alone.
+    assert one.count() == count and "Filter" not in one._jdf.queryExecution().executedPlan().toString().split("FileScan")[0], plan
+    with pytest.raises(ValueError):
+        pipelines.two_step(spark, source, steps, run_id="c", incremental=True)

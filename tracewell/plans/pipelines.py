@@ -252,6 +252,7 @@ def two_step(
     properties: dict[str, str] | None = None,
     as_of: Clock = None,
     incremental: bool = False,
+    run_id: str | None = None,
 ) -> Emission | None:
     """Files to table 1, table 1 to table 2, then declared table and column lineage.
 
@@ -259,10 +260,19 @@ def two_step(
     N rows table 1 has k N rows and table 2 has N k (k + 1) / 2. With
     `incremental` the second step takes only the rows of this run, which must
     then have a time of its own.
+
+    With a `run_id` both tables are partitioned by it. The second step reads the partition
+    of this run only, and a run that is repeated replaces its own rows, so both tables have
+    N rows per run, whatever the clock said.
     """
+    if run_id is not None and incremental:
+        raise ValueError("a run is told by its run_id or by its time, not by both")
     if incremental:
         as_of = _moment(spark, as_of)
     tables.ensure_namespace(spark, chain.namespace_name(), chain.location, properties)
+    if run_id is not None:
+        _two_steps_of_run(spark, source, chain, as_of, run_id)
+        return None if job is None else _record_two_step(spark, source, chain, job)
 
     first = stamp_ingestion(tables.read_dir(spark, source), chain.pipeline_id, as_of)
     _create_and_append(first, chain.table(chain.table_1), chain.provider)
@@ -273,9 +283,10 @@ def two_step(
     second = stamp_step(ingested, chain.step, as_of)
     _create_and_append(second, chain.table(chain.table_2), chain.provider)
 
-    if job is None:
-        return None
+    return None if job is None else _record_two_step(spark, source, chain, job)
+
 
+def _record_two_step(spark: SparkSession, source: str, chain: Chain, job: Job) -> Emission:
     def emit() -> None:
         row = _job_row(
             spark,
@@ -290,6 +301,21 @@ def two_step(
     return record.best_effort(emit)
 
 
+RUN_ID = "run_id"
+
+
+def _two_steps_of_run(spark: SparkSession, source: str, chain: Chain, as_of: Clock, run_id: str) -> None:
+    first = stamp_ingestion(tables.read_dir(spark, source), chain.pipeline_id, as_of)
+    first = first.withColumn(RUN_ID, F.lit(run_id))
+    tables.ensure_table(first, chain.table(chain.table_1), chain.provider, RUN_ID)
+    tables.replace_partition(first, chain.table(chain.table_1), RUN_ID, run_id)
+
+    ingested = tables.read_table(spark, chain.table(chain.table_1)).where(F.col(RUN_ID) == run_id)
+    second = stamp_step(ingested, chain.step, as_of)
+    tables.ensure_table(second, chain.table(chain.table_2), chain.provider, RUN_ID)
+    tables.replace_partition(second, chain.table(chain.table_2), RUN_ID, run_id)
+
+
 def _moment(spark: SparkSession, clock: Clock) -> datetime:
     """One time for both steps, whatever the clock would say later."""
     if isinstance(clock, Column):

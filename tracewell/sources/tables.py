@@ -11,6 +11,7 @@ import re
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_CATALOG = "spark_catalog"
 
@@ -104,10 +105,24 @@ def ensure_namespace(
     spark.sql(statement)
 
 
-def ensure_table(df: DataFrame, name: str, provider: str = "parquet") -> None:
+def ensure_table(df: DataFrame, name: str, provider: str = "parquet", partitioned_by: str | None = None) -> None:
     """Create the table from the schema of `df`; an existing table stays as it is."""
     ddl = df.schema.toDDL()
-    df.sparkSession.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING {provider}")
+    parts = f" PARTITIONED BY (`{partitioned_by}`)" if partitioned_by else ""
+    df.sparkSession.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING {provider}{parts}")
+
+
+def replace_partition(df: DataFrame, name: str, column: str, value: str) -> None:
+    """Replace one partition of a table by the rows of `df`, other columns by name; other partitions stay."""
+    spark = df.sparkSession
+    if not _is_session_table(spark, name):
+        df.withColumn(column, F.lit(value)).writeTo(name).overwrite(F.col(column) == value)
+        return
+    # Inserted by position here.
+    columns = ", ".join(f"`{other}`" for other in spark.table(name).columns if other != column)
+    spark.sql(
+        f"INSERT OVERWRITE TABLE {name} PARTITION (`{column}` = {_quoted(value)}) SELECT {columns} FROM {{df}}", df=df
+    )
 
 
 def append_table(df: DataFrame, name: str) -> None:

@@ -430,4 +430,7 @@ WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders
                      'embeddings', 'pages', 'benchmark', 'labels', 'conversations')""",
     "two_step_append": _steps("(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3)"),
     "two_step_incremental": _steps("(1, 1), (2, 2), (3, 3)"),
+    "two_step_by_run": f"""
+SELECT *, CASE day(ingestion_timestamp) WHEN 1 THEN 'a' WHEN 2 THEN 'c' ELSE 'b' END AS run_id
+FROM ({_steps("(1, 1), (2, 2), (3, 3)")})""",
 }

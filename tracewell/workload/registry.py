@@ -132,6 +132,18 @@ def two_step_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _two_steps(spark, sf_dir, incremental=True)
 
 
+def two_step_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs, two of them with one clock, one of them repeated with another clock."""
+    location = fresh_path(spark, "chain")
+    namespace = "chain_" + location.rsplit("-", 1)[1]
+    chain = pipelines.Chain(
+        tables.SESSION_CATALOG, namespace, location, "step_1", "step_2", "chain_step_1", "chain_step_2"
+    )
+    for run, day in (("a", 1), ("b", 1), ("c", 2), ("b", 3)):
+        pipelines.two_step(spark, f"{sf_dir}/customer.parquet", chain, as_of=moment(day), run_id=run)
+    return tables.read_table(spark, chain.table(chain.table_2))
+
+
 # Pipelines with their lineage
 
 
@@ -627,6 +639,7 @@ QUERIES: dict[str, Query] = {
     "suffixed_destinations": suffixed_destinations,
     "two_step_append": two_step_append,
     "two_step_incremental": two_step_incremental,
+    "two_step_by_run": two_step_by_run,
     "discover_datasets": discover_datasets,
     "discover_columns": discover_columns,
 }
