@@ -40,8 +40,8 @@ from tracewell.llm.words import Splitter, Words, mix, odd_numbers
 from tracewell.sources.workspace import materialise
 
 WINDOW = 13
-#: Rows of counters, and the log of their number in a row, at most: 64 MB are broadcast then.
-ROWS, SKETCH_BITS = 2, 28
+#: Rows of counters, and the log of their number in a row, at most: 32 MB are broadcast then, to every worker.
+ROWS, SKETCH_BITS = 2, 27
 #: Counters per row for each window there may be.
 COUNTERS_PER_WINDOW = 2
 #: Slices of a row that are merged apart, and windows of a part that a task sends to them.
