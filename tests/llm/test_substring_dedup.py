@@ -73,7 +73,7 @@ def test_only_texts_that_lose_words_are_joined(spark, docs):
     texts = s.hashed(s.keyed_texts(docs, "doc_id", "text"), "key")
     lose = s.remove_repeated(docs).where("n_removed > 0 AND n_removed < n_words").select("doc_id")
     shared = spark.sparkContext.broadcast((None, s.key_filter(lose, "doc_id")))
-    kept = s.map_batches(texts, s._filtered(shared, True), "key long, text string")
+    kept = s.map_batches(texts, s._touched(shared), "key long, text string")
     assert lose.join(kept, lose.doc_id == kept.key, "left_anti").count() == 0
     assert lose.count() <= kept.count() < docs.count()
 

@@ -40,8 +40,8 @@ from tracewell.llm.words import Splitter, Words, mix, odd_numbers
 from tracewell.sources.workspace import materialise
 
 WINDOW = 13
-#: Rows of counters, and the log of their number in a row, at most: 32 MB are broadcast then, to every worker.
-ROWS, SKETCH_BITS = 2, 27
+#: Rows of counters, and the log of their number in a row, at most: 64 MB are broadcast then, to every worker.
+ROWS, SKETCH_BITS = 2, 28
 #: Counters per row for each window there may be.
 COUNTERS_PER_WINDOW = 2
 #: Slices of a row that are merged apart, and windows of a part that a task sends to them.
@@ -348,14 +348,31 @@ def _without(n: int, shared):
     return run
 
 
-def _filtered(shared, meet: bool):
-    """The rows that may lose words by windows of theirs, or the others."""
+def _may_lose(batch: pa.RecordBatch, shared) -> np.ndarray:
+    """Which texts may lose words by windows of theirs."""
+    return may_hold(shared.value[1], batch.column("hash")) & np.asarray(batch.column("key").is_valid())
+
+
+def _touched(shared):
+    """The rows that may lose words by windows of theirs."""
 
     def run(batches: Batches) -> Batches:
-        _, wanted = shared.value
         for batch in batches:
-            may = may_hold(wanted, batch.column("hash")) & np.asarray(batch.column("key").is_valid())
-            yield batch.select(["key", "text"]).filter(pa.array(may == meet))
+            yield batch.select(["key", "text"]).filter(pa.array(_may_lose(batch, shared)))
+
+    return run
+
+
+def _others(n: int, shared):
+    """The other rows, without the words they lose; in one step, so that a task needs one worker."""
+
+    def left(batches: Batches) -> Batches:
+        for batch in batches:
+            part = batch.select(["key", "text"]).filter(pa.array(~_may_lose(batch, shared)))
+            yield part.append_column("gone", pa.nulls(part.num_rows, pa.list_(pa.int64())))
+
+    def run(batches: Batches) -> Batches:
+        yield from _without(n, shared)(left(batches))
 
     return run
 
@@ -406,12 +423,11 @@ def remove_repeated(
     sets = materialise(sets, "windows")
     shared = df.sparkSession.sparkContext.broadcast((known, key_filter(sets, "key")))
     rows = hashed(texts, "key")
-    touched = map_batches(rows, _filtered(shared, True), "key long, text string").join(sets, "key", "left")
-    others = map_batches(rows, _filtered(shared, False), "key long, text string")
-    others = others.withColumn("gone", F.lit(None).cast("array<long>"))
     schema = "key long, kept string, n_words long, n_removed long"
-    parts = [map_batches(part.select("key", "text", "gone"), _without(n, shared), schema) for part in (touched, others)]
-    return parts[0].unionByName(parts[1]).withColumnRenamed("key", key)
+    touched = map_batches(rows, _touched(shared), "key long, text string").join(sets, "key", "left")
+    touched = map_batches(touched.select("key", "text", "gone"), _without(n, shared), schema)
+    others = map_batches(rows, _others(n, shared), schema)
+    return touched.unionByName(others).withColumnRenamed("key", key)
 
 
 def op6_countmin_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
