@@ -121,9 +121,9 @@ def reach_paths(edges: DataFrame, starts: DataFrame | None = None, upstream: boo
         starts = storage_roots(edges)
     starts = materialise(starts.select("node").distinct(), "starts")
 
-    inner = _inner_nodes(hops, starts)
-    onward = _jumps(hops.join(inner.selectExpr("node AS a"), "a", "left_semi").selectExpr("a AS node", "b AS at"), inner)
-    back = _jumps(hops.join(inner.selectExpr("node AS b"), "b", "left_semi").selectExpr("b AS node", "a AS at"), inner)
+    inner = inner_nodes(hops, starts)
+    onward = jumps(hops.join(inner.selectExpr("node AS a"), "a", "left_semi").selectExpr("a AS node", "b AS at"), inner)
+    back = jumps(hops.join(inner.selectExpr("node AS b"), "b", "left_semi").selectExpr("b AS node", "a AS at"), inner)
     leaving = hops.join(inner.selectExpr("node AS a"), "a", "left_anti")
     over = leaving.join(onward.selectExpr("node AS b", "at", "hops"), "b", "left")
     ways = over.select("a", F.coalesce("at", "b").alias("b"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops"))
@@ -138,7 +138,7 @@ def reach_paths(edges: DataFrame, starts: DataFrame | None = None, upstream: boo
     return found.join(before.withColumnRenamed("b", "node"), "node", "left").select("node", "depth", "predecessor")
 
 
-def _inner_nodes(hops: DataFrame, starts: DataFrame) -> DataFrame:
+def inner_nodes(hops: DataFrame, starts: DataFrame) -> DataFrame:
     """Nodes with one edge in and one out, from and to other nodes, that no walk starts from."""
     ways_in = hops.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("ins"), F.min("a").alias("from"))
     ways_out = hops.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("outs"))
@@ -146,7 +146,7 @@ def _inner_nodes(hops: DataFrame, starts: DataFrame) -> DataFrame:
     return materialise(found.select("node").join(starts, "node", "left_anti"), "inner")
 
 
-def _jumps(pointers: DataFrame, inner: DataFrame) -> DataFrame:
+def jumps(pointers: DataFrame, inner: DataFrame) -> DataFrame:
     """(node, at, hops): for each inner node the first node along its pointers that is none, if there is one."""
     ahead = pointers.join(inner.select(F.col("node").alias("at"), F.lit(True).alias("on")), "at", "left")
     ahead = materialise(ahead.select("node", "at", F.lit(1).alias("hops"), F.coalesce("on", F.lit(False)).alias("on")), "jumps")

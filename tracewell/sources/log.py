@@ -282,7 +282,7 @@ def compact(
     gone = [file.path for files in packed.values() for file in files]
     if sum(file.rows for file in written) != sum(before.files[path].rows for path in gone):
         raise RuntimeError(f"compaction of {root} would change its number of records")
-    number = commits.commit(spark, root, written, gone, token)
+    number = commits.commit(spark, root, written, gone, token, same=True)
     commits.write_snapshot(spark, root, commits.state(spark, root, number))
     return number
 
