@@ -288,13 +288,23 @@ def compact(
 
 
 def read_json_log(spark: SparkSession, root: str) -> LineageLog:
-    """A JSON export with one directory per record kind, times parsed once."""
-    location = F.substring_index(F.substring_index("name", "/", 4), "/", -1).alias("location")
+    """A JSON export with one directory per record kind and one record per line.
+
+    Damaged lines become records of nulls; `paged.py` reads exports that may be damaged.
+    """
 
     def lines(name: str, schema: str) -> DataFrame:
         return spark.read.schema(schema).json(f"{root}/{name}")
 
-    processes = lines("processes", PROCESS_JSON).select(
+    return log_of_records(
+        lines("processes", PROCESS_JSON), lines("runs", RUN_JSON), lines("events", EVENT_JSON), lines("entries", ENTRY_JSON)
+    )
+
+
+def log_of_records(processes: DataFrame, runs: DataFrame, events: DataFrame, entries: DataFrame) -> LineageLog:
+    """A log from records in the shapes of a JSON export, times parsed once."""
+    location = F.substring_index(F.substring_index("name", "/", 4), "/", -1).alias("location")
+    processes = processes.select(
         "name",
         F.col("displayName").alias("display_name"),
         "attributes",
@@ -304,7 +314,7 @@ def read_json_log(spark: SparkSession, root: str) -> LineageLog:
         ).alias("origin"),
         location,
     )
-    runs = lines("runs", RUN_JSON).select(
+    runs = runs.select(
         "name",
         F.col("displayName").alias("display_name"),
         instant(F.col("startTime")).alias("start_time"),
@@ -312,7 +322,7 @@ def read_json_log(spark: SparkSession, root: str) -> LineageLog:
         "state",
         location,
     )
-    timed = lines("events", EVENT_JSON).select(
+    timed = events.select(
         "name",
         instant(F.col("startTime")).alias("start_time"),
         instant(F.col("endTime")).alias("end_time"),
@@ -323,7 +333,7 @@ def read_json_log(spark: SparkSession, root: str) -> LineageLog:
     links = timed.select(
         F.col("name").alias("event"), "start_time", F.posexplode("links").alias("link_pos", "link"), "location"
     ).select("event", "start_time", "link_pos", *_stored_link(F.col("link")), "location")
-    entries = lines("entries", ENTRY_JSON).select(
+    entries = entries.select(
         F.col("entryId").alias("entry_id"),
         F.col("entryType").alias("entry_type"),
         F.col("fullyQualifiedName").alias("fqn"),

@@ -111,12 +111,12 @@ def _on_log(query: str) -> str:
     return f"WITH {LOG}\n{query}"
 
 
-def _first_seen(keys: str) -> str:
+def _first_seen(keys: str, moves: str = "lin_move") -> str:
     return _on_log(f"""
 SELECT process, run, event, source_fqn, target_fqn, {PATH.format("source_fqn")} AS source_path,
        {PATH.format("target_fqn")} AS target_path
 FROM (
-    SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY start_time, event) AS n FROM lin_move
+    SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY start_time, event) AS n FROM {moves}
 ) ranked WHERE n = 1""")
 
 
@@ -167,6 +167,9 @@ SELECT location, 'event', event FROM lin_event
 UNION ALL
 SELECT e.location, 'link', e.event FROM lin_link l JOIN lin_event e ON l.record = e.record"""
 
+_NOT_PURGED = """NOT EXISTS (
+    SELECT 1 FROM lin_process p WHERE p.process = l.process AND p.location = 'us-east1')"""
+
 _CHAIN = f"""WITH {PAGE}
 SELECT process || '/runs/' || md5('Page run') || '/lineageEvents/'
        || md5(concat_ws(chr(10), level, source_fqn, target_fqn)) AS event,
@@ -291,6 +294,31 @@ UNION ALL
 SELECT e.location, 'link', e.event FROM lin_link l JOIN lin_event e ON l.record = e.record
 WHERE e.location = 'us-east1'"""
     ),
+    "standing_edges": _first_seen(
+        "process, source_fqn, target_fqn", f"(SELECT * FROM lin_move l WHERE {_NOT_PURGED}) left_over"
+    ),
+    "standing_upstream": _on_log(f"""
+SELECT target_fqn, source_fqn, count(*) AS links FROM lin_named l WHERE {_NOT_PURGED} GROUP BY target_fqn, source_fqn"""),
+    "standing_ghosts": _on_log(f"""
+SELECT fqn, count(*) AS links FROM (
+    SELECT unnest([source_fqn, target_fqn]) AS fqn FROM lin_link l WHERE level = 'table' AND {_NOT_PURGED}
+) ends
+WHERE fqn IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lin_entry e WHERE e.fqn = ends.fqn)
+GROUP BY fqn"""),
+    "paged_log": _on_log("""
+SELECT l.event, link_pos, source_fqn, target_fqn, level, e.end_time
+FROM lin_link l JOIN lin_event e ON l.record = e.record"""),
+    "lineage_cycles": _on_log("""
+, edge AS (
+    SELECT DISTINCT source_fqn AS a, target_fqn AS b FROM lin_link
+    WHERE level = 'table' AND source_fqn IS NOT NULL AND source_fqn <> target_fqn
+),
+core AS (SELECT a, b FROM edge WHERE a IN (SELECT b FROM edge) AND b IN (SELECT a FROM edge)),
+inside AS (SELECT a, b FROM core WHERE a IN (SELECT b FROM core) AND b IN (SELECT a FROM core)),
+way(a, b) AS (SELECT a, b FROM inside UNION SELECT way.a, inside.b FROM way JOIN inside ON way.b = inside.a)
+SELECT x.a AS node, min(x.b) AS component FROM way x JOIN way y ON x.a = y.b AND x.b = y.a GROUP BY x.a""")
+    .replace("\n\n,", ",")
+    .replace("WITH", "WITH RECURSIVE", 1),
     "concurrent_entries": """
 SELECT 'part-' || CAST(p_partkey AS VARCHAR) AS entry_id, CAST(1 AS BIGINT) AS entries,
        'custom:demo.bkt.parts.' || CAST(p_partkey AS VARCHAR) AS fqn, p_name AS name

@@ -22,13 +22,15 @@ from tracewell.functions import (
     system_resource,
     table_fqn,
 )
-from tracewell.operators import audit, graph, identity, inspect, links, record
+from tracewell.operators import audit, cycles, graph, identity, inspect, links, record
 from tracewell.operators.stamp import stamp_pipeline
-from tracewell.plans import pipelines
+from tracewell.plans import pipelines, standing
 from tracewell.sources import commits, discovery, tables
 from tracewell.sources.log import LineageLog, append, append_records, compact, create_log, read_log
+from tracewell.sources.paged import load_paged_log
 from tracewell.sources.workspace import fresh_path
 from tracewell.workload.derived_log import PROJECT, batches, dataset_fqn, stored_log, stored_root, table
+from tracewell.workload.paged_export import write_export
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -564,6 +566,43 @@ def compacted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(read_log(spark, root))
 
 
+def _recorded_in_parts(spark: SparkSession, sf_dir: str) -> standing.Standing:
+    """Distinct links of a log that is appended to, purged and compacted, brought on after each step or two."""
+    root = fresh_path(spark, "standing")
+    create_log(spark, root)
+    log = stored_log(spark, sf_dir)
+    append(root, {"entries": log.entries})
+    for locations in (PURGED, V.LOCATIONS[1:2], V.LOCATIONS[2:]):
+        part = log.only(locations)
+        append(root, {"processes": part.processes, "links": part.links})
+        standing.refresh(spark, root)
+    compact(spark, root)
+    audit.purge_log(spark, root, PURGED)
+    return standing.refresh(spark, root)
+
+
+def standing_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.edges_per_process(_recorded_in_parts(spark, sf_dir).links)
+
+
+def standing_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standing.upstream_links(_recorded_in_parts(spark, sf_dir).links)
+
+
+def standing_ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standing.ghost_nodes(_recorded_in_parts(spark, sf_dir).links, stored_log(spark, sf_dir).entries)
+
+
+def paged_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and ends of events, loaded from a paged export of the log."""
+    export, root = fresh_path(spark, "export"), fresh_path(spark, "paged")
+    write_export(stored_log(spark, sf_dir), export)
+    create_log(spark, root)
+    load_paged_log(spark, export, root, fresh_path(spark, "quarantine"))
+    log = read_log(spark, root)
+    return links.declared_links(log.links).join(log.events.select(F.col("name").alias("event"), "end_time"), "event")
+
+
 def purge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.purge_counts(stored_log(spark, sf_dir))
 
@@ -584,6 +623,11 @@ def reach_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reach_paths(links.table_edges(stored_log(spark, sf_dir).links))
 
 
+def lineage_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that feed each other, over any number of hops."""
+    return cycles.cycles(links.table_edges(stored_log(spark, sf_dir).links))
+
+
 def reach_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the reports are made of, over all hops."""
     edges = links.table_edges(stored_log(spark, sf_dir).links)
@@ -611,6 +655,11 @@ QUERIES: dict[str, Query] = {
     "purge_counts": purge_counts,
     "log_before_purge": log_before_purge,
     "compacted_log": compacted_log,
+    "standing_edges": standing_edges,
+    "standing_upstream": standing_upstream,
+    "standing_ghosts": standing_ghosts,
+    "paged_log": paged_log,
+    "lineage_cycles": lineage_cycles,
     "delivered_in_parts": delivered_in_parts,
     "concurrent_entries": concurrent_entries,
     "registered_datasets": registered_datasets,
