@@ -39,6 +39,26 @@ def test_rules_that_reject_more_per_second_come_first(docs):
     assert [r.name for r in q.ordered(q.sample_of(docs, "text"), rules)] == ["often", "never"]
 
 
+def test_of_rules_that_reject_alike_the_cheaper_comes_first(spark):
+    """What a rule costs stands above what starting a job does; the figures are printed."""
+    rng = random.Random(5)
+    texts = [(" ".join(rng.choice("abcdefgh") * 3 for _ in range(600)),) for _ in range(300)]
+    sample = q.sample_of(spark.createDataFrame(texts, "text string"), "text")
+    dear = q.Rule("dear", lambda t, w: q.repeated_words(w) >= 0)
+    cheap = q.Rule("cheap", lambda t, w: F.size(w) >= 0)
+    found = q.estimates(sample, [dear, cheap])
+    print(found)
+    assert found["dear"][0] == found["cheap"][0] == 300
+    assert found["dear"][1] > 5 * found["cheap"][1]
+    assert [r.name for r in q.ordered(sample, [dear, cheap])] == ["cheap", "dear"]
+
+
+def test_the_sample_is_drawn_from_all_partitions(spark):
+    rows = spark.range(0, 40000, 1, 40).selectExpr("CAST(id DIV 1000 AS string) AS text")
+    drawn = [row.text for row in q.sample_of(rows, "text").collect()]
+    assert 800 < len(drawn) < 1200 and len(set(drawn)) == 40
+
+
 @pytest.mark.parametrize("text, rule", [
     ("word " * 9, "few_words"),
     ("one two three four five " * 4, "repeated_windows"),
