@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tracewell import fixed_values as V
 from tracewell.functions import process_of
+from tracewell.operators.links import collapsed
 from tracewell.sources import commits
 from tracewell.sources.commits import DataFile
 from tracewell.sources.log import LINK_SCHEMA, read_files
@@ -50,9 +51,12 @@ def distinct_links(links: DataFrame) -> DataFrame:
 
 
 def _merged(links: DataFrame, number: Column) -> DataFrame:
-    process = process_of(F.col("event")).alias("process")
+    link = ["process", "source", "target", "level"]
     first = F.min(F.struct("start_time", "event", "link_pos", "location")).alias("first")
-    grouped = links.groupBy(process, "source", "target", "level").agg(first, number.alias("links"))
+    # The aggregate sorts, and names share long prefixes.
+    by_link = [F.xxhash64("process").alias("name_hash"), *link]
+    rows = links.withColumn("process", process_of(F.col("event")))
+    grouped = collapsed(rows, link, lambda some: some.groupBy(*by_link).agg(first, number.alias("links")))
     return grouped.select(
         "first.event", "first.start_time", "first.link_pos", "source", "target", "level", "first.location", "links"
     )
@@ -98,7 +102,9 @@ def _brought_on(spark: SparkSession, root: str, found: commits.State, last: int)
     state = _stored(spark, f"{root}/standing", last)
     parts = state
     if added:
-        parts = state.unionByName(distinct_links(read_files(spark, found, "links", added)))
+        # A link that was added stands for itself, so stored and added ones are merged at once.
+        new = read_files(spark, found, "links", added).select(*state.columns[:-1], F.lit(1).cast("long").alias("links"))
+        parts = state.unionByName(new)
     if not removed:
         return (_merged(parts, F.sum("links")) if added else state), [file.path for file in added]
 
