@@ -147,6 +147,8 @@ def events_by_source(links: DataFrame) -> DataFrame:
     return (
         links.where(F.col("source").isNotNull())
         .select("event", F.col("source").alias("source_fqn"))
+        # Few rows come again, so there is nothing to collapse before the shuffle.
+        .repartition("event", "source_fqn")
         .distinct()
         .withColumns({"run": run_of(F.col("event")), "process": process_of(F.col("event"))})
     )
