@@ -159,18 +159,23 @@ def _records_to_remove(
     spark: SparkSession, state: commits.State, files: dict[str, list[DataFile]], listed: DataFrame
 ) -> dict[str, int]:
     """Number of records of listed processes in each file that has some."""
+    paths = [file.path for chosen in files.values() for file in chosen]
+    if not paths:
+        return {}
+    # A process has records in many files, whose paths are long: they go by their hash where that tells them apart.
+    hashed = spark.createDataFrame([(path,) for path in paths], "path string").select("path", F.xxhash64("path").alias("file"))
+    path_of = {row["file"]: row["path"] for row in hashed.collect()}
+    path = F.col("_metadata.file_path")
+    file = F.xxhash64(path) if len(path_of) == len(paths) else path
     parts = []
     for kind, chosen in files.items():
         if chosen:
             rows = read_files(spark, state, kind, chosen)
-            process = process_of(F.col(key_of(kind))).alias("process")
-            parts.append(rows.select(F.col("_metadata.file_path").alias("path"), process))
-    if not parts:
-        return {}
+            parts.append(rows.select(file.alias("file"), process_of(F.col(key_of(kind))).alias("process")))
     names = parts[0]
     for part in parts[1:]:
         names = names.unionByName(part)
     # One row per file and process before the join.
-    counted = names.groupBy("path", "process").agg(F.count(F.lit(1)).alias("rows"))
-    found = counted.join(listed, "process", "left_semi").groupBy("path").agg(F.sum("rows").alias("rows"))
-    return {row["path"]: row["rows"] for row in found.collect()}
+    counted = names.groupBy("file", "process").agg(F.count(F.lit(1)).alias("rows"))
+    found = counted.join(listed, "process", "left_semi").groupBy("file").agg(F.sum("rows").alias("rows"))
+    return {path_of.get(row["file"], row["file"]): row["rows"] for row in found.collect()}
