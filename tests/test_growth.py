@@ -1,0 +1,102 @@
+"""What tasks hold in memory and what is shuffled stays bounded as the log grows."""
+
+from __future__ import annotations
+
+from datetime import timedelta
+
+from records import NOON, event, lineage_log, process, rows
+
+from tracewell.operators import audit, inspect, links
+from tracewell.plans import standing
+from tracewell.sources import commits, log, paged
+from tracewell.workload import derived_log
+from tracewell.workload.paged_export import write_export
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def nodes_above_first_shuffle(df):
+    """The plan down to its first exchange: what runs after all rows were dealt."""
+    return plan_of(df).split("Exchange hashpartitioning")[0]
+
+
+def some_log(spark):
+    ends = [("gcs:a", "custom:b"), ("gcs:a", "custom:c"), (None, "gcs:a")]
+    events = [
+        event("us", f"p{i % 2}", "r", f"e{i}", [ends[i % 3], ends[0]], NOON + timedelta(hours=i % 5)) for i in range(40)
+    ]
+    return lineage_log(spark, [process("us", "p0"), process("us", "p1")], (), events)
+
+
+def test_recording_bounds_the_lines_of_a_task(spark, monkeypatch):
+    whole = derived_log.links(spark, SF_DIR)
+    monkeypatch.setattr(derived_log, "TASK_LINES", 100)
+    bounded = derived_log.links(spark, SF_DIR)
+    lines = derived_log.table(spark, SF_DIR, "lineitem").count()
+    assert f", {-(-lines // 100)}), REPARTITION_BY_NUM" in plan_of(bounded)
+    assert rows(bounded, *whole.columns) == rows(whole, *whole.columns)
+
+
+def test_edges_are_dealt_before_they_are_sorted(spark):
+    found = some_log(spark)
+    assert "partial_min" in nodes_above_first_shuffle(links.edges_per_process(found.links))
+    assert "partial_min" in nodes_above_first_shuffle(standing.distinct_links(found.links))
+
+
+def test_hot_edges_collapse_before_the_shuffle_and_give_the_same_rows(spark, monkeypatch):
+    found = some_log(spark)
+    plain = [links.edges_per_process(found.links), links.edges_first_seen(found.links), standing.distinct_links(found.links)]
+    monkeypatch.setattr(links, "HOT_SHARE", 1.0)
+    monkeypatch.setattr(links, "HOT_ROWS", 10)
+    split = [links.edges_per_process(found.links), links.edges_first_seen(found.links), standing.distinct_links(found.links)]
+    for one, other in zip(plain, split, strict=True):
+        assert "Union" in plan_of(other)
+        assert rows(one, *one.columns) == rows(other, *one.columns)
+
+
+def test_reads_are_dealt_before_they_are_made_distinct(spark):
+    plan = nodes_above_first_shuffle(inspect.events_by_source(some_log(spark).links))
+    assert plan.count("HashAggregate") == 2
+
+
+def test_packed_files_are_bounded_by_records(spark, path, monkeypatch):
+    root, found = path("log"), some_log(spark)
+    for _ in range(2):
+        log.append(root, {"links": found.links})
+    monkeypatch.setattr(log, "TARGET_ROWS", 40)
+    before = rows(log.read_log(spark, root).links, "event", "link_pos")
+    log.compact(spark, root)
+    assert len(commits.state(spark, root).of("links")) > 1
+    assert rows(log.read_log(spark, root).links, "event", "link_pos") == before
+
+
+def test_files_are_counted_by_a_number_and_named_by_their_path(spark, path):
+    root = path("log")
+    log.append_log(some_log(spark), root)
+    state = commits.state(spark, root)
+    listed = spark.createDataFrame([(process("us", "p0")[0],)], "process string")
+    hits = audit._records_to_remove(spark, state, {"links": state.of("links")}, listed)
+    assert set(hits) <= set(state.files)
+    assert sum(hits.values()) == 40
+
+
+def test_pages_asked_for_once_are_not_shuffled_with_their_records(spark, path):
+    export, found = path("export"), some_log(spark)
+    write_export(found, export)
+    assert all(name.endswith(".gz") for name in listed_texts(export))
+    back = paged.read_paged_log(spark, export).log
+    # Only what was asked for again is shuffled, behind the join that finds it.
+    plan = plan_of(back.links)
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "LeftSemi" in plan.split("Exchange hashpartitioning")[1]
+    assert rows(back.links, "event", "link_pos", "source", "target") == rows(found.links, "event", "link_pos", "source", "target")
+
+
+def listed_texts(folder):
+    import pathlib
+
+    return [file.name for file in pathlib.Path(folder).rglob("part-*")]
