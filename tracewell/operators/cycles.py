@@ -18,15 +18,16 @@ def cycles(edges: DataFrame) -> DataFrame:
     `component` is the least node of the node's strongly connected component: nodes with
     the same one reach each other. Edges from a node to itself are left out.
 
-    Stretches of nodes with one edge in and one out are jumped over first, as in
-    `reach_paths`: their nodes are on a cycle if both ends are in one component, and circles
+    Edges, which may come more than once, are trimmed first of nodes without a way in or out, so that
+    most are neither shuffled nor written. Stretches of nodes with one edge in and one out are jumped
+    over then, as in `reach_paths`: their nodes are on a cycle if both ends are in one component, and circles
     of such nodes alone are told by doubling pointers. Of the rest, nodes without a way in or
     out are trimmed. Then each node takes the least node that reaches it as its colour, and
     those that reach their colour back along nodes of the colour are its component; edges
     that are left within a colour go on. A component is a row per node, never a list.
     """
-    hops = edges.select(F.col("source_fqn").alias("a"), F.col("target_fqn").alias("b")).where("a <> b").distinct()
-    hops = materialise(hops, "hops")
+    hops = edges.select(F.col("source_fqn").alias("a"), F.col("target_fqn").alias("b")).where("a <> b")
+    hops = _trimmed(_between(hops).distinct())
     inner = inner_nodes(hops, hops.select(F.col("a").alias("node")).limit(0))
     pointers = hops.join(inner.select(F.col("node").alias("a")), "a", "left_semi").selectExpr("a AS node", "b AS at")
     backwards = hops.join(inner.select(F.col("node").alias("b")), "b", "left_semi").selectExpr("b AS node", "a AS at")
@@ -51,6 +52,16 @@ def cycles(edges: DataFrame) -> DataFrame:
     return found.unionByName(_circles(pointers.join(onward.select("node"), "node", "left_anti")))
 
 
+def _between(hops: DataFrame) -> DataFrame:
+    """The edges whose ends both have a way in and a way out; edges that come again are kept as often.
+
+    Only nodes are shuffled before edges are dropped: the edges are read again, not written.
+    """
+    left = hops.select(F.col("a").alias("node")).distinct()
+    both = materialise(left.join(hops.select(F.col("b").alias("node")).distinct(), "node", "left_semi"), "both")
+    return hops.join(both.selectExpr("node AS a"), "a", "left_semi").join(both.selectExpr("node AS b"), "b", "left_semi")
+
+
 def _circles(pointers: DataFrame) -> DataFrame:
     """(node, component) of circles, from a pointer per node to the next one."""
     ahead = materialise(pointers.select("node", "at", F.least("node", "at").alias("component")), "circles")

@@ -50,10 +50,14 @@ def without_self_links(links: DataFrame) -> DataFrame:
     return links.where(F.col("source_fqn") != F.col("target_fqn"))
 
 
-def table_edges(links: DataFrame) -> DataFrame:
-    """Distinct table-level edges between named endpoints."""
+def table_edges(links: DataFrame, distinct: bool = True) -> DataFrame:
+    """Distinct table-level edges between named endpoints.
+
+    Operators that make edges distinct themselves take them as often as links have them.
+    """
     named = without_self_links(declared_links(links)).where(F.col("level") == V.TABLE_LEVEL)
-    return named.select("source_fqn", "target_fqn").distinct()
+    edges = named.select("source_fqn", "target_fqn")
+    return edges.distinct() if distinct else edges
 
 
 def edges_per_process(links: DataFrame) -> DataFrame:
@@ -97,8 +101,7 @@ def collapsed(rows: DataFrame, keys: list[str], collapse: Callable[[DataFrame],
     sample tells which keys these are, by hash: that decides on the way of a row only.
     """
     key = F.xxhash64(*keys)
-    counted = rows.select(key.alias("hot_hash")).sample(HOT_SHARE, 1).groupBy("hot_hash").agg(F.count("*").alias("sampled"))
-    hot = materialise(counted.where(F.col("sampled") >= HOT_ROWS).select("hot_hash"), "hot")
+    hot = hot_hashes(rows, key)
     if hot.isEmpty():
         return collapse(rows.repartition(*keys))
     is_hot = key == F.col("hot_hash")
@@ -106,6 +109,12 @@ def collapsed(rows: DataFrame, keys: list[str], collapse: Callable[[DataFrame],
     return others.unionByName(collapse(rows.join(hot, is_hot, "left_semi")))
 
 
+def hot_hashes(rows: DataFrame, key: Column) -> DataFrame:
+    """(hot_hash): the hashes that many sampled rows have."""
+    counted = rows.select(key.alias("hot_hash")).sample(HOT_SHARE, 1).groupBy("hot_hash").agg(F.count("*").alias("sampled"))
+    return materialise(counted.where(F.col("sampled") >= HOT_ROWS).select("hot_hash"), "hot")
+
+
 def upstream_links(links: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Links by target FQN: what feeds each table, and how many links say so.
 

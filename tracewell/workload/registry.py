@@ -625,7 +625,7 @@ def reach_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineage_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables that feed each other, over any number of hops."""
-    return cycles.cycles(links.table_edges(stored_log(spark, sf_dir).links))
+    return cycles.cycles(links.table_edges(stored_log(spark, sf_dir).links, distinct=False))
 
 
 def reach_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
