@@ -5,7 +5,7 @@ import random
 import pytest
 from records import event, lineage_log, rows
 
-from tracewell.operators import graph
+from tracewell.operators import graph, links
 from tracewell.sources.workspace import materialise_buckets
 
 CHAIN = [
@@ -130,3 +130,22 @@ def test_a_chain_of_a_thousand_hops_takes_few_rounds(spark, monkeypatch):
     got = rows(graph.reach_paths(edges(spark, pairs), nodes(spark, "n0")), "node", "depth", "predecessor")
     assert got == shortest(pairs, ["n0"])
     assert written.count("jumps") <= 24 and written.count("frontier") <= 8
+
+
+def test_path_rounds_follow_edges_where_they_lie(spark, monkeypatch):
+    """Edges that come again, some from a hot node, are shuffled once and lie in buckets."""
+    pairs = [("hot", f"n{i % 7}") for i in range(40)] + [("n1", "n2"), ("n2", "z"), ("n3", "z"), ("z", "hot")] * 2
+    monkeypatch.setattr(links, "HOT_SHARE", 1.0)
+    monkeypatch.setattr(links, "HOT_ROWS", 20)
+    plans = {}
+    real = graph.materialise
+
+    def materialise(df, label):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, label)
+
+    monkeypatch.setattr(graph, "materialise", materialise)
+    got = rows(graph.reach_paths(edges(spark, pairs), nodes(spark, "hot")), "node", "depth", "predecessor")
+    assert got == shortest(sorted(set(pairs)), ["hot"])
+    assert "ways" not in plans
+    assert all("Bucketed: true" in plan for plan in plans["frontier"])

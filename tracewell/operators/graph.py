@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell import fixed_values as V
 from tracewell.functions import parent_fqn
-from tracewell.operators.links import declared_links, without_self_links
+from tracewell.operators.links import declared_links, hot_hashes, without_self_links
 from tracewell.sources.workspace import materialise, materialise_buckets
 
 COMPACT_EVERY = 16
@@ -112,37 +112,60 @@ def reach_paths(edges: DataFrame, starts: DataFrame | None = None, upstream: boo
     Stretches of nodes with one edge in and one out are jumped over: pointers along them are doubled
     until they reach their ends, so rounds are about the logarithm of the longest stretch and the
     number of branchings on the longest way. All rounds lie in the shared folder.
+
+    Edges, which may come more than once, are shuffled once and lie in buckets by the end they are
+    followed from.
     """
     ends = [F.col("target_fqn"), F.col("source_fqn")] if upstream else [F.col("source_fqn"), F.col("target_fqn")]
-    hops = materialise(edges.select(ends[0].alias("a"), ends[1].alias("b")).distinct(), "hops")
-    if starts is None and upstream:
-        starts = hops.select(F.col("a").alias("node")).distinct().join(hops.selectExpr("b AS node"), "node", "left_anti")
-    elif starts is None:
-        starts = storage_roots(edges)
-    starts = materialise(starts.select("node").distinct(), "starts")
+    moves = edges.select(ends[0].alias("a"), ends[1].alias("b"))
+    hops, forget = materialise_buckets(dealt_distinct(moves, "a"), "hops", "a", dealt=True)
+    try:
+        if starts is None and upstream:
+            starts = hops.select(F.col("a").alias("node")).distinct().join(hops.selectExpr("b AS node"), "node", "left_anti")
+        elif starts is None:
+            starts = storage_roots(hops.selectExpr("a AS source_fqn", "b AS target_fqn"))
+        starts = materialise(starts.select("node").distinct(), "starts")
+        return _paths(hops, starts)
+    finally:
+        forget()
+
 
+def _paths(hops: DataFrame, starts: DataFrame) -> DataFrame:
     inner = inner_nodes(hops, starts)
     onward = jumps(hops.join(inner.selectExpr("node AS a"), "a", "left_semi").selectExpr("a AS node", "b AS at"), inner)
     back = jumps(hops.join(inner.selectExpr("node AS b"), "b", "left_semi").selectExpr("b AS node", "a AS at"), inner)
-    leaving = hops.join(inner.selectExpr("node AS a"), "a", "left_anti")
-    over = leaving.join(onward.selectExpr("node AS b", "at", "hops"), "b", "left")
-    ways = over.select("a", F.coalesce("at", "b").alias("b"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops"))
-    ways = materialise(ways.groupBy("a", "b").agg(F.min("hops").alias("hops")), "ways")
 
-    depths = _least_depths(ways, starts)
+    depths = _least_depths(hops, onward, starts)
     along = back.join(depths.selectExpr("node AS at", "depth"), "at").select("node", (F.col("depth") + F.col("hops")).alias("depth"))
     # Onward jumps that end nowhere stand for inner nodes all the same: they have a way in.
     found = materialise(depths.unionByName(along), "depths")
-    before = hops.join(found.selectExpr("node AS a", "depth AS a_depth"), "a").join(found.selectExpr("node AS b", "depth"), "b")
-    before = before.where("a_depth + 1 = depth").groupBy("b").agg(F.min("a").alias("predecessor"))
-    return found.join(before.withColumnRenamed("b", "node"), "node", "left").select("node", "depth", "predecessor")
+    # The least depth before a node is one less than its own, so it is told without asking for that along each edge.
+    before = hops.join(found.selectExpr("node AS a", "depth AS a_depth"), "a").groupBy("b")
+    before = before.agg(F.min(F.struct("a_depth", "a")).alias("first")).selectExpr("b AS node", "first.a AS before")
+    found = found.join(before, "node", "left")
+    return materialise(found.select("node", "depth", F.when(F.col("depth") > 0, F.col("before")).alias("predecessor")), "paths")
+
+
+def dealt_distinct(rows: DataFrame, key: str) -> DataFrame:
+    """Distinct rows, dealt by one key in a single shuffle into as many tasks as that has.
+
+    Rows of hot keys collapse before their shuffle, so that what comes again does not meet in one
+    task. A sample tells which keys these are, by hash: that decides on the way of a row only.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_hashes(rows, F.xxhash64(key))
+    if hot.isEmpty():
+        return rows.repartition(tasks, key).distinct()
+    is_hot = F.xxhash64(key) == F.col("hot_hash")
+    others = rows.join(hot, is_hot, "left_anti").repartition(tasks, key).distinct()
+    return others.unionByName(rows.join(hot, is_hot, "left_semi").distinct().repartition(tasks, key))
 
 
 def inner_nodes(hops: DataFrame, starts: DataFrame) -> DataFrame:
     """Nodes with one edge in and one out, from and to other nodes, that no walk starts from."""
-    ways_in = hops.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("ins"), F.min("a").alias("from"))
+    ways_in = hops.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("ins"), F.max(F.expr("a = b")).alias("own"))
     ways_out = hops.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("outs"))
-    found = ways_in.join(ways_out, "node").where("ins = 1 AND outs = 1 AND `from` <> node")
+    found = ways_in.where("ins = 1 AND NOT own").join(ways_out.where("outs = 1"), "node")
     return materialise(found.select("node").join(starts, "node", "left_anti"), "inner")
 
 
@@ -164,12 +187,21 @@ def jumps(pointers: DataFrame, inner: DataFrame) -> DataFrame:
     return ahead.where("NOT on").drop("on")
 
 
-def _least_depths(ways: DataFrame, starts: DataFrame) -> DataFrame:
-    """(node, depth) over ways of several hops: a node is taken up again where a shorter way to it is found."""
+def _least_depths(hops: DataFrame, onward: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, depth) of starts and of nodes that are not jumped over: taken up again where a shorter way is found.
+
+    An edge to a node that is jumped over leads to where that one's jump does. Nodes are
+    jumped from only by these, so a round follows the edges of nodes found before it where
+    they lie and shuffles only nodes.
+    """
+    over = onward.select("node", "at", "hops")
     depths = frontier = materialise(starts.withColumn("depth", F.lit(0)), "depths")
     while not frontier.isEmpty():
-        reached = frontier.join(ways, F.col("node") == F.col("a")).select(
-            F.col("b").alias("node"), (F.col("depth") + F.col("hops")).alias("depth")
+        reached = hops.join(frontier.selectExpr("node AS a", "depth"), "a").select(
+            F.col("b").alias("node"), (F.col("depth") + 1).alias("depth")
+        )
+        reached = reached.groupBy("node").agg(F.min("depth").alias("depth")).join(over, "node", "left").select(
+            F.coalesce("at", "node").alias("node"), (F.col("depth") + F.coalesce("hops", F.lit(0))).alias("depth")
         )
         nearest = reached.groupBy("node").agg(F.min("depth").alias("depth"))
         known = depths.select("node", F.col("depth").alias("known"))

@@ -101,15 +101,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialise_buckets(df: DataFrame, label: str, key: str) -> tuple[DataFrame, Callable[[], None]]:
+def materialise_buckets(
+    df: DataFrame, label: str, key: str, dealt: bool = False
+) -> tuple[DataFrame, Callable[[], None]]:
     """As `materialise`, in buckets by a key, so that later joins on it leave the rows where they are.
 
-    Buckets need a table's metadata; the second result drops them, not the files.
+    Buckets need a table's metadata; the second result drops them, not the files. Rows `dealt` by
+    the key before, into as many tasks as a shuffle has, are not shuffled again.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
     name = f"{label}_{path.rsplit('-', 1)[1]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartition(buckets, key)
-    dealt.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    rows = df if dealt else df.repartition(buckets, key)
+    rows.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
     return spark.table(name), lambda: spark.sql(f"DROP TABLE IF EXISTS {name}")

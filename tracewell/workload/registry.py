@@ -620,7 +620,7 @@ def reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reach_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reach_paths(links.table_edges(stored_log(spark, sf_dir).links))
+    return graph.reach_paths(links.table_edges(stored_log(spark, sf_dir).links, distinct=False))
 
 
 def lineage_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -630,7 +630,7 @@ def lineage_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reach_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the reports are made of, over all hops."""
-    edges = links.table_edges(stored_log(spark, sf_dir).links)
+    edges = links.table_edges(stored_log(spark, sf_dir).links, distinct=False)
     reports = edges.select(F.col("target_fqn").alias("node")).where(F.col("node").startswith("bigquery:demo.report."))
     return graph.reach_paths(edges, reports, upstream=True)
 
