@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from records import NOON, event, lineage_log, process, rows
+from records import NOON, event, lineage_log, process, rows, run
 
 from tracewell.operators import audit, inspect, links
 from tracewell.plans import standing
@@ -100,3 +100,30 @@ def listed_texts(folder):
     import pathlib
 
     return [file.name for file in pathlib.Path(folder).rglob("part-*")]
+
+
+def log_of_runs(spark):
+    """Two runs of a process, the first with most of the events, one event and some links delivered twice."""
+    names = ["hot"] * 30 + ["r1"] * 4
+    events = [event("us", "p0", name, f"e{i}", [("a", f"b{i}"), (None, "c")]) for i, name in enumerate(names)]
+    twice = [(*row[:2], NOON + timedelta(hours=1), *row[3:]) for row in events[-1:]]
+    runs = [run("us", "p0", name) for name in ("hot", "r1")]
+    return lineage_log(spark, [process("us", "p0")], runs, events + twice + [(None, NOON, None, "us", [("a", "b", "table")])])
+
+
+def hot_runs(monkeypatch):
+    monkeypatch.setattr(links, "HOT_RUN_ROWS", 40)
+    monkeypatch.setattr(links, "TASK_ROWS", 4)
+
+
+def test_events_and_links_are_dealt_once_by_run(spark, monkeypatch):
+    found = log_of_runs(spark)
+    whole = inspect.events_in_context(found)
+    assert "Exchange hashpartitioning(event" not in plan_of(whole)
+    assert "Exchange hashpartitioning(name" not in plan_of(whole)
+    counted = [row.links for row in whole.collect() if row.event.endswith("/e33")]
+    assert counted == [4, 4] and whole.count() == 35
+    hot_runs(monkeypatch)
+    split = inspect.events_in_context(found)
+    assert "Exchange hashpartitioning(event" in plan_of(split)
+    assert rows(split, *whole.columns) == rows(whole, *whole.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewell import fixed_values as V
 from tracewell.functions import normalise_identifier, process_of, run_of
-from tracewell.operators.links import edges_per_process, flatten_links, without_self_links
+from tracewell.operators.links import dealing, edges_per_process, flatten_links, without_self_links
 from tracewell.sources.log import LineageLog
 
 
@@ -94,11 +94,24 @@ def runs_of_processes(log: LineageLog) -> DataFrame:
 
 
 def events_in_context(log: LineageLog) -> DataFrame:
-    """Events that a walk from process to run to event comes to."""
-    counts = log.links.groupBy("event").agg(F.count(F.lit(1)).cast("int").alias("links"))
-    events = log.events.select(run_of(F.col("name")).alias("run"), F.col("name").alias("event"))
-    counted = events.join(counts, "event", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-    return counted.join(runs_of_processes(log).select("run", "process", "state"), "run")
+    """Events that a walk from process to run to event comes to.
+
+    Events and links are dealt once, by run, and counted and joined there. Where there are hot
+    runs, they are dealt by event and once more by run, for a join that may split these.
+    """
+    named = log.events.select(F.col("name").alias("event"))
+    how = dealing(named, log.links)
+    events = named.select("event", F.lit(1).alias("events"), F.lit(0).alias("links"))
+    links = log.links.select("event", F.lit(0).alias("events"), F.lit(1).alias("links"))
+    rows = events.unionByName(links).where(F.col("event").isNotNull())
+    run = run_of(F.col("event")).alias("run")
+    keys = ["event"] if how.hot else [run, "event"]
+    dealt = rows if how.hot else how.deal(rows, run_of(F.col("event")))
+    counted = dealt.groupBy(*keys).agg(F.sum("events").cast("int").alias("events"), F.sum("links").cast("int").alias("links"))
+    # An event that was delivered twice is two rows.
+    often = F.explode(F.array_repeat(F.lit(True), F.col("events")))
+    found = counted.select(run, "event", "links", often).drop("col")
+    return found.join(runs_of_processes(log).select("run", "process", "state"), "run")
 
 
 def process_activity(log: LineageLog, processes: DataFrame | None = None) -> DataFrame:

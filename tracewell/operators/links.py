@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,12 @@ from tracewell.sources.workspace import materialise
 
 #: A key is hot if it has so many rows in a sample of this share of them.
 HOT_SHARE, HOT_ROWS = 1 / 64, 2048
+#: Events and links in a task that joins or sorts them, which it does in memory.
+TASK_ROWS = 1 << 20
+#: A run is hot if it has a quarter of a task's share of all rows, and at least so many.
+HOT_RUN_ROWS = 1000
+#: Rows of a sample that such a run has at least; half of them tell it, as samples vary.
+HOT_RUN_SAMPLE = 64
 
 
 def flatten_links(links: DataFrame) -> DataFrame:
@@ -115,6 +122,41 @@ def hot_hashes(rows: DataFrame, key: Column) -> DataFrame:
     return materialise(counted.where(F.col("sampled") >= HOT_ROWS).select("hot_hash"), "hot")
 
 
+@dataclass(frozen=True)
+class Dealing:
+    """How events and links come to tasks: by their run, those of hot runs by event.
+
+    Rows of a run have most of their text in common, so dealt together they are a fraction
+    of the size that they have when dealt by event.
+    """
+
+    #: None: as many as a shuffle has.
+    tasks: int | None
+    #: Hashes of hot runs, a few per task at most.
+    hot: tuple[int, ...]
+
+    def is_hot(self) -> Column:
+        return F.xxhash64(run_of(F.col("event"))).isin(*self.hot)
+
+    def deal(self, rows: DataFrame, *keys: Column | str) -> DataFrame:
+        return rows.repartition(self.tasks, *keys) if self.tasks else rows.repartition(*keys)
+
+
+def dealing(events: DataFrame, links: DataFrame) -> Dealing:
+    """How rows with the names in `event` come to tasks; hot runs are told by a sample and only go another way."""
+    spark = links.sparkSession
+    total = events.count() + links.count()
+    tasks = -(-total // TASK_ROWS)
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = max(HOT_RUN_ROWS, total // (4 * max(tasks, shuffled)))
+    run = F.xxhash64(run_of(F.col("event"))).alias("run")
+    names = events.select("event").unionByName(links.select("event")).where(F.col("event").isNotNull())
+    sampled = names.sample(min(1.0, HOT_RUN_SAMPLE / most), 1).groupBy(run).agg(F.count("*").alias("sampled"))
+    hot = sampled.where(F.col("sampled") >= HOT_RUN_SAMPLE // 2).select("run").collect()
+    bounded = tasks > spark.sparkContext.defaultParallelism
+    return Dealing(tasks if bounded else None, tuple(sorted(row["run"] for row in hot)))
+
+
 def upstream_links(links: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Links by target FQN: what feeds each table, and how many links say so.
 
