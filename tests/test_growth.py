@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from records import NOON, event, lineage_log, process, rows, run
 
-from tracewell.operators import audit, inspect, links
+from tracewell.operators import audit, inspect, links, record
 from tracewell.plans import standing
 from tracewell.sources import commits, log, paged
 from tracewell.workload import derived_log
@@ -127,3 +127,20 @@ def test_events_and_links_are_dealt_once_by_run(spark, monkeypatch):
     split = inspect.events_in_context(found)
     assert "Exchange hashpartitioning(event" in plan_of(split)
     assert rows(split, *whole.columns) == rows(whole, *whole.columns)
+
+
+def test_links_meet_their_ends_where_they_are_made_distinct(spark, monkeypatch):
+    found = log_of_runs(spark)
+    declared = links.declared_links(found.links, "start_time", "location")
+    ends = found.events.selectExpr("name AS event", "end_time")
+    joined = declared.join(ends, "event")
+    how = links.dealing(ends, found.links)
+    [alone] = links.with_ends(declared, ends, how)
+    for records in record.events_from_links(alone):
+        assert plan_of(records).count("Exchange hashpartitioning") == 1
+    assert rows(alone, *joined.columns) == rows(joined, *joined.columns)
+    hot_runs(monkeypatch)
+    parts = links.with_ends(declared, ends, links.dealing(ends, found.links))
+    assert len(parts) == 2 and not parts[0].isEmpty()
+    both = parts[0].select(*joined.columns).unionByName(parts[1])
+    assert rows(both, *joined.columns) == rows(joined, *joined.columns)
