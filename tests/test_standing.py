@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 from concurrent.futures import ThreadPoolExecutor
 from datetime import timedelta
@@ -11,6 +12,7 @@ from tracewell.operators import audit, links
 from tracewell.plans import standing
 from tracewell.sources import commits
 from tracewell.sources.log import append_log, compact, create_log, read_log
+from tracewell.sources.workspace import children, write_text
 
 PLACES = ["us-east1", "us-central1", "us"]
 
@@ -105,3 +107,53 @@ def test_an_empty_log_and_one_without_links(spark, path):
     assert standing.refresh(spark, root).links.count() == 0
     append_log(some_log(spark, random.Random(1), 1), root)
     same_state(spark, root, standing.refresh(spark, root))
+
+
+def areas(spark, root):
+    number = max(int(name) for name in children(spark, f"{root}/standing") if name.isdigit())
+    return standing._parts(spark, f"{root}/standing", number)
+
+
+def one_link(spark, place, name, ends=("custom:a", "gcs:c")):
+    return lineage_log(spark, [process(place, "p")], (), [event(place, "p", "r", name, [ends])])
+
+
+def test_areas_that_nothing_changed_in_are_not_written_again(spark, path):
+    root = path("log")
+    for place in PLACES:
+        append_log(one_link(spark, place, "e1"), root)
+    same_state(spark, root, standing.refresh(spark, root))
+    before = areas(spark, root)
+    assert set(before) == set(PLACES)
+    append_log(one_link(spark, "us", "e2"), root)
+    same_state(spark, root, standing.refresh(spark, root))
+    after = areas(spark, root)
+    assert {place for place in PLACES if before[place] != after[place]} == {"us"}
+    audit.purge_log(spark, root, PLACES[:1])
+    same_state(spark, root, standing.refresh(spark, root))
+    assert areas(spark, root) == {place: after[place] for place in PLACES[1:]}
+
+
+def test_names_without_a_location_and_locations_that_differ_from_names(spark, path):
+    root = path("log")
+    odd = [(name, NOON, None, "us", [("a", "b", "table")]) for name in (None, "x", "p/q/locations/us", "p/q/locations//processes/r")]
+    odd.append(event("a%b c", "p", "r", "e", [("a", "b")]))
+    odd.append((event("us-east1", "p", "r", "e", [])[0], NOON, None, "us", [("a", "b", "table")]))
+    log = lineage_log(spark, [], (), odd)
+    for _ in range(2):
+        append_log(log, root)
+        same_state(spark, root, standing.refresh(spark, root))
+    assert set(areas(spark, root)) == {standing.NO_AREA, "a%b c", "us-east1"}
+
+
+def test_a_state_without_areas_is_brought_on(spark, path):
+    root = path("log")
+    append_log(one_link(spark, "us", "e1"), root)
+    folder = f"{root}/standing"
+    data = f"{folder}/data-old"
+    standing.distinct_links(read_log(spark, root).links).write.parquet(data)
+    write_text(spark, f"{folder}/{1:020d}/state.json", json.dumps({"data": data}))
+    same_state(spark, root, standing.refresh(spark, root))
+    append_log(one_link(spark, "us-east1", "e2"), root)
+    same_state(spark, root, standing.refresh(spark, root))
+    assert set(areas(spark, root)) == {"us", "us-east1"}

@@ -13,14 +13,18 @@ it was new since the last refresh.
 
 States lie below the log in folders named by the number of their commit, put in place
 by one rename like commits; jobs that refresh at the same time write the same. Earlier
-states are left where they are.
+states are left where they are. A state has a folder of rows per area, the location that
+the names of its processes have in them, and goes on with the folders of areas that no
+change since the last refresh belongs to.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +35,11 @@ from tracewell.operators.links import collapsed
 from tracewell.sources import commits
 from tracewell.sources.commits import DataFile
 from tracewell.sources.log import LINK_SCHEMA, read_files
-from tracewell.sources.workspace import children, exists, make_dirs, read_text, rename, write_text
+from tracewell.sources.workspace import COMPRESSION, children, exists, make_dirs, read_text, rename, write_text
 
 STATE_SCHEMA = f"{LINK_SCHEMA}, links long"
+#: The folder for rows whose process names no location.
+NO_AREA = "__HIVE_DEFAULT_PARTITION__"
 
 
 @dataclass(frozen=True)
@@ -51,12 +57,8 @@ def distinct_links(links: DataFrame) -> DataFrame:
 
 
 def _merged(links: DataFrame, number: Column) -> DataFrame:
-    link = ["process", "source", "target", "level"]
     first = F.min(F.struct("start_time", "event", "link_pos", "location")).alias("first")
-    # The aggregate sorts, and names share long prefixes.
-    by_link = [F.xxhash64("process").alias("name_hash"), *link]
-    rows = links.withColumn("process", process_of(F.col("event")))
-    grouped = collapsed(rows, link, lambda some: some.groupBy(*by_link).agg(first, number.alias("links")))
+    grouped = collapsed(links, ["source", "target", "level"], first, number.alias("links"), by_process=True)
     return grouped.select(
         "first.event", "first.start_time", "first.link_pos", "source", "target", "level", "first.location", "links"
     )
@@ -69,29 +71,57 @@ def refresh(spark: SparkSession, root: str) -> Standing:
     numbers = sorted(int(name) for name in children(spark, folder) if name.isdigit())
     last = max((number for number in numbers if number <= found.number), default=0)
     if last and last == found.number:
-        return Standing(last, _stored(spark, folder, last))
+        return Standing(last, _stored(spark, _parts(spark, folder, last).values()))
     if last:
-        links, read = _brought_on(spark, root, found, last)
+        links, kept, read = _brought_on(spark, root, found, last)
     else:
         files = found.of("links")
-        links, read = distinct_links(read_files(spark, found, "links", files)), [file.path for file in files]
+        links, kept, read = distinct_links(read_files(spark, found, "links", files)), {}, [file.path for file in files]
     data = f"{folder}/data-{uuid.uuid4().hex}"
-    links.write.parquet(data)
+    parts = kept if links is None else kept | _written(links, data)
     target, aside = f"{folder}/{found.number:020d}", f"{folder}/_{uuid.uuid4().hex}"
     if not exists(spark, target):
-        write_text(spark, f"{aside}/state.json", json.dumps({"data": data}))
+        write_text(spark, f"{aside}/state.json", json.dumps({"areas": parts}))
         make_dirs(spark, folder)
         rename(spark, aside, target)
-    return Standing(found.number, _stored(spark, folder, found.number), tuple(sorted(read)))
+    return Standing(found.number, _stored(spark, _parts(spark, folder, found.number).values()), tuple(sorted(read)))
 
 
-def _stored(spark: SparkSession, folder: str, number: int) -> DataFrame:
-    data = json.loads(read_text(spark, f"{folder}/{number:020d}/state.json"))["data"]
-    return spark.read.schema(STATE_SCHEMA).parquet(data)
+def _area() -> Column:
+    """The location in the name of a process: rows of a process are in one area, so links never meet across areas."""
+    name = F.col("event")
+    location = F.regexp_extract(name, "^[^/]*/[^/]*/locations/([^/]+)/processes/", 1)
+    return F.when(location != "", location)
 
 
-def _brought_on(spark: SparkSession, root: str, found: commits.State, last: int) -> tuple[DataFrame, list[str]]:
-    """The state of commit `last` with what later commits added and removed, and the files read."""
+def _areas(rows: DataFrame) -> set[str]:
+    """Folder names of the areas that rows belong to."""
+    return {NO_AREA if row["area"] is None else row["area"] for row in rows.select(_area().alias("area")).distinct().collect()}
+
+
+def _written(links: DataFrame, data: str) -> dict[str, str]:
+    """The folder of each area, written at once; sorted by name, rows are smaller there and in later shuffles."""
+    ordered = links.withColumn("area", _area()).sortWithinPartitions("area", "event")
+    ordered.write.partitionBy("area").parquet(data, compression=COMPRESSION)
+    names = [name for name in children(links.sparkSession, data) if name.startswith("area=")]
+    return {unquote(name.removeprefix("area=")): f"{data}/{name}" for name in names}
+
+
+def _parts(spark: SparkSession, folder: str, number: int) -> dict[str, str]:
+    """The folder of each area of a state; an older state has one of all."""
+    found = json.loads(read_text(spark, f"{folder}/{number:020d}/state.json"))
+    return found["areas"] if "areas" in found else {"": found["data"]}
+
+
+def _stored(spark: SparkSession, folders: Iterable[str]) -> DataFrame:
+    rows = spark.read.schema(STATE_SCHEMA)
+    return rows.parquet(*folders) if (folders := list(folders)) else spark.createDataFrame([], STATE_SCHEMA)
+
+
+def _brought_on(
+    spark: SparkSession, root: str, found: commits.State, last: int
+) -> tuple[DataFrame | None, dict[str, str], list[str]]:
+    """What later commits make of the state of commit `last`: new rows, areas that stay, and the files read."""
     before = commits.state(spark, root, last)
     since = commits.between(spark, root, last, found.number)
     known = before.files | {file.path: file for commit in since for file in commit.add}
@@ -99,22 +129,29 @@ def _brought_on(spark: SparkSession, root: str, found: commits.State, last: int)
     added = [file for commit in changes for file in commit.add if file.kind == "links"]
     removed = [known[path] for commit in changes for path in commit.remove if known[path].kind == "links"]
 
-    state = _stored(spark, f"{root}/standing", last)
-    parts = state
+    parts = _parts(spark, f"{root}/standing", last)
+    if not added and not removed:
+        return None, parts, []
+    changed = read_files(spark, found, "links", [*added, *removed])
+    touched = {"", *_areas(changed)}
+    kept = {area: path for area, path in parts.items() if area not in touched}
+    rows = _stored(spark, [path for area, path in parts.items() if area in touched])
+    merged = rows
     if added:
         # A link that was added stands for itself, so stored and added ones are merged at once.
-        new = read_files(spark, found, "links", added).select(*state.columns[:-1], F.lit(1).cast("long").alias("links"))
-        parts = state.unionByName(new)
+        new = read_files(spark, found, "links", added).select(*rows.columns[:-1], F.lit(1).cast("long").alias("links"))
+        merged = rows.unionByName(new)
     if not removed:
-        return (_merged(parts, F.sum("links")) if added else state), [file.path for file in added]
+        return _merged(merged, F.sum("links")), kept, [file.path for file in added]
 
     gone = read_files(spark, found, "links", removed).select(process_of(F.col("event")).alias("gone")).distinct()
-    touched = process_of(F.col("event")).eqNullSafe(F.col("gone"))
+    touched_process = process_of(F.col("event")).eqNullSafe(F.col("gone"))
     locations = {file.location for file in removed}
     left: list[DataFile] = [file for file in found.of("links") if file.location in locations]
-    kept = _merged(parts.join(gone, touched, "left_anti"), F.sum("links"))
-    anew = distinct_links(read_files(spark, found, "links", left).join(gone, touched, "left_semi"))
-    return kept.unionByName(anew), [file.path for file in {*added, *removed, *left}]
+    stay = merged.join(gone, touched_process, "left_anti")
+    stay = _merged(stay, F.sum("links")) if added else stay
+    anew = distinct_links(read_files(spark, found, "links", left).join(gone, touched_process, "left_semi"))
+    return stay.unionByName(anew), kept, [file.path for file in {*added, *removed, *left}]
 
 
 def upstream_links(standing: DataFrame) -> DataFrame:
