@@ -144,3 +144,83 @@ def test_links_meet_their_ends_where_they_are_made_distinct(spark, monkeypatch):
     assert len(parts) == 2 and not parts[0].isEmpty()
     both = parts[0].select(*joined.columns).unionByName(parts[1])
     assert rows(both, *joined.columns) == rows(joined, *joined.columns)
+
+
+def test_lines_are_shuffled_once_for_events_and_links(spark):
+    lines = derived_log._lines(spark, SF_DIR).persist()
+    try:
+        kept = derived_log.derive_log(spark, SF_DIR, lines)
+        for records, plain in ((kept.events, derived_log.events(spark, SF_DIR)), (kept.links, derived_log.links(spark, SF_DIR))):
+            above, _, below = plan_of(records).partition("InMemoryRelation")
+            assert below and "Exchange" not in above
+            assert rows(records, *plain.columns) == rows(plain, *plain.columns)
+    finally:
+        lines.unpersist()
+
+
+def test_stored_records_are_compressed_well(spark, path):
+    root = path("log")
+    log.append_log(some_log(spark), root)
+    standing.refresh(spark, root)
+    stored = listed_texts(root)
+    assert stored and all(name.endswith(".zstd.parquet") for name in stored)
+
+
+def busy(monkeypatch):
+    monkeypatch.setattr(links, "HOT_SHARE", 1.0)
+    monkeypatch.setattr(links, "HOT_ROWS", 30)
+
+
+def log_of_processes(spark):
+    """A process with most of the links, one without a record, reads that come again, missing sources and names."""
+    names = ["p0"] * 20 + ["p1"] * 3 + ["p2"]
+    events = [event("us", name, "r", f"e{i}", [(f"a{i % 3}", f"b{i % 3}"), (f"a{i % 3}", "a1"), (None, "a2")]) for i, name in enumerate(names)]
+    events.append((None, NOON, None, "us", [("a1", "b", "table"), ("a1", "c", "table")]))
+    return lineage_log(spark, [process("us", "p0", "batch", display="First"), process("us", "p1")], (), events)
+
+
+def test_edges_of_a_process_are_dealt_by_it_and_those_of_a_busy_one_by_edge(spark, monkeypatch):
+    found = log_of_processes(spark)
+    ways = (links.edges_per_process, standing.distinct_links)
+    plain = [way(found.links) for way in ways]
+    for one in plain:
+        assert "Exchange hashpartitioning(xxhash64(substring_index(event" in plan_of(one)
+    busy(monkeypatch)
+    monkeypatch.setattr(links, "TASK_ROWS", 4)
+    for one, way in zip(plain, ways, strict=True):
+        split = way(found.links)
+        assert "Exchange hashpartitioning(CASE WHEN" in plan_of(split)
+        assert rows(split, *one.columns) == rows(one, *one.columns)
+
+
+def test_edges_are_dealt_in_a_bounded_number_to_a_task(spark, monkeypatch):
+    found = log_of_processes(spark)
+    whole = [links.edges_per_process(found.links), links.edges_first_seen(found.links)]
+    monkeypatch.setattr(links, "TASK_ROWS", 4)
+    for one, way in zip(whole, (links.edges_per_process, links.edges_first_seen), strict=True):
+        bounded = way(found.links)
+        assert f", {-(-found.links.count() // 4)}), REPARTITION_BY_NUM" in plan_of(bounded)
+        assert rows(bounded, *one.columns) == rows(one, *one.columns)
+
+
+def test_reads_meet_details_where_they_are_made_distinct(spark, monkeypatch):
+    found = log_of_processes(spark)
+    whole = inspect.runs_by_source(found)
+    assert "Exchange hashpartitioning(event" not in plan_of(whole)
+    assert plan_of(whole).count("Exchange hashpartitioning(substring_index(event") == 1
+    # Each of the 24 events reads one name, some of them twice; the one without a name reads one, too.
+    assert whole.count() == 25
+    busy(monkeypatch)
+    split = inspect.runs_by_source(found)
+    assert "Union" in plan_of(split)
+    assert rows(split, *whole.columns) == rows(whole, *whole.columns)
+
+
+def test_the_gate_comes_before_reads_are_made_distinct(spark, monkeypatch):
+    found = log_of_processes(spark)
+    whole = inspect.gated_runs_by_source(found)
+    assert plan_of(whole).index("HashAggregate") < plan_of(whole).index("LeftSemi")
+    assert {row.source_fqn for row in whole.collect()} == {"a1", "a2"}
+    busy(monkeypatch)
+    split = inspect.gated_runs_by_source(found)
+    assert rows(split, *whole.columns) == rows(whole, *whole.columns)

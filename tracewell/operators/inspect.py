@@ -6,13 +6,21 @@ A question about one batch or table is a filter on the answer.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell import fixed_values as V
 from tracewell.functions import normalise_identifier, process_of, run_of
-from tracewell.operators.links import dealing, edges_per_process, flatten_links, without_self_links
+from tracewell.operators.links import (
+    busy_processes,
+    dealing,
+    dealt_by,
+    edges_per_process,
+    flatten_links,
+    without_self_links,
+)
 from tracewell.sources.log import LineageLog
 
 
@@ -157,14 +165,38 @@ def batch_status(log: LineageLog, batches: DataFrame, locations: Sequence[str] =
 
 def events_by_source(links: DataFrame) -> DataFrame:
     """One row per event and FQN it reads."""
-    return (
-        links.where(F.col("source").isNotNull())
-        .select("event", F.col("source").alias("source_fqn"))
-        # Few rows come again, so there is nothing to collapse before the shuffle.
-        .repartition("event", "source_fqn")
-        .distinct()
-        .withColumns({"run": run_of(F.col("event")), "process": process_of(F.col("event"))})
-    )
+    return reduce(DataFrame.unionByName, _reads(links, links))
+
+
+def _reads(links: DataFrame, logged: DataFrame, busy: Sequence[int] | None = None) -> list[DataFrame]:
+    """`events_by_source` of some of the links `logged`, dealt by process; reads of busy ones come apart, dealt by event and FQN.
+
+    A log is sorted by name, so rows dealt by process have most of their text in common with the
+    row before. Few come again, so there is nothing to collapse before the shuffle.
+    """
+    busy = busy_processes(logged) if busy is None else busy
+    process = process_of(F.col("event"))
+    reads = links.where(F.col("source").isNotNull()).select("event", F.col("source").alias("source_fqn"))
+    total = logged.count()
+
+    def distinct(rows: DataFrame, *keys: Column | str) -> DataFrame:
+        named = dealt_by(rows, total, *keys).select("event", "source_fqn", process.alias("process")).distinct()
+        return named.select("event", "source_fqn", run_of(F.col("event")).alias("run"), "process")
+
+    if not busy:
+        return [distinct(reads, process)]
+    is_busy = F.xxhash64(process).isin(*busy)
+    return [distinct(reads.where(~is_busy), process), distinct(reads.where(is_busy), "event", "source_fqn")]
+
+
+def _reads_with_details(links: DataFrame, log: LineageLog) -> DataFrame:
+    """Reads are shuffled once, dealt by process, to be told apart and to meet details there; of busy processes, details are few."""
+    busy = busy_processes(log.links)
+    others, *hot = _reads(links, log.links, busy)
+    parts = [with_process_details(others, log.processes)]
+    for reads in hot:
+        parts.append(with_process_details(reads, log.processes.where(F.xxhash64("name").isin(*busy))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def with_process_details(reads: DataFrame, processes: DataFrame) -> DataFrame:
@@ -185,7 +217,7 @@ def with_process_details(reads: DataFrame, processes: DataFrame) -> DataFrame:
 
 def runs_by_source(log: LineageLog) -> DataFrame:
     """Which runs and processes read each FQN, one row per event."""
-    return with_process_details(events_by_source(log.links), log.processes)
+    return _reads_with_details(log.links, log)
 
 
 def gated_runs_by_source(log: LineageLog, identifiers: DataFrame | None = None) -> DataFrame:
@@ -205,8 +237,11 @@ def gated_runs_by_source(log: LineageLog, identifiers: DataFrame | None = None)
         asked = asked.distinct()
         written = written.join(asked, "source_fqn", "left_semi")
         links = links.join(asked.withColumnRenamed("source_fqn", "source"), "source", "left_semi")
-    gated = events_by_source(links).join(written, "source_fqn", "left_semi")
-    return with_process_details(gated, log.processes)
+    # The gate comes first: only what passes is dealt once more, and with nothing that follows from its name.
+    reads = links.where(F.col("source").isNotNull()).select("event", "source")
+    gated = reads.join(written.withColumnRenamed("source_fqn", "source"), "source", "left_semi")
+    found = _reads_with_details(gated, log)
+    return found.select("process", "source_fqn", "event", "run", "display_name", "origin_name")
 
 
 def run_details(log: LineageLog) -> DataFrame:
