@@ -157,3 +157,20 @@ def test_a_state_without_areas_is_brought_on(spark, path):
     append_log(one_link(spark, "us-east1", "e2"), root)
     same_state(spark, root, standing.refresh(spark, root))
     assert set(areas(spark, root)) == {"us", "us-east1"}
+
+
+def test_a_purge_is_followed_without_joining_for_samples(spark, path, monkeypatch):
+    root, draw = path("log"), random.Random(11)
+    append_log(some_log(spark, draw, 0), root)
+    standing.refresh(spark, root)
+    audit.purge_log(spark, root, PLACES[:1])
+    sampled = []
+
+    def watched(rows, key, sample=links._sampled_hot):
+        sampled.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return sample(rows, key)
+
+    monkeypatch.setattr(links, "_sampled_hot", watched)
+    same = standing.refresh(spark, root)
+    assert sampled and not any("Join" in plan for plan in sampled)
+    same_state(spark, root, same)

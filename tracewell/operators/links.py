@@ -69,16 +69,17 @@ def table_edges(links: DataFrame, distinct: bool = True) -> DataFrame:
 def edges_per_process(links: DataFrame) -> DataFrame:
     """Distinct edges of each process, with the event that first showed them."""
     moves = without_self_links(flatten_links(links))
-    return _first_seen(moves, links.count(), by_process=True)
+    return _first_seen(moves, flatten_links(links), by_process=True)
 
 
 def edges_first_seen(links: DataFrame) -> DataFrame:
     """Distinct edges of the whole log, with the event that first showed them."""
-    edges = _first_seen(without_self_links(flatten_links(links)), links.count())
+    named = flatten_links(links)
+    edges = _first_seen(without_self_links(named), named)
     return edges.withColumn("process", process_of(F.col("event")))
 
 
-def _first_seen(links: DataFrame, total: int, by_process: bool = False) -> DataFrame:
+def _first_seen(links: DataFrame, logged: DataFrame, by_process: bool = False) -> DataFrame:
     """The earliest event per edge, by start time and then by name.
 
     Names are unique, so the order is total. An aggregate rather than a
@@ -86,7 +87,7 @@ def _first_seen(links: DataFrame, total: int, by_process: bool = False) -> DataF
     """
     moves = links.select("source_fqn", "target_fqn", "start_time", "event")
     first = F.min(F.struct("start_time", "event")).alias("first")
-    edges = collapsed(moves, ["source_fqn", "target_fqn"], first, by_process=by_process, total=total)
+    edges = collapsed(moves, ["source_fqn", "target_fqn"], first, by_process=by_process, logged=logged)
     return edges.withColumn("event", F.col("first.event")).drop("first").withColumns(
         {
             "run": run_of(F.col("event")),
@@ -96,7 +97,9 @@ def _first_seen(links: DataFrame, total: int, by_process: bool = False) -> DataF
     )
 
 
-def collapsed(rows: DataFrame, keys: list[str], *found: Column, by_process: bool = False, total: int | None = None) -> DataFrame:
+def collapsed(
+    rows: DataFrame, keys: list[str], *found: Column, by_process: bool = False, logged: DataFrame | None = None
+) -> DataFrame:
     """`found`, aggregates that sort, of rows grouped by `keys`, which mostly have few rows.
 
     Rows are dealt before they are sorted, so that a task sorts its share of a shuffle once, and
@@ -105,13 +108,16 @@ def collapsed(rows: DataFrame, keys: list[str], *found: Column, by_process: bool
     before, and are a good deal smaller than dealt by all keys, as those of busy processes are.
     Rows of hot keys collapse before they are shuffled. Samples tell what is busy or hot, by hash:
     that decides on the way of a row only. Names share long prefixes, so a hash is sorted by first.
-    Where it is told how many rows there are, tasks have a bounded number.
+    Rows are those of `logged` or part of them: that is what samples and the number of tasks are
+    taken from, so that a join or filter before is not done once more for each.
     """
+    logged = rows if logged is None else logged
+    total = logged.count()
     process = process_of(F.col("event"))
     key = F.xxhash64(process, *keys) if by_process else F.xxhash64(*keys)
     if by_process:
         way = F.xxhash64(process)
-        busy = busy_processes(rows)
+        busy = busy_processes(logged)
         way = F.when(way.isin(*busy), key).otherwise(way) if busy else way
         dealt, grouped = [way], [way.alias("way"), process.alias("process"), *keys]
     else:
@@ -120,7 +126,7 @@ def collapsed(rows: DataFrame, keys: list[str], *found: Column, by_process: bool
     def collapse(some: DataFrame) -> DataFrame:
         return some.groupBy(*grouped).agg(*found).drop("way")
 
-    hot = hot_hashes(rows, key)
+    hot = hot_hashes(logged, key)
     if hot.isEmpty():
         return collapse(dealt_by(rows, total, *dealt))
     is_hot = key == F.col("hot_hash")
@@ -143,10 +149,10 @@ def _sampled_hot(rows: DataFrame, key: Column) -> DataFrame:
     return counted.where(F.col("sampled") >= HOT_ROWS).select("hot_hash")
 
 
-def dealt_by(rows: DataFrame, total: int | None, *keys: Column | str) -> DataFrame:
+def dealt_by(rows: DataFrame, total: int, *keys: Column | str) -> DataFrame:
     """`rows`, of which there are at most `total`, dealt by `keys`: a bounded number to a task, and no fewer tasks than a shuffle has."""
     spark = rows.sparkSession
-    tasks = -(-(total or 0) // TASK_ROWS)
+    tasks = -(-total // TASK_ROWS)
     if tasks <= spark.sparkContext.defaultParallelism:
         return rows.repartition(*keys)
     return rows.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)

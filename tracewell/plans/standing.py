@@ -56,9 +56,9 @@ def distinct_links(links: DataFrame) -> DataFrame:
     return _merged(links, F.count(F.lit(1)))
 
 
-def _merged(links: DataFrame, number: Column) -> DataFrame:
+def _merged(links: DataFrame, number: Column, logged: DataFrame | None = None) -> DataFrame:
     first = F.min(F.struct("start_time", "event", "link_pos", "location")).alias("first")
-    grouped = collapsed(links, ["source", "target", "level"], first, number.alias("links"), by_process=True)
+    grouped = collapsed(links, ["source", "target", "level"], first, number.alias("links"), by_process=True, logged=logged)
     return grouped.select(
         "first.event", "first.start_time", "first.link_pos", "source", "target", "level", "first.location", "links"
     )
@@ -149,8 +149,9 @@ def _brought_on(
     locations = {file.location for file in removed}
     left: list[DataFile] = [file for file in found.of("links") if file.location in locations]
     stay = merged.join(gone, touched_process, "left_anti")
-    stay = _merged(stay, F.sum("links")) if added else stay
-    anew = distinct_links(read_files(spark, found, "links", left).join(gone, touched_process, "left_semi"))
+    stay = _merged(stay, F.sum("links"), merged) if added else stay
+    remaining = read_files(spark, found, "links", left)
+    anew = _merged(remaining.join(gone, touched_process, "left_semi"), F.count(F.lit(1)), remaining)
     return stay.unionByName(anew), kept, [file.path for file in {*added, *removed, *left}]
 
 
